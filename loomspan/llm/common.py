@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that parts words, as a character class for regular expressions.
-BLANKS = "\\x20\\x09-\\x0D"
-
+from loomspan.session import scratch, settle
 
-def scratch(spark: SparkSession) -> str:
-    """The folder for intermediate tables, below the shared ``spark.checkpoint.dir``.
+__all__ = ["BLANKS", "hash_unit", "scratch", "settle", "table", "text_or_empty", "word_count"]
 
-    Where no such folder is set (a local test), one in the machine's temporary
-    folder is made and set on the context.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomspan-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/loomspan-{spark.sparkContext.applicationId}"
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here,
-    and a lost executor costs no more than its unfinished tasks."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space that parts words, as a character class for regular expressions.
+BLANKS = "\\x20\\x09-\\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

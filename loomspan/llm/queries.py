@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, mixing, sharding
+from loomspan.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op6_simhash": simhash.op6_simhash,
     "op8_mixing": mixing.op8_mixing,
 }
 
