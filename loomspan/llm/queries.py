@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, licenses, mixing, sharding, simhash
+from loomspan.llm import exact_dedup, licenses, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op10_quality": quality.op10_quality,
     "op3_licenses": licenses.op3_licenses,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
