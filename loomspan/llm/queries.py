@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, licenses, mixing, quality, sharding, simhash
+from loomspan.llm import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op10_quality": quality.op10_quality,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
