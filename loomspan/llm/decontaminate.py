@@ -29,7 +29,7 @@ def hashed_words(text: Column) -> Column:
 def _seeds(masks: list[tuple[int, ...]], words: Column, at: Column) -> Column:
     """The seeds at a position, one for each mask (null where the text ends before)."""
     return F.array(
-        *[F.when(at + mask[-1] < F.size(words), F.xxhash64(F.lit(",".join(map(str, mask))), *[F.get(words, at + i) for i in mask])) for mask in masks]
+        *[F.when(at + mask[-1] < F.size(words), F.xxhash64(F.lit(sum(1 << i for i in mask)), *[F.get(words, at + i) for i in mask])) for mask in masks]
     )
 
 
@@ -83,7 +83,8 @@ def contamination(
 
     words = docs.select(F.col(id_col).alias("__id"), hashed_words(F.col(text_col)).alias("h"))
     last = F.size("h") - shortest
-    at = words.where(last >= 0).select("__id", "h", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    # Not a filter on the size: that would be pushed down and hash every word twice.
+    at = words.select("__id", "h", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
     probes = at.select("__id", "h", "i", F.explode(_seeds(masks, F.col("h"), F.col("i"))).alias("seed"))
 
     equal = {o: F.coalesce(F.get("h", F.col("i") + F.lit(o)) == F.get("around", F.lit(k)), F.lit(False)).cast("int") for k, o in enumerate(_AROUND)}
@@ -99,7 +100,7 @@ def contamination(
 
     def block(n: int) -> DataFrame:
         part = seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == n)
-        hits = probes.join(F.broadcast(part), "seed").where(F.col("i") >= 0)
+        hits = probes.join(F.broadcast(part), "seed")
         compared = hits.select("__id", "item_id", "i", "j", "n_item", *[c.alias(f"e{k}") for k, c in enumerate(equal.values())])
         windows = compared.withColumns({f"w{-s}": c for s, c in matched.items()})
         found = windows.where(fits).select("__id", "item_id", first.alias("a"), end.alias("z"), F.when(long, best).otherwise(total).alias("m"))
