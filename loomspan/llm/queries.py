@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash
+from loomspan.llm import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op10_quality": quality.op10_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_simhash": simhash.op6_simhash,
     "op8_mixing": mixing.op8_mixing,
+    "op9_tokens": tokens.op9_tokens,
 }
 
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
