@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash, tokens
+from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, sharding, simhash, tokens
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op10_quality": quality.op10_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
 }
 
-SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
