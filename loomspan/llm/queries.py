@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, sharding, simhash, tokens
+from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, passages, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_simhash": simhash.op6_simhash,
+    "op7_passages": passages.op7_passages,
     "op8_mixing": mixing.op8_mixing,
     "op9_tokens": tokens.op9_tokens,
 }
