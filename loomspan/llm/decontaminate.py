@@ -26,11 +26,19 @@ def hashed_words(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(masks: list[tuple[int, ...]], words: Column, at: Column) -> Column:
-    """The seeds at a position, one for each mask (null where the text ends before)."""
-    return F.array(
-        *[F.when(at + mask[-1] < F.size(words), F.xxhash64(F.lit(sum(1 << i for i in mask)), *[F.get(words, at + i) for i in mask])) for mask in masks]
-    )
+def _with_seeds(at: DataFrame, masks: list[tuple[int, ...]], words: str, position: str, keep: list[str]) -> DataFrame:
+    """A row (``seed`` and the kept columns) for each position and mask.
+
+    A seed is the exclusive or of the mask's word hashes, each shifted by its
+    rank: cheap, and enough, as every hit is compared word by word. Words beyond
+    the end count as 0. No seed is null, else the join would add a filter that
+    computes it twice; and each word is fetched once for all masks, so that the
+    generated loop is short enough to be compiled.
+    """
+    offsets = sorted({i for m in masks for i in m})
+    fetched = at.select(*keep, *[F.coalesce(F.get(words, F.col(position) + F.lit(i)), F.lit(0)).alias(f"__{i}") for i in offsets])
+    mixed = [reduce(Column.bitwiseXOR, [F.shiftleft(f"__{i}", 5 * rank) for rank, i in enumerate(m)], F.lit(sum(1 << i for i in m)).cast("long")) for m in masks]
+    return fetched.select(*keep, F.explode(F.array(*mixed)).alias("seed"))
 
 
 def benchmark_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,13 +48,13 @@ def benchmark_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ones one seed of all their words.
     """
     hashed = items.select(F.col(id_col).alias("item_id"), hashed_words(F.col(text_col)).alias("b")).withColumn("n_item", F.size("b"))
-    around = F.array(*[F.get("b", F.col("j") + F.lit(o)) for o in _AROUND]).alias("around")
+    around = F.array(*[F.get("b", F.col("j") + F.lit(o)) for o in _AROUND])
     parts = []
     for least, most, masks in [(SPAN, None, list(MASKS))] + [(n, n, [tuple(range(n))]) for n in range(LEAST_WORDS, SPAN)]:
         size = F.col("n_item") >= least if most is None else F.col("n_item") == most
         last = F.col("n_item") - (SPAN if most is None else most)
         at = hashed.where(size).withColumn("j", F.explode(F.sequence(F.lit(0), last)))
-        parts.append(at.select(F.explode(_seeds(masks, F.col("b"), F.col("j"))).alias("seed"), "item_id", "j", "n_item", around).where("seed IS NOT NULL"))
+        parts.append(_with_seeds(at, masks, "b", "j", ["item_id", "j", "n_item", "b"]).withColumn("around", around).drop("b"))
     return reduce(DataFrame.union, parts)
 
 
@@ -82,29 +90,37 @@ def contamination(
     shortest = min(m[-1] for m in masks) + 1
 
     words = docs.select(F.col(id_col).alias("__id"), hashed_words(F.col(text_col)).alias("h"))
-    last = F.size("h") - shortest
     # Not a filter on the size: that would be pushed down and hash every word twice.
+    last = F.size("h") - shortest
     at = words.select("__id", "h", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
-    probes = at.select("__id", "h", "i", F.explode(_seeds(masks, F.col("h"), F.col("i"))).alias("seed"))
-
-    equal = {o: F.coalesce(F.get("h", F.col("i") + F.lit(o)) == F.get("around", F.lit(k)), F.lit(False)).cast("int") for k, o in enumerate(_AROUND)}
-    starts = range(SPAN - WINDOW, 1)
-    matched = {s: reduce(Column.__add__, [F.col(f"e{s + k - _AROUND[0]}") for k in range(WINDOW)]) for s in starts}
-    best = F.greatest(*[F.col(f"w{-s}") for s in starts])
-    total = reduce(Column.__add__, [F.col(f"e{k}") for k in range(len(_AROUND))])
-    fits = F.when(F.col("n_item") >= WINDOW, best >= WINDOW - MOST_CHANGED).otherwise(total == F.col("n_item"))
-    enough = [F.when(F.col(f"w{-s}") >= WINDOW - MOST_CHANGED, F.col("i") + F.lit(s)) for s in starts]
+    probes = _with_seeds(at, masks, "h", "i", ["__id", "h", "i"])
+
+    # What follows the join runs for hits alone, on higher-order functions: they keep it out of the
+    # generated code of the probes, which would else be too long to be compiled.
+    before, after = WINDOW - SPAN, WINDOW - 1
+    start = F.greatest(F.col("i") - before, F.lit(0))
+    beside = F.slice("h", start + 1, F.col("i") + after + 1 - start)
+    aligned = F.slice("around", start - F.col("i") + before + 1, F.size("beside"))
+    same = F.zip_with("beside", aligned, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+
+    def window(o: Column, size: Column | int) -> Column:
+        return F.struct(o.alias("o"), F.aggregate(F.slice("same", o + 1, size), F.lit(0), lambda x, y: x + y).alias("m"))
+
     long = F.col("n_item") >= WINDOW
-    first = F.when(long, F.coalesce(*enough)).otherwise(F.col("i") - F.col("j"))
-    end = F.when(long, F.coalesce(*reversed(enough)) + F.lit(WINDOW - 1)).otherwise(F.col("i") - F.col("j") + F.col("n_item") - 1)
+    offsets = F.sequence(F.lit(0), F.greatest(F.size("same") - WINDOW, F.lit(0)))
+    good = F.when(long, F.filter(F.transform(offsets, lambda o: window(o, WINDOW)), lambda w: w["m"] >= WINDOW - MOST_CHANGED)).otherwise(
+        F.filter(F.array(window(F.lit(0), F.size("same"))), lambda w: w["m"] == F.col("n_item"))
+    )
+    first = F.when(long, F.col("start") + F.col("w.o")).otherwise(F.col("i") - F.col("j"))
+    size = F.when(long, F.least(F.lit(WINDOW), F.col("n_words") - F.col("start") - F.col("w.o"))).otherwise(F.col("n_item"))
 
     def block(n: int) -> DataFrame:
         part = seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == n)
         hits = probes.join(F.broadcast(part), "seed")
-        compared = hits.select("__id", "item_id", "i", "j", "n_item", *[c.alias(f"e{k}") for k, c in enumerate(equal.values())])
-        windows = compared.withColumns({f"w{-s}": c for s, c in matched.items()})
-        found = windows.where(fits).select("__id", "item_id", first.alias("a"), end.alias("z"), F.when(long, best).otherwise(total).alias("m"))
-        return found
+        hits = hits.select("__id", "item_id", "i", "j", "n_item", "around", start.alias("start"), F.size("h").alias("n_words"), beside.alias("beside"))
+        # Exploding the windows that fit, where a filter on them would be pushed below and repeat their sums.
+        fits = hits.withColumn("same", same).withColumn("w", F.explode(good))
+        return fits.select("__id", "item_id", first.alias("a"), (first + size - 1).alias("z"), F.col("w.m").alias("m"))
 
     found = reduce(DataFrame.union, [block(n) for n in range(blocks)])
     return found.groupBy("__id", "item_id").agg(F.min("a").cast("long").alias("first_word"), F.max("z").cast("long").alias("last_word"), F.max("m").alias("matched")).withColumnRenamed("__id", id_col)
