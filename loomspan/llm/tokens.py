@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import scratch, table
 
-#: Pieces of text whose ids one worker remembers (some 100 MB).
-CACHED_PIECES = 400_000
+#: Pieces of text whose ids one worker process remembers (some 200 MB).
+CACHED_PIECES = 1_000_000
 #: Stands for a null id in the files.
 NO_ID = -(1 << 63)
 #: A piece is a blank and what follows up to the next; only where a run of white space holds a
@@ -41,32 +44,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         spec = json.loads(definition)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not spec.get("normalizer")
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not spec.get("normalizer")
+        # In a byte-level vocabulary a token has a character for each byte of text.
+        self.lengths = np.zeros(max([0, *self.tokenizer.get_vocab().values()]) + 1, np.int64)
+        for token, n in (model.get("vocab") or {}).items() if self.by_piece else ():
+            self.lengths[n] = len(token)
         self.width, self.cached = np.dtype(width), cached
         self.end = np.array([end_id], self.width).tobytes()
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes words after a blank, 64 to a text, and cuts the ids where each word's bytes end."""
+        known, size = self.known, self.width.itemsize
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            joined = " " + " ".join(part)
+            some = [" " + " ".join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(e.ids for e in encoded)), np.int64)
+            ends = np.cumsum(self.lengths[ids])
+            data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+            wanted = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
+            cut = np.searchsorted(ends, wanted)
+            if len(wanted) == len(part) and int(cut[-1]) < len(ends) and (ends[cut] == wanted).all():
+                flat = ids.astype(self.width).tobytes()
+                stops = ((cut + 1) * size).tolist()
+                known.update(zip(part, [flat[a:z] for a, z in zip([0, *stops], stops)]))
+            else:
+                known.update((p, self._whole(" " + p)) for p in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned integers."""
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if not self.by_piece or _DEPENDENT.search(text) or any(s in text for s in self.special):
-                pieces.append(None)
-            else:
-                parts = text.split(" ")
-                pieces.append(parts[:1] + [" " + p for p in parts[1:]])
-        if len(self.known) > self.cached:
-            self.known = {}
-        known = self.known
-        new = list(dict.fromkeys(p for parts in pieces if parts for p in parts if p not in known))
-        known.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, parts in zip(texts, pieces, strict=True) if parts is None]))
-        return [(next(whole) if parts is None else b"".join(map(known.__getitem__, parts))) + self.end for parts in pieces]
+        known, special = self.known, self.special
+        pieces = [
+            t.split(" ") if self.by_piece and not _DEPENDENT.search(t) and not any(s in t for s in special) else None for t in texts
+        ]
+        if len(known) > self.cached:
+            known.clear()
+        new = set()
+        for parts in pieces:
+            if parts:
+                new.update(parts[1:])
+        new = [p for p in new if p not in known]
+        # Words with white space at an end could meet more of it in a joined text; they are encoded alone.
+        plain = [p for p in new if p and p.strip() == p]
+        self._learn(plain)
+        if len(plain) < len(new):
+            known.update((p, self._whole(" " + p)) for p in new if not p or p.strip() != p)
+        return [
+            self._whole(t) + self.end if parts is None else self._whole(parts[0]) + b"".join(map(known.__getitem__, parts[1:])) + self.end
+            for t, parts in zip(texts, pieces, strict=True)
+        ]
+
+
+def _encoder(definition: str, end_id: int, width: str) -> Encoder:
+    """This worker process's encoder: later tasks go on with its remembered pieces."""
+    kept = sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__
+    key = ("encoder", hash(definition), end_id, width)
+    if key not in kept:
+        kept[key] = Encoder(definition, end_id, width)
+    return kept[key]
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -112,7 +154,7 @@ def write_tokens(
         definition = f.read()  # travels with the tasks, so executors need no copy of the file
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, target, name = Encoder(definition, end_id, width), None, f"part-{uuid.uuid4().hex}"
+        encoder, target, name = _encoder(definition, end_id, width), None, f"part-{uuid.uuid4().hex}"
         documents = tokens = first = 0
         for batch in batches:
             if not batch.num_rows:
