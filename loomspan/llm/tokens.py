@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import types
@@ -15,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,23 +25,34 @@ from loomspan.llm.common import scratch, table
 
 #: Pieces of text whose ids one worker process remembers (some 200 MB).
 CACHED_PIECES = 1_000_000
+#: Texts that are encoded together.
+ROWS = 2500
 #: Stands for a null id in the files.
 NO_ID = -(1 << 63)
-#: A piece is a blank and what follows up to the next; only where a run of white space holds a
-#: blank after its first character can a piece's ids depend on its neighbours.
-_DEPENDENT = re.compile(r"\s (?:\s|$)")
+#: White space other than blanks and line feeds, and runs of these; they tie words together.
+_OTHER_SPACE = re.compile(r"[^\S\n ]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+#: Marks that part from the letters before them. No apostrophe, which takes letters along.
+_MARKS = ",.;:!?%&*#$|()[]{}-_/\"+=<>~@^`"
+
+
+#: Mark a text's first word, its end, and a text that is encoded as a whole.
+FIRST, LAST, WHOLE = "\x01", "\x02", "\x03"
 
 
 class Encoder:
     """Encodes texts with a tokenizer (the content of its file), each distinct piece once.
 
-    With a byte-level pre-tokenizer that starts a new word at each single
-    blank, a text's ids are its pieces' ids in a row. Texts with runs of white
-    space that tie pieces together, or with a special token's text, are encoded
-    as a whole. Tokenizers of other kinds always encode whole texts.
+    With a byte-level pre-tokenizer that starts a piece at each single blank or
+    line feed, a text's ids are its pieces' ids in a row: the first word's, and
+    each further word's with the blank or line feed before it. Of a new piece
+    that is letters and then marks, the letters are looked up again. Texts with
+    other white space or with a special token's text are encoded as a whole;
+    tokenizers of other kinds always encode whole texts.
     """
 
     def __init__(self, definition: str, end_id: int, width: str, cached: int = CACHED_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are the tasks'; waiting threads cost a third of the time
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -53,53 +66,97 @@ class Encoder:
             self.lengths[n] = len(token)
         self.width, self.cached = np.dtype(width), cached
         self.end = np.array([end_id], self.width).tobytes()
+        #: Ids of pieces: a word (said after a blank), a line feed and a word, FIRST and a text's first word; and of marks.
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes words after a blank, 64 to a text, and cuts the ids where each word's bytes end."""
-        known, size = self.known, self.width.itemsize
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            joined = " " + " ".join(part)
-            some = [" " + " ".join(part[k : k + 64]) for k in range(0, len(part), 64)]
+    def _learn(self, words: list[str], lead: str) -> None:
+        """Encodes words with a blank or line feed before, 64 to a text, and cuts the ids where each word's bytes end."""
+        size, key = self.width.itemsize, "" if lead == " " else lead
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            some = [lead + lead.join(part[k : k + 64]) for k in range(0, len(part), 64)]
             encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             ids = np.array(list(chain.from_iterable(e.ids for e in encoded)), np.int64)
             ends = np.cumsum(self.lengths[ids])
-            data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
-            wanted = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
+            data = np.frombuffer("".join(some).encode("utf-8", "surrogatepass"), np.uint8)
+            wanted = np.append(np.flatnonzero(data == ord(lead))[1:], len(data))
             cut = np.searchsorted(ends, wanted)
             if len(wanted) == len(part) and int(cut[-1]) < len(ends) and (ends[cut] == wanted).all():
                 flat = ids.astype(self.width).tobytes()
                 stops = ((cut + 1) * size).tolist()
-                known.update(zip(part, [flat[a:z] for a, z in zip([0, *stops], stops)]))
+                self.known.update([(key + p, flat[a:z]) for p, a, z in zip(part, [0, *stops], stops)])
+            else:
+                self.known.update([(key + p, self._whole(lead + p)) for p in part])
+
+    def _meet(self, pieces: list[str]) -> None:
+        """Makes new pieces known."""
+        known, marks = self.known, self.marks
+        plain: dict[str, set[str]] = {" ": set(), "\n": set()}
+        marked = []
+        for piece in pieces:
+            if piece[0] == FIRST:
+                known[piece] = self._whole(piece[1:])
+                continue
+            lead, word = ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
+            stem = word.rstrip(_MARKS)
+            if len(stem) < len(word) and stem.isalpha():
+                tail = word[len(stem) :]
+                base = piece[: len(piece) - len(tail)]
+                marked.append((piece, base, tail))
+                if base not in known:
+                    plain[lead].add(stem)
+                if tail not in marks:
+                    marks[tail] = self._whole(tail)
+            else:
+                plain[lead].add(word)
+        for lead, words in plain.items():
+            self._learn(list(words), lead)
+        known.update([(piece, known[base] + marks[tail]) for piece, base, tail in marked])
+
+    def _parts(self, text: str) -> bool:
+        """Whether the text's words can be encoded one by one."""
+        if not text or not self.by_piece or text[0] in " \n" or text[-1] in " \n":
+            return False
+        if any(c in text for c in (FIRST, LAST, WHOLE)):
+            return False
+        return not any(r in text for r in _RUNS) and not any(s in text for s in self.special) and not _OTHER_SPACE.search(text)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, an end id behind each, and how many there are of each.
+
+        Each distinct piece of the texts is looked up once; the ids are then
+        gathered by its number at each place.
+        """
+        if len(self.known) > self.cached:
+            self.known.clear()
+        own = {LAST: self.end}
+        lines = []
+        for n, text in enumerate(texts):
+            if self._parts(text):
+                lines.append(f"{FIRST}{text.replace(chr(10), ' ' + chr(10))} {LAST}")
             else:
-                known.update((p, self._whole(" " + p)) for p in part)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned integers."""
-        known, special = self.known, self.special
-        pieces = [
-            t.split(" ") if self.by_piece and not _DEPENDENT.search(t) and not any(s in t for s in special) else None for t in texts
-        ]
-        if len(known) > self.cached:
-            known.clear()
-        new = set()
-        for parts in pieces:
-            if parts:
-                new.update(parts[1:])
-        new = [p for p in new if p not in known]
-        # Words with white space at an end could meet more of it in a joined text; they are encoded alone.
-        plain = [p for p in new if p and p.strip() == p]
-        self._learn(plain)
-        if len(plain) < len(new):
-            known.update((p, self._whole(" " + p)) for p in new if not p or p.strip() != p)
-        return [
-            self._whole(t) + self.end if parts is None else self._whole(parts[0]) + b"".join(map(known.__getitem__, parts[1:])) + self.end
-            for t, parts in zip(texts, pieces, strict=True)
-        ]
+                own[f"{WHOLE}{n}"] = self._whole(text)
+                lines.append(f"{WHOLE}{n} {LAST}")
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        numbered = split.values.dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        ids = list(map(self.known.get, pieces))
+        new = [n for n, found in enumerate(ids) if found is None]
+        self._meet([pieces[n] for n in new if pieces[n] not in own])
+        for n in new:
+            ids[n] = self.known.get(pieces[n]) or own.get(pieces[n], b"")
+        flat = np.frombuffer(b"".join(ids), self.width)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        at = numbered.indices.to_numpy()
+        here = sizes[at]
+        ends = np.cumsum(here)
+        gather = np.arange(int(ends[-1])) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - here), here)
+        offsets = split.offsets.to_numpy()
+        return flat[gather], np.diff(np.concatenate(([0], ends))[offsets])
 
 
 def _encoder(definition: str, end_id: int, width: str) -> Encoder:
@@ -164,14 +221,14 @@ def write_tokens(
                 system.create_dir(path, recursive=True)
                 target = [system.open_output_stream(f"{path}/{name}.{end}") for end in ("bin", "idx", "doc")]
                 first = batch.column(0)[0].as_py()
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
-                encoded = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
-                ends = tokens + np.cumsum([len(e) // encoder.width.itemsize for e in encoded])
-                target[0].write(b"".join(encoded))
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
+                ids, counts = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
+                ends = tokens + np.cumsum(counts)
+                target[0].write(ids.tobytes())
                 target[1].write(ends.astype("<u8").tobytes())
-                target[2].write(np.array(piece.column(0).to_pylist(), "<i8").tobytes())
-                documents, tokens = documents + len(encoded), int(ends[-1])
+                target[2].write(piece.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                documents, tokens = documents + len(counts), int(ends[-1])
         if target is not None:
             for stream in target:
                 stream.close()
