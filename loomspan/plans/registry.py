@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loomspan.plans import interval_queries
+
+QUERIES = {**interval_queries.QUERIES}
+SQL = {**interval_queries.SQL}
