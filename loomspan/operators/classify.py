@@ -141,7 +141,7 @@ def train_classifier(rows: DataFrame, features: Sequence[str], label: str = "y",
     from pyspark.ml.feature import VectorAssembler
 
     gather = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__label")
+    model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="__label")
     return Pipeline(stages=[gather, model]).fit(rows)
 
 
@@ -149,4 +149,4 @@ def predict(model, rows: DataFrame, into: str = "score") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     scored = model.transform(rows)
-    return scored.withColumn(into, F.get(vector_to_array("__probability"), F.lit(1))).drop("__features", "__raw", "__probability", "__label")
+    return scored.select(*rows.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(into))

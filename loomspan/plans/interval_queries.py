@@ -207,7 +207,7 @@ SQL = {
     "interval_union_strict": with_views("iv_a", _ISLANDS.format(op=">=", src="iv_a") + " SELECT * FROM merged"),
     "interval_union_inclusive": with_views("iv_a", ", coarse AS (SELECT k, s//60*60 s, s//60*60+e-s e FROM iv_a)" + _ISLANDS.format(op=">", src="coarse") + " SELECT * FROM merged"),
     "nested_tracks": with_views("iv_a", _ISLANDS.format(op=">=", src="iv_a") + " SELECT k, sum(n_parts)::BIGINT n_ranges, count(*) n_islands, sum(e-s)::BIGINT covered, count(*) < sum(n_parts) is_nested FROM merged GROUP BY k"),
-    "coverage_profile": with_views("iv_a iv_b", _ISLANDS.format(op=">=", src="iv_b") + """ SELECT a.k, a.id, max(a.e-a.s) span, coalesce(sum(least(a.e,m.e)-greatest(a.s,m.s)),0)::BIGINT covered
+    "coverage_profile": with_views("iv_a iv_b", _ISLANDS.format(op=">=", src="iv_b") + """ SELECT a.k, a.id, max(a.e-a.s) span, coalesce(sum(CASE WHEN m.s IS NOT NULL THEN least(a.e,m.e)-greatest(a.s,m.s) END),0)::BIGINT covered
         FROM iv_a a LEFT JOIN merged m ON a.k=m.k AND a.s<m.e AND m.s<a.e GROUP BY 1,2"""),
     "neighbour_overlap": with_views("iv_a", """SELECT k, previous, id, pe - s AS shared FROM (SELECT k, id, s, lag(id) OVER w previous, lag(e) OVER w pe FROM iv_a WINDOW w AS (PARTITION BY k ORDER BY s,e,id)) WHERE pe > s"""),
     "chain_decode": with_views(_CHAIN, "SELECT * FROM chain_blocks"),
