@@ -39,7 +39,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_siz
         named = df.select(*[F.col(k).alias(f"__{side}_{k}") for k in keys], *[F.col(c).alias(f"{side}_{c}") for c in df.columns])
         s, e = F.col(f"{side}_{start}"), F.col(f"{side}_{end}")
         first, last = F.floor(s / bin_size), F.floor(last_of(e) / bin_size)
-        named = named.withColumn(f"__{side}_first", first).withColumn(f"__{side}_bins", last - first + 1).where(F.col(f"__{side}_bins") > 0)
+        named = named.where((e >= s) if closed else (e > s)).withColumn(f"__{side}_first", first).withColumn(f"__{side}_bins", last - first + 1).where(F.col(f"__{side}_bins") > 0)
         short = named.where(F.col(f"__{side}_bins") <= MOST_BINS)
         bins = F.sequence(F.col(f"__{side}_first"), F.col(f"__{side}_first") + F.col(f"__{side}_bins") - 1)
         return short.withColumn(f"__{side}_bin", F.explode(bins)), named.where(F.col(f"__{side}_bins") > MOST_BINS)

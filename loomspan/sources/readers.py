@@ -24,7 +24,7 @@ def read_chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     text = spark.read.option("lineSep", "\nchain ").text(path).select(F.regexp_replace("value", r"^(?:#[^\n]*\n|\s)*(?:chain )?", "").alias("value")).where(F.trim("value") != "")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
-    rows = text.select(lines.alias("lines")).withColumn("head", F.split(F.element_at("lines", 1), r"\s+"))
+    rows = text.select(lines.alias("lines")).withColumn("head", F.split(F.get("lines", F.lit(0)), r"\s+")).where("size(head) > 11")
     names = ["score", "t_name", "t_size", "t_strand", "t_start", "t_end", "q_name", "q_size", "q_strand", "q_start", "q_end", "chain_id"]
     texts = {"t_name", "t_strand", "q_name", "q_strand"}
     headers = rows.select(*[F.get("head", F.lit(i)).cast("string" if n in texts else "long").alias(n) for i, n in enumerate(names)])
