@@ -91,9 +91,11 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dimension: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
+def train(rows: list[tuple[bytes, bytes, int]], dimension: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
     """Learns bucket vectors and a softmax over two classes by stochastic gradient descent.
 
+    A row holds its buckets (unsigned 16-bit) and weights (16-bit floats) as
+    bytes, and its label; they are unpacked one row at a time to spare memory.
     Without labelled rows all scores are 0.5.
     """
     rng = np.random.default_rng(seed)
@@ -102,7 +104,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dimension: int = 8, ep
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            at, weight, label = rows[k]
+            label = rows[k][2]
+            at, weight = np.frombuffer(rows[k][0], "<u2"), np.frombuffer(rows[k][1], "<f2").astype(np.float64)
             step = rate * (1 - steps / total)
             steps += 1
             hidden = weight @ vectors[at]
@@ -187,8 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("__id"), "__label", F.col(text_col).alias("__text"))
     rows = sample.mapInArrow(featurise, "__id string, __label int, at binary, weight binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["__id"], r["__label"], r["at"]))
-    decoded = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f2").astype(np.float64), r["__label"]) for r in rows]
-    return train(decoded)
+    return train([(r["at"], r["weight"], r["__label"]) for r in rows])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
