@@ -47,7 +47,10 @@ def exact_dedup(
     prefix = F.xxhash64(F.substring("__text", 1, prefix_chars)).alias("__prefix")
 
     twice = F.col("count") > 1
-    lengths = scan.groupBy(length).count().where(twice).select("__length")
+    # One row for each length; broadcast where few, so that rows of a frequent length need not meet.
+    lengths = settle(scan.groupBy(length).count().where(twice).select("__length"), "dedup-lengths")
+    if lengths.count() <= broadcast_keys:
+        lengths = F.broadcast(lengths)
     prefixes = (
         scan.select(length, prefix).join(lengths, "__length", "left_semi").groupBy("__length", "__prefix").count().where(twice).select("__length", "__prefix")
     )
@@ -73,14 +76,16 @@ def exact_dedup(
     hashed = rows.where(F.col("__full").isNotNull())
     groups = (
         hashed.groupBy("__length", "__full")
-        .agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count(F.lit(1)).alias("__size"))
+        .agg(F.max("__id").alias("__keep"), F.coalesce(F.max_by("__row", "__id"), F.max("__row")).alias("__best"), F.count(F.lit(1)).alias("__size"))
         .where(F.col("__size") > 1)
     )
+    # Settled, as of repeated ids any row may be the best, and so that Spark can split a large group's rows in the join.
+    groups = settle(groups, "dedup-groups")
     grouped = hashed.join(groups, ["__length", "__full"], "left").select(
         F.col("__id").alias(id_col),
-        F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__best.__id")).alias("keep_id"),
+        F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")).alias("keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("__best.__row") == F.col("__row"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("__best") == F.col("__row"), F.lit(True)).alias("kept"),
         *names,
     )
     return alone.unionByName(grouped)
