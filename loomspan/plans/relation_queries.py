@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import sequences
-from loomspan.operators import classify, loss, mutations, orthology, runs, stitch
+from loomspan.operators import aligned, classify, loss, mutations, orthology, resources, runs, stitch
 from loomspan.plans import views
 from loomspan.plans.views import with_views
 
@@ -287,12 +287,45 @@ def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.splice_mutations(exons, "doc_id", minor).groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("masked"), 1)).alias("n_masked"))
 
 
+def codon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codons of alignments with an intron of blanks after 25 columns."""
+    pairs = _aligned(spark, sf_dir).select(
+        "doc_id", F.concat(F.substring("ref", 1, 25), F.lit("    "), F.substring("ref", 26, 99)).alias("ref"), F.concat(F.substring("query", 1, 25), F.lit("gtag"), F.substring("query", 26, 99)).alias("query")
+    )
+    return aligned.codon_table(pairs, "doc_id")
+
+
+def deletion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.chain_blocks_raw(spark, sf_dir).select(F.col("chain_id"), F.col("block_no").alias("exon"), "size", F.when(F.col("dt") % 2 == 0, "D").when(F.col("dt") % 5 == 0, "M").otherwise("I").alias("state"))
+    return aligned.settle_deletions(rows, "chain_id").groupBy("chain_id", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bases"))
+
+
+def exon_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ["A", "A+", "B", "C", "M"])), (q % 5 + 1).cast("int"))
+    rows = views.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), kind.alias("class"), (q % 7 == 0).alias("in_gap"), (q % 2 == 0).alias("included"), (F.col("l_partkey") % 100).alias("identity"), (F.col("l_suppkey") % 80).alias("score"), (q % 11 == 0).alias("is_missing")
+    )
+    return aligned.exon_status(rows).groupBy("id", "state").count()
+
+
+def memory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = views.chain_blocks_raw(spark, sf_dir).groupBy("chain_id").agg(F.collect_list("size").alias("sizes"), F.sum("size").alias("r_len"), (F.max("dq") * 100_000).alias("q_len"))
+    planned = resources.plan_jobs(jobs, 0.5, 1.3)
+    return planned.select("chain_id", "gig", "fits", resources.bucket(F.col("gig"), [1, 1.5, 2]).alias("bucket"))
+
+
+def species_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.dna(spark, sf_dir).where("length(seq) >= 30 AND doc_id % 7 <> 3").select(F.expr("doc_id div 4").alias("species"), (F.col("doc_id") % 4).alias("exon"), F.substring("seq", F.lit(1), (10 + F.col("doc_id") % 9).cast("int")).alias("seq"))
+    return aligned.exon_alignments(rows, [0, 1, 2, 3])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chain_class, class_lists, choose_chains, feature_table, projection_fate, training_set, longest_isoform, gbt_classify, loss_tree, loss_rollup, loss_colours, intact_features, confidence_label, exon_marks,
         precedence_merge, assembly_stats, status_matrix, edge_scores, edge_components, component_classes, strong_pairs, orphan_genes, leaf_split, orthology_type, query_genes, stitch_fragments,
-        reverse_complement, translate_codons, codon_chunks, percent_identity, substitution_score, unknown_runs, mask_rule, projection_names, codon_mutations, compensated_shifts, splice_sites,
+        reverse_complement, translate_codons, codon_chunks, percent_identity, substitution_score, unknown_runs, mask_rule, projection_names, codon_mutations, compensated_shifts, splice_sites, codon_table, deletion_states, exon_states, memory_plan, species_alignment,
     )
 }
 
@@ -401,3 +434,19 @@ SQL["orthology_type"] = _split(
     f""", fin AS (SELECT component, count(DISTINCT r_gene) n_ref, count(DISTINCT q_gene) n_query FROM done GROUP BY 1)
     SELECT r_gene, q_gene, {_CLASS} orthology_class FROM done JOIN fin USING (component) UNION ALL SELECT 'P'||p_partkey, NULL, 'one2zero' FROM part WHERE 'P'||p_partkey NOT IN (SELECT r_gene FROM done)""",
 )
+
+SQL["exon_states"] = """WITH x AS (SELECT l_orderkey id, ['A','A+','B','C','M'][l_quantity::BIGINT%5+1] kind, l_quantity::BIGINT%2=0 inc, l_partkey%100>65 AND l_suppkey%80>40 good, l_partkey%100>45 AND l_suppkey%80>25 fair,
+    l_quantity::BIGINT%7=0 OR l_quantity::BIGINT%11=0 gap FROM lineitem), y AS (SELECT id, CASE WHEN gap OR kind='M' THEN 'M' WHEN kind IN ('A','A+','B') AND inc THEN 'I' WHEN (kind IN ('A','A+','B') OR inc) AND (good OR fair) THEN 'I' ELSE 'D' END state FROM x)
+    SELECT id, state, count(*) "count" FROM y GROUP BY 1,2"""
+SQL["memory_plan"] = with_views("chain_blocks_raw", """, j AS (SELECT chain_id, sum(39+6*(size//3))::DOUBLE n, sum(size)::DOUBLE r, max(dq)*100000.0::DOUBLE q FROM chain_blocks_raw GROUP BY 1),
+    g AS (SELECT chain_id, ceil((n*32+n*q*4+n*304+(q*2+r)*8+(q+r)*2+100000)/1e9)+0.25 gig FROM j)
+    SELECT chain_id, gig, CASE WHEN gig<=0.5 THEN 'fit' WHEN gig<=1.3 THEN 'big' ELSE 'no' END fits, CASE WHEN gig<=1 THEN 1.0 WHEN gig<=1.5 THEN 1.5 WHEN gig<=2 THEN 2.0 END::DOUBLE AS bucket FROM g""")
+SQL["species_alignment"] = with_views("dna", """, r AS (SELECT doc_id//4 species, doc_id%4 exon, substr(seq,1,10+doc_id%9) seq FROM dna WHERE length(seq)>=30 AND doc_id%7<>3), w AS (SELECT exon, max(length(seq)) w FROM r GROUP BY 1),
+    f AS (SELECT DISTINCT species, e exon FROM r, range(4) t(e)) SELECT species, string_agg(rpad(coalesce(seq,''), w::INT, '-'), '' ORDER BY exon) seq FROM f JOIN w USING (exon) LEFT JOIN r USING (species, exon) GROUP BY 1""")
+SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, substr(ref,1,25)||'    '||substr(ref,26) ref, substr(que,1,25)||'gtag'||substr(que,26) que FROM al),
+    c0 AS (SELECT doc_id, i, substr(ref,i,1) t, substr(que,i,1) q, CASE WHEN i<=25 THEN 0 ELSE 1 END ex FROM sp, range(1,65) x(i)),
+    c1 AS (SELECT *, sum((q<>'-')::INT) OVER (PARTITION BY doc_id ORDER BY i)-1 co, coalesce(sum((t NOT IN ('-',' '))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) le FROM c0),
+    c2 AS (SELECT *, le//3 b, min(CASE WHEN t<>'-' THEN ex END) OVER (PARTITION BY doc_id, le//3) fe FROM c1 WHERE t<>' '),
+    c3 AS (SELECT *, CASE WHEN t='-' AND le%3=0 AND (fe IS NULL OR ex<fe) THEN 0 ELSE 1 END p FROM c2), c4 AS (SELECT doc_id, b, p, string_agg(t,'' ORDER BY i) ref_codon, string_agg(upper(q),'' ORDER BY i) que_codon, max(ex) t_exon, count(*) FILTER (WHERE ex=0) z, count(*) n,
+      min(CASE WHEN q<>'-' THEN co END) first_at, max(CASE WHEN q<>'-' THEN co END) last_at FROM c3 GROUP BY 1,2,3)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon, ref_codon, que_codon, t_exon, t_exon q_exon, CASE WHEN t_exon=1 THEN z ELSE 0 END AS split, first_at, last_at FROM c4""")
