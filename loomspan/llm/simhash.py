@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import settle, table
@@ -13,6 +16,13 @@ from loomspan.operators.components import connected_components
 
 #: Keys of shared signatures that may be broadcast: 16 bytes each.
 BROADCAST_KEYS = 2_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Ids that may be broadcast: 8 bytes each.
+BROADCAST_IDS = 2_000_000
+#: Pieces of a text that are looked up, their least words, and one word in so many ends a piece.
+PIECES, PIECE_WORDS, PIECE_RATE = 8, 6, 12
+#: Texts of a piece shared by more than this meet the piece's best connected LEADERS alone.
+FREQUENT, LEADERS = 40, 4
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
 CROWDED = 200
 
@@ -155,6 +165,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def _word_hashes(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle, an empty one has none."""
+    words = _word_hashes(text)
+    if not len(words):
+        return words
+    size = min(width, len(words))
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        h = (h ^ words[k : k + len(h)]) * _MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def piece_keys(text: str | None) -> np.ndarray:
+    """Hashes of at most PIECES pieces of a text, those with the least hashes.
+
+    A word whose own hash says so ends a piece, so a change elsewhere leaves a
+    piece as it is. Pieces of fewer than PIECE_WORDS words, which many texts
+    share, don't count; a text without others is one piece.
+    """
+    words = _word_hashes(text)
+    if not len(words):
+        return words
+    spread = (words ^ (words >> np.uint64(31))) * _MIX
+    ends = np.flatnonzero((spread >> np.uint64(40)) % np.uint64(PIECE_RATE) == 0) + 1
+    starts = np.unique(np.concatenate(([0], ends[ends < len(words)])))
+    sizes = np.diff(np.concatenate((starts, [len(words)])))
+    place = np.arange(len(words)) - np.repeat(starts, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), _MIX | np.uint64(1)), dtype=np.uint64)
+    keys = np.add.reduceat(spread * powers[place], starts)
+    whole = np.bitwise_xor.reduce(spread * powers[0]) + np.uint64(len(words))
+    keys = keys[sizes >= PIECE_WORDS] if (sizes >= PIECE_WORDS).any() else np.array([whole])
+    keys = (keys ^ (keys >> np.uint64(29))) * _MIX
+    return np.unique(keys)[:PIECES]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ids whose sets of shingles have at least this Jaccard similarity.
+
+    For texts beyond the reach of three bits: a few changed words in a text of
+    usual length change ten bits of its fingerprint, but leave most pieces as
+    they are. Candidates share two of their least piece hashes (one, if either
+    has no more) and have sizes that allow the similarity; all of them are
+    verified on whole texts. A piece of up to ``frequent`` texts pairs these all; of
+    more, each meets the piece's leaders, the texts whose pieces are shared
+    most, as a text's copies share more with it than with each other. So
+    candidates grow with the pieces, not with the square of a group.
+
+    Null ids are left out, null and empty texts are similar to none. An empty
+    table gives an empty result.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = [piece_keys(t) for t in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(flat)], ["id", "key"])
+
+    keys = settle(texts.mapInArrow(pieces, f"id {kind}, key bigint").distinct(), "piece-keys")
+    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pieces-shared")
+    members = settle(keys.join(shared, "key"), "piece-members")
+    few = members.where(F.col("n") <= frequent).select("key", "id")
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    hub = members.groupBy("id").agg(F.sum("n").alias("hub"))
+    many = members.where(F.col("n") > frequent).join(hub, "id")
+    best = Window.partitionBy("key").orderBy(F.col("hub").desc(), "id")
+    leaders = settle(many.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("key", F.col("id").alias("leader")), "piece-leaders")
+    led = many.select("key", "id").join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    # A pair of leaders meets twice for a piece, which may make one shared piece count as two: it is verified all the same.
+    counted = pairs.unionAll(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    has = keys.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    lone = has.where("k = 1").select("id")
+    enough = counted.where("n > 1").select("a", "b")
+    single = counted.where("n = 1").select("a", "b")
+    single = single.join(lone.withColumnRenamed("id", "a"), "a", "left_semi").union(single.join(lone.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    wanted = settle(enough.union(single).distinct(), "similar-candidates")
+
+    ids = settle(wanted.select(F.col("a").alias("id")).union(wanted.select("b")).distinct(), "similar-ids")
+    held = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["id", "shingles"])
+
+    hashed = settle(held.mapInArrow(sets, f"id {kind}, shingles binary"), "similar-shingles")
+    left, right = hashed.select(F.col("id").alias("a"), F.col("shingles").alias("x")), hashed.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    x, y = F.octet_length("x"), F.octet_length("y")
+    near = wanted.join(left, "a").join(right, "b").where((F.least(x, y) > 0) & (F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)))
+
+    @F.pandas_udf("double")
+    def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for one, other in zip(xs, ys, strict=True):
+            p, q = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(common / (len(p) + len(q) - common))
+        return pd.Series(out, dtype="float64")
+
+    return near.withColumn("similarity", jaccard("x", "y")).where(F.col("similarity") >= similarity).select("a", "b", "similarity").distinct()
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
