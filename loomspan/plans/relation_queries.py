@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import sequences
-from loomspan.operators import aligned, classify, loss, mutations, orthology, resources, runs, stitch
+from loomspan.operators import aligned, classify, genome, loss, mutations, orthology, projections, resources, runs, stitch
 from loomspan.plans import views
 from loomspan.plans.views import with_views
 
@@ -320,12 +320,72 @@ def species_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.exon_alignments(rows, [0, 1, 2, 3])
 
 
+def gap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genome.gap_spans(views.dna(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "[GT]", "N")), "doc_id", least=4)
+
+
+def genome_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of each sequence, from chunks of 64 bases."""
+    entries = views.dna(spark, sf_dir).where("length(seq) >= 150").select(F.col("doc_id").cast("string").alias("header"), "seq")
+    spans = F.array(F.struct(F.lit(10).alias("s"), F.lit(140).alias("e"), F.lit("+").alias("strand")), F.struct(F.lit(60).alias("s"), F.lit(70).alias("e"), F.lit("-").alias("strand")))
+    regions = entries.select(F.col("header").alias("chrom"), F.explode(spans).alias("r")).select("chrom", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.strand")
+    return genome.fetch(genome.chunk_genome(entries, 64), regions, 64)
+
+
+def masked_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genome.reference_exons(views.dna(spark, sf_dir).where("length(seq) > 0")).select("doc_id", "problem", "masked")
+
+
+def split_codon_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.dna(spark, sf_dir).where("length(seq) >= 20").select("doc_id", F.substring("seq", 1, 20).alias("seq"))
+    return rows.select("doc_id", genome.mark_split_codons(F.col("seq"), F.col("doc_id") % 100).alias("marked"))
+
+
+def pseudogene_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = classify.classify_chains(_chain_table(spark, sf_dir)).withColumn("chain_class", F.when(F.col("score") < 0.2, "P_PGENES").otherwise("ORTH"))
+    chain = F.col("s_suppkey")
+    headers = views.read(spark, sf_dir, "supplier").select(
+        chain.alias("chain_id"), (F.col("s_nationkey") % 5).cast("string").alias("q_name"), F.lit(100000).cast("long").alias("q_size"), F.when(chain % 2 == 0, "+").otherwise("-").alias("q_strand"),
+        (chain * 37 % 9000).cast("long").alias("q_start"), (chain * 37 % 9000 + 100 + chain % 400).cast("long").alias("q_end"),
+    )
+    genes = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return projections.pseudogene_track(table, headers, genes)
+
+
+def exon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projections.exon_scores(codon_table(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "exon", F.round("identity", 6).alias("identity"))
+
+
+def projection_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.chain_blocks_raw(spark, sf_dir).select(
+        F.col("chain_id").alias("projection"), F.col("block_no").alias("exon"), (F.col("dt") % 2).cast("string").alias("chrom"), F.when(F.col("chain_id") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("dq") * 100).alias("s"), (F.col("dq") * 100 + F.col("size")).alias("e")
+    )
+    return projections.projection_tracks(rows).select("name", "chrom", "strand", "part", "start", "end", F.size("blocks").cast("long").alias("n_blocks"))
+
+
+def info_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("projection"), F.col("o_custkey").alias("transcript"))
+    places = views.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("projection")).agg(F.min("l_partkey").alias("place")).where("place % 3 <> 0")
+    regions = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("transcript"), F.col("c_nationkey").alias("region")).where("transcript % 4 <> 1")
+    scores = orders.where("projection % 5 <> 2").select("projection", (F.col("projection") % 100 / 100).alias("score"))
+    return projections.info_table(orders, places, regions, scores, loss_tree(spark, sf_dir).withColumnRenamed("loss", "class")).fillna(-1, ["place", "region"])
+
+
+def chosen_orthologs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ["one2one", "one2many", "one2zero"])), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = views.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("species"), F.col("o_orderkey").alias("projection"), kinds.alias("orthology_class"))
+    lone = projections.species_without(views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("species")), rows)
+    return projections.chosen_orthologs(rows, most_copies=8).unionByName(lone.select("species"), allowMissingColumns=True).fillna(-1, ["projection", "copies"]).fillna("none", ["orthology_class"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chain_class, class_lists, choose_chains, feature_table, projection_fate, training_set, longest_isoform, gbt_classify, loss_tree, loss_rollup, loss_colours, intact_features, confidence_label, exon_marks,
         precedence_merge, assembly_stats, status_matrix, edge_scores, edge_components, component_classes, strong_pairs, orphan_genes, leaf_split, orthology_type, query_genes, stitch_fragments,
         reverse_complement, translate_codons, codon_chunks, percent_identity, substitution_score, unknown_runs, mask_rule, projection_names, codon_mutations, compensated_shifts, splice_sites, codon_table, deletion_states, exon_states, memory_plan, species_alignment,
+        gap_spans, genome_fetch, masked_stops, split_codon_marks, pseudogene_track, exon_scores, projection_tracks, info_table, chosen_orthologs,
     )
 }
 
@@ -450,3 +510,30 @@ SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, s
     c3 AS (SELECT *, CASE WHEN t='-' AND le%3=0 AND (fe IS NULL OR ex<fe) THEN 0 ELSE 1 END p FROM c2), c4 AS (SELECT doc_id, b, p, string_agg(t,'' ORDER BY i) ref_codon, string_agg(upper(q),'' ORDER BY i) que_codon, max(ex) t_exon, count(*) FILTER (WHERE ex=0) z, count(*) n,
       min(CASE WHEN q<>'-' THEN co END) first_at, max(CASE WHEN q<>'-' THEN co END) last_at FROM c3 GROUP BY 1,2,3)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon, ref_codon, que_codon, t_exon, t_exon q_exon, CASE WHEN t_exon=1 THEN z ELSE 0 END AS split, first_at, last_at FROM c4""")
+
+_STOPS = "('TAA','TAG','TGA')"
+SQL["gap_spans"] = with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna), c AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) g FROM x, range(1,301) t(i) WHERE i<=length(seq) AND substr(seq,i,1)='N')
+    SELECT doc_id, min(i)-1 s, max(i) e FROM c GROUP BY doc_id, g HAVING count(*)>=4""")
+SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom, seq FROM dna WHERE length(seq)>=150) SELECT chrom, 10 s, 140 e, '+' strand, substr(seq,11,130) seq FROM x
+    UNION ALL SELECT chrom, 60, 70, '-', reverse(translate(substr(seq,61,10),'ACGT','TGCA')) FROM x""")
+SQL["masked_stops"] = with_views("dna", f""", c AS (SELECT doc_id, length(seq) n, i, (length(seq)-1)//3 l, substr(seq,3*i+1,3) c FROM dna, range(0,100) t(i) WHERE 3*i<length(seq))
+    SELECT doc_id, CASE WHEN max(n)%3<>0 THEN 'out of frame' WHEN max(CASE WHEN i=0 THEN c END)<>'ATG' THEN 'no start codon' WHEN max(CASE WHEN i=l THEN c END) NOT IN {_STOPS} THEN 'no stop codon' END problem,
+      string_agg(CASE WHEN c IN {_STOPS} AND i<l THEN 'NNN' ELSE c END, '' ORDER BY i) masked FROM c GROUP BY 1""")
+SQL["split_codon_marks"] = with_views("dna", """, x AS (SELECT doc_id, substr(seq,1,20) q, (3-doc_id%100%3)%3 h, (doc_id%100+20)%3 t FROM dna WHERE length(seq)>=20)
+    SELECT doc_id, lower(substr(q,1,h))||upper(substr(q,h+1,20-h-t))||lower(substr(q,21-t)) marked FROM x""")
+SQL["pseudogene_track"] = f"""WITH {_TABLE}, h AS (SELECT s_suppkey chain_id, (s_nationkey%5)::VARCHAR chrom, s_suppkey%2=0 plus, s_suppkey*37%9000 a, s_suppkey*37%9000+100+s_suppkey%400 b FROM supplier),
+    r AS (SELECT chrom, CASE WHEN (p_size%2=0)=plus THEN '+' ELSE '-' END strand, CASE WHEN plus THEN a ELSE 100000-b END s, CASE WHEN plus THEN b ELSE 100000-a END e, gene FROM d JOIN h USING (chain_id) JOIN part ON p_partkey=gene WHERE score<0.2),
+    m AS (SELECT *, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w THEN 1 ELSE 0 END f FROM r WINDOW w AS (PARTITION BY chrom, strand ORDER BY s, e, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    i AS (SELECT *, sum(f) OVER (PARTITION BY chrom, strand ORDER BY s, e, gene ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) g FROM m)
+    SELECT chrom, strand, min(s) s, max(e) e, count(*) n_parts, arg_min(gene, (s, e, gene)) AS name FROM i GROUP BY chrom, strand, g"""
+SQL["exon_scores"] = SQL["codon_table"].replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon", ", tb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon") + """),
+    cx AS (SELECT doc_id, t_exon, substr(ref_codon,k,1) r, substr(que_codon,k,1) q FROM tb, range(1,65) y(k) WHERE k<=length(ref_codon))
+    SELECT doc_id, t_exon exon, round(count(*) FILTER (WHERE r=q)*100/count(*), 6)::DOUBLE AS identity FROM cx WHERE r<>'N' AND q<>'N' GROUP BY 1,2"""
+SQL["projection_tracks"] = with_views("chain_blocks_raw", """, x AS (SELECT chain_id AS name, block_no, (dt%2)::VARCHAR chrom, CASE WHEN chain_id%2=0 THEN '+' ELSE '-' END strand, dq*100 s, dq*100+size e, CASE WHEN chain_id%2=0 THEN dq ELSE -dq END w FROM chain_blocks_raw),
+    f AS (SELECT *, CASE WHEN w <= lag(w) OVER (PARTITION BY name, chrom, strand ORDER BY block_no) THEN 1 ELSE 0 END c FROM x), g AS (SELECT *, sum(c) OVER (PARTITION BY name, chrom, strand ORDER BY block_no) part FROM f)
+    SELECT name, chrom, strand, part::BIGINT AS part, min(s) AS "start", max(e) AS "end", count(*) n_blocks FROM g GROUP BY 1,2,3,4""")
+SQL["info_table"] = f"""WITH {_LOSS}, pl AS (SELECT l_orderkey projection, min(l_partkey) place FROM lineitem GROUP BY 1 HAVING min(l_partkey)%3<>0)
+    SELECT o_orderkey projection, o_custkey transcript, coalesce(place,-1) place, coalesce(c_nationkey,-1) region, CASE WHEN o_orderkey%5<>2 THEN o_orderkey%100/100 ELSE 0.5 END::DOUBLE score, coalesce(loss,'M') AS "class"
+    FROM orders LEFT JOIN pl ON projection=o_orderkey LEFT JOIN customer ON c_custkey=o_custkey AND c_custkey%4<>1 LEFT JOIN losses ON losses.projection=o_orderkey"""
+SQL["chosen_orthologs"] = """WITH r AS (SELECT o_custkey species, o_orderkey projection, ['one2one','one2many','one2zero'][o_orderkey%3+1] orthology_class FROM orders), k AS (SELECT *, count(*) OVER (PARTITION BY species) copies FROM r WHERE orthology_class<>'one2zero')
+    SELECT * FROM k WHERE copies<=8 UNION ALL SELECT c_custkey, -1, 'none', -1 FROM customer WHERE c_custkey NOT IN (SELECT species FROM k)"""
