@@ -117,3 +117,43 @@ def test_sketches_that_err_are_counted(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"] // 100 for r in line_dedup.remove_boilerplate(df, 40, lg_k=4).where("n_removed > 0").collect()}
     assert got == set(range(40, 50))
+
+
+def test_pieces_stay_where_words_change_elsewhere():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    keys = set(simhash.piece_keys(" ".join(words)).tolist())
+    words[200] = "changed"
+    assert len(keys) == simhash.PIECES and len(keys & set(simhash.piece_keys(" ".join(words)).tolist())) >= simhash.PIECES - 2
+    assert len(simhash.piece_keys(None)) == len(simhash.piece_keys(" ")) == 0 and len(simhash.piece_keys("a b")) == 1
+    assert simhash.piece_keys("A B") == simhash.piece_keys("a  b") and simhash.piece_keys("a b") != simhash.piece_keys("b a c")
+    assert len(simhash.shingles("a b c")) == 1 and len(simhash.shingles("a b c d e f")) == 2 and len(simhash.shingles("a " * 50)) == 1
+
+
+@pytest.mark.parametrize("frequent", [simhash.FREQUENT, 5])
+def test_similar_texts_match_brute_force(spark, frequent):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = {0: base}
+    for i in range(1, 60):  # copies of one text, nearer to it than to each other
+        texts[i] = list(base)
+        for k in rng.sample(range(200), rng.randrange(1, 5)):
+            texts[i][k] = f"x{rng.randrange(10**6)}"
+    for i in range(100, 160, 2):
+        texts[i] = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 300))]
+        texts[i + 1] = texts[i][: rng.randrange(5, len(texts[i]) + 1)] + ["tail"]
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(900, None), (901, ""), (902, ""), (None, " ".join(base))]
+    got = {(r["a"], r["b"]) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()}
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows if i is not None and t}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert got <= want
+    if frequent == simhash.FREQUENT:
+        assert len(got & {p for p in want if p[1] >= 100}) >= 0.95 * len([p for p in want if p[1] >= 100])
+    # However many share a piece, all copies hang together.
+    label = {i: i for i in range(60)}
+    for _ in range(8):
+        for a, b in got:
+            if b < 60:
+                label[a] = label[b] = min(label[a], label[b])
+    assert len({label[i] for i in range(60) if any(i in p for p in want)}) == 1
+    assert simhash.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0

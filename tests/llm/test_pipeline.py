@@ -11,6 +11,20 @@ from loomspan.llm import decontaminate, quality, simhash
 DATA = "/root/testdata/sf0.001"
 
 
+def leave(rows, linked, first):
+    """Of each component of linked rows the first."""
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and linked(i, j):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    groups = {}
+    for r, x in zip(rows, label, strict=True):
+        groups.setdefault(x, []).append(r)
+    return [min(g, key=first) for g in groups.values()]
+
+
 def write(spark, tmp, docs):
     rng = random.Random(1)
     sf = str(tmp)
@@ -33,6 +47,7 @@ def sf_dir(spark, tmp_path_factory):
         if i % 10 == 1:
             words[20:20] = [f"bench{k}" for k in range(30)]
         docs.append((i, " ".join(words), "en", f"s{i % 4}" if i % 5 else None, 1))
+    docs += [(700 + i, " ".join([w if k != 30 else "changed" for k, w in enumerate(docs[10 * i + 2][1].split())]), "en", "s2", 1) for i in range(12)]
     docs += [(300 + i, docs[1 + 6 * i][1], "en", "s1", 1) for i in range(20)] + [(i, t, a, b, c) for i, t, a, b, c in docs[7:9]] + [(500, None, None, None, None), (501, "", "", "", 0), (None, docs[13][1], "en", "s2", 1)]
     return write(spark, tmp_path_factory.mktemp("tables"), docs)
 
@@ -54,16 +69,12 @@ def test_stages(spark, sf_dir):
             assert not any("%" in (r[1] or "") for r in want)
         elif name == "near_duplicates":
             prints = [simhash.fingerprint(r[1]) & (2**64 - 1) for r in rows]
-            label = list(range(len(rows)))
-            for i in range(len(rows)):
-                for j in range(i):
-                    if (prints[i] ^ prints[j]).bit_count() <= 3 and label[i] != label[j]:
-                        old, new = label[i], label[j]
-                        label = [new if x == old else x for x in label]
-            groups = {}
-            for r, x in zip(rows, label, strict=True):
-                groups.setdefault(x, []).append(r)
-            want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+            first = lambda r: (r[0] is None, r[0] or 0)
+            left = leave(rows, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3, first)
+            sets = [set(simhash.shingles(r[1]).tolist()) for r in left]
+            close = lambda i, j: None not in (left[i][0], left[j][0]) and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            want = leave(left, close, first)
+            assert len(want) < len(left) < len(rows)
         elif name == "decontaminate":
             bench = [f"bench{k}" for k in range(30)]
             runs = lambda t: any(sum(a == b for a, b in zip(bench[x : x + 13], t[y : y + 13], strict=True)) >= 10 for x in range(18) for y in range(len(t) - 12))
