@@ -104,7 +104,7 @@ def choose_chains(classified: DataFrame, limit: int = 100, one2one_only: bool =
     if one2one_only:
         chosen = chosen.where("__n = 1")
     rank = F.row_number().over(Window.partitionBy("gene").orderBy("chain_id"))
-    return chosen.withColumn("rank", rank).withColumn("kept", F.col("rank") <= limit).select("gene", "chain_id", "chain_class", "rank", "kept")
+    return chosen.withColumn("rank", rank).withColumn("kept", F.col("rank") <= limit).select("gene", "chain_id", "chain_class", F.col("rank").cast("long").alias("rank"), "kept")
 
 
 def projection_fate(loci: DataFrame) -> DataFrame:

@@ -52,4 +52,4 @@ def bridged_pairs(df: DataFrame, keys: Sequence[str], position: str, state: str,
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int, rank: str = "rank") -> DataFrame:
     """The first ``limit`` rows of each key; Spark prunes such groups before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col(rank) <= limit)
+    return ranked.where(F.col(rank) <= limit).withColumn(rank, F.col(rank).cast("long"))

@@ -509,13 +509,13 @@ SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, s
     c2 AS (SELECT *, le//3 b, min(CASE WHEN t<>'-' THEN ex END) OVER (PARTITION BY doc_id, le//3) fe FROM c1 WHERE t<>' '),
     c3 AS (SELECT *, CASE WHEN t='-' AND le%3=0 AND (fe IS NULL OR ex<fe) THEN 0 ELSE 1 END p FROM c2), c4 AS (SELECT doc_id, b, p, string_agg(t,'' ORDER BY i) ref_codon, string_agg(upper(q),'' ORDER BY i) que_codon, max(ex) t_exon, count(*) FILTER (WHERE ex=0) z, count(*) n,
       min(CASE WHEN q<>'-' THEN co END) first_at, max(CASE WHEN q<>'-' THEN co END) last_at FROM c3 GROUP BY 1,2,3)
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon, ref_codon, que_codon, t_exon, t_exon q_exon, CASE WHEN t_exon=1 THEN z ELSE 0 END AS split, first_at, last_at FROM c4""")
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon, ref_codon, que_codon, t_exon::BIGINT t_exon, t_exon::BIGINT q_exon, CASE WHEN t_exon=1 THEN z ELSE 0 END AS split, first_at, last_at FROM c4""")
 
 _STOPS = "('TAA','TAG','TGA')"
 SQL["gap_spans"] = with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna), c AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) g FROM x, range(1,301) t(i) WHERE i<=length(seq) AND substr(seq,i,1)='N')
     SELECT doc_id, min(i)-1 s, max(i) e FROM c GROUP BY doc_id, g HAVING count(*)>=4""")
-SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom, seq FROM dna WHERE length(seq)>=150) SELECT chrom, 10 s, 140 e, '+' strand, substr(seq,11,130) seq FROM x
-    UNION ALL SELECT chrom, 60, 70, '-', reverse(translate(substr(seq,61,10),'ACGT','TGCA')) FROM x""")
+SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom, seq FROM dna WHERE length(seq)>=150) SELECT chrom, 10::BIGINT s, 140::BIGINT e, '+' strand, substr(seq,11,130) seq FROM x
+    UNION ALL SELECT chrom, 60::BIGINT, 70::BIGINT, '-', reverse(translate(substr(seq,61,10),'ACGT','TGCA')) FROM x""")
 SQL["masked_stops"] = with_views("dna", f""", c AS (SELECT doc_id, length(seq) n, i, (length(seq)-1)//3 l, substr(seq,3*i+1,3) c FROM dna, range(0,100) t(i) WHERE 3*i<length(seq))
     SELECT doc_id, CASE WHEN max(n)%3<>0 THEN 'out of frame' WHEN max(CASE WHEN i=0 THEN c END)<>'ATG' THEN 'no start codon' WHEN max(CASE WHEN i=l THEN c END) NOT IN {_STOPS} THEN 'no stop codon' END problem,
       string_agg(CASE WHEN c IN {_STOPS} AND i<l THEN 'NNN' ELSE c END, '' ORDER BY i) masked FROM c GROUP BY 1""")
