@@ -157,3 +157,19 @@ def exon_alignments(rows: DataFrame, exons: list[int], key: str = "species") ->
     padded = full.join(widths, "exon", "left").join(rows, [key, "exon"], "left")
     text = F.rpad(F.coalesce("seq", F.lit("")), F.coalesce("__w", F.lit(0)), F.lit("-"))
     return padded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("exon", text.alias("x")))).alias("xs")).select(key, F.array_join(F.transform("xs", lambda x: x["x"]), "").alias("seq"))
+
+
+def frame_states(codons: DataFrame, exons: DataFrame, mutations: DataFrame, key: str) -> DataFrame:
+    """(key, states): a letter per codon for ``loss.intact_features``.
+
+    ``exons``: key, exon (from 1), state; ``mutations``: key, codon, those that
+    count. A codon of a deleted exon is lost, of one whose deletion keeps the
+    frame deleted, of a missing one missing; else one of gaps alone is deleted
+    and others intact. A mutation makes a codon that is not missing lost.
+    """
+    hit = mutations.select(key, "codon").distinct().withColumn("__hit", F.lit(True))
+    states = exons.select(key, (F.col("exon") - 1).alias("t_exon"), F.col("state").alias("__exon"))
+    joined = codons.join(states, [key, "t_exon"], "left").join(hit, [key, "codon"], "left")
+    own = F.when(F.col("__exon") == "M", "M").when(F.col("__exon") == "mD", "D").when(F.col("__exon") == "D", "L").when(F.col("que_codon") == "---", "D").otherwise("I")
+    letter = F.when(F.col("__hit") & (own != "M"), "L").otherwise(own)
+    return joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("codon", letter.alias("x")))).alias("xs")).select(key, F.array_join(F.transform("xs", lambda x: x["x"]), "").alias("states"))

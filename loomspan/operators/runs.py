@@ -53,3 +53,8 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     """The first ``limit`` rows of each key; Spark prunes such groups before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(rank) <= limit).withColumn(rank, F.col(rank).cast("long"))
+
+
+def near_equal_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int, into: str = "part") -> DataFrame:
+    """Numbers the rows of each key from 0 to ``parts`` - 1 in near equal, contiguous parts."""
+    return df.withColumn(into, F.ntile(parts).over(Window.partitionBy(*keys).orderBy(*order)) - 1)

@@ -379,13 +379,34 @@ def chosen_orthologs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.chosen_orthologs(rows, most_copies=8).unionByName(lone.select("species"), allowMissingColumns=True).fillna(-1, ["projection", "copies"]).fillna("none", ["orthology_class"])
 
 
+def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intactness of aligned frames of two exons, from codons, exon states and stops."""
+    codons = codon_table(spark, sf_dir)
+    exons = codons.select("doc_id", (F.col("t_exon") + 1).alias("exon")).distinct()
+    state = F.element_at(F.array(*map(F.lit, ["I", "I", "D", "mD", "M", "I"])), ((F.col("doc_id") + F.col("exon") * 5) % 6 + 1).cast("int"))
+    hits = codons.where(F.regexp_replace("que_codon", "-", "").isin("TAA", "TAG", "TGA"))
+    found = loss.intact_features(aligned.frame_states(codons, exons.withColumn("state", state), hits, "doc_id"))
+    return found.select("doc_id", "states", "middle_is_intact", "middle_is_present", F.round("intact_codons", 9).alias("intact_codons"))
+
+
+def query_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = loss_tree(spark, sf_dir)
+    paralogs = found.where("projection % 7 = 0").select("projection")
+    return orthology.query_transcripts(found.select("projection"), paralogs, found.where("projection % 5 <> 1").withColumnRenamed("loss", "class"))
+
+
+def job_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"))
+    return runs.near_equal_parts(rows, ["k"], ["id"], 4).select("k", "id", F.col("part").cast("long").alias("part"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chain_class, class_lists, choose_chains, feature_table, projection_fate, training_set, longest_isoform, gbt_classify, loss_tree, loss_rollup, loss_colours, intact_features, confidence_label, exon_marks,
         precedence_merge, assembly_stats, status_matrix, edge_scores, edge_components, component_classes, strong_pairs, orphan_genes, leaf_split, orthology_type, query_genes, stitch_fragments,
         reverse_complement, translate_codons, codon_chunks, percent_identity, substitution_score, unknown_runs, mask_rule, projection_names, codon_mutations, compensated_shifts, splice_sites, codon_table, deletion_states, exon_states, memory_plan, species_alignment,
-        gap_spans, genome_fetch, masked_stops, split_codon_marks, pseudogene_track, exon_scores, projection_tracks, info_table, chosen_orthologs,
+        gap_spans, genome_fetch, masked_stops, split_codon_marks, pseudogene_track, exon_scores, projection_tracks, info_table, chosen_orthologs, frame_states, query_transcripts, job_parts,
     )
 }
 
@@ -537,3 +558,12 @@ SQL["info_table"] = f"""WITH {_LOSS}, pl AS (SELECT l_orderkey projection, min(l
     FROM orders LEFT JOIN pl ON projection=o_orderkey LEFT JOIN customer ON c_custkey=o_custkey AND c_custkey%4<>1 LEFT JOIN losses ON losses.projection=o_orderkey"""
 SQL["chosen_orthologs"] = """WITH r AS (SELECT o_custkey species, o_orderkey projection, ['one2one','one2many','one2zero'][o_orderkey%3+1] orthology_class FROM orders), k AS (SELECT *, count(*) OVER (PARTITION BY species) copies FROM r WHERE orthology_class<>'one2zero')
     SELECT * FROM k WHERE copies<=8 UNION ALL SELECT c_custkey, -1, 'none', -1 FROM customer WHERE c_custkey NOT IN (SELECT species FROM k)"""
+
+SQL["frame_states"] = SQL["codon_table"].replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon", ", tb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon") + """),
+    st AS (SELECT doc_id, codon, que_codon, ['I','I','D','mD','M','I'][((doc_id + (t_exon+1)*5)%6+1)::INT] es FROM tb),
+    lt AS (SELECT doc_id, codon, CASE WHEN es='M' THEN 'M' WHEN replace(que_codon,'-','') IN ('TAA','TAG','TGA') THEN 'L' WHEN es='mD' THEN 'D' WHEN es='D' THEN 'L' WHEN que_codon='---' THEN 'D' ELSE 'I' END x FROM st),
+    sx AS (SELECT doc_id, string_agg(x, '' ORDER BY codon) states, count(*) n, count(*)//10 t, count(*) FILTER (WHERE x='I') i, count(*) FILTER (WHERE x='M') m FROM lt GROUP BY 1)
+    SELECT doc_id, states, CASE WHEN t=0 THEN true ELSE NOT contains(substr(states,1,n-t),'L') END middle_is_intact, CASE WHEN t=0 THEN true ELSE NOT contains(substr(states,t+1,n-2*t),'M') END middle_is_present,
+      round(CASE WHEN n=m THEN 1.0 ELSE i/(n-m) END, 9)::DOUBLE intact_codons FROM sx"""
+SQL["query_transcripts"] = f"WITH {_LOSS} SELECT projection FROM losses WHERE projection%7<>0 AND projection%5<>1 AND loss IN ('I','PI','UL')"
+SQL["job_parts"] = "SELECT o_custkey k, o_orderkey id, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS part FROM orders"

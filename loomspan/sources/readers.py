@@ -95,3 +95,26 @@ def number_repeats(lines: DataFrame, at: str, text: str, kinds: tuple[str, ...]
     kind = F.get(F.split(text, "\t"), F.lit(2))
     kept = marked.withColumn("kind", kind).where(F.col("kind").isin(*kinds))
     return kept.withColumn("number", F.row_number().over(Window.partitionBy("gene_no", "kind").orderBy(at)))
+
+
+def read_alignments(spark: SparkSession, path: str, marker: str = ">reference") -> DataFrame:
+    """(projection, ref, query) from records of four lines: the marker, the reference, ``>projection`` and the query.
+
+    Sequences of two lengths fail the job.
+    """
+    text = spark.read.option("lineSep", marker).text(path)
+    lines = F.split("value", r"\r?\n")
+    rows = text.select(F.get(lines, F.lit(1)).alias("ref"), F.get(lines, F.lit(2)).alias("name"), F.get(lines, F.lit(3)).alias("query")).where("name LIKE '>%'")
+    same = F.length("ref") == F.length("query")
+    checked = F.when(same, F.col("ref")).otherwise(F.raise_error(F.concat(F.lit("sequences of two lengths: "), "name")))
+    return rows.select(F.trim(F.substring("name", 2, 10_000)).alias("projection"), checked.alias("ref"), "query")
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, que, score) of a substitution matrix: a heading line of letters, then a letter and its scores a line."""
+    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    # The heading has no number and is one line, so it may meet every other.
+    letters = lines.where(~F.get("f", F.lit(1)).rlike(r"^-?\d+$")).agg(F.first("f").alias("heading"))
+    rows = lines.where(F.get("f", F.lit(1)).rlike(r"^-?\d+$")).select(F.get("f", F.lit(0)).alias("ref"), F.posexplode(F.slice("f", 2, F.size("f") - 1)).alias("at", "score"))
+    named = rows.join(F.broadcast(letters.select(F.posexplode("heading").alias("at", "que"))), "at")
+    return named.select("ref", "que", F.col("score").cast("int").alias("score"))

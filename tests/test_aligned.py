@@ -145,3 +145,10 @@ def test_annotation_pipeline(spark, tmp_path):
     assert [(r["chain_id"], r["kept"]) for r in out["chosen"].collect()] == [(7, True)]
     assert [(r["region"], r["q_from"], r["q_to"]) for r in out["loci"].collect()] == [("t1", 50, 330)]
     assert set(annotation.annotate(genes, headers, raw, up_to="overlaps")) == {"genes", "rejected", "chains", "overlaps", "skipped"}
+
+
+def test_frame_states(spark):
+    codons = spark.createDataFrame([("k", 1, "ATG", 0), ("k", 2, "---", 0), ("k", 3, "TAA", 0), ("k", 4, "CCC", 1), ("k", 5, "CCC", 2), ("k", 6, "TAA", 3), ("k", 7, "CCC", 4)], "k string, codon long, que_codon string, t_exon long")
+    exons = spark.createDataFrame([("k", 1, "I"), ("k", 2, "D"), ("k", 3, "mD"), ("k", 4, "M")], "k string, exon long, state string")
+    hits = spark.createDataFrame([("k", 3), ("k", 6)], "k string, codon long")
+    assert [tuple(r) for r in aligned.frame_states(codons, exons, hits, "k").collect()] == [("k", "IDLLDMI")]

@@ -73,3 +73,10 @@ def test_lines_are_numbered_within_genes(spark):
     rows = [(1, "c\tx\texon"), (2, "c\tx\texon"), (3, "###"), (4, "c\tx\texon"), (5, "c\tx\tCDS")]
     got = readers.number_repeats(spark.createDataFrame(rows, "at int, line string"), "at", "line").orderBy("at").collect()
     assert [(r["at"], r["number"]) for r in got] == [(1, 1), (2, 2), (4, 1), (5, 1)]
+
+
+def test_alignments_and_matrix(spark, tmp_path):
+    found = readers.read_alignments(spark, put(tmp_path / "a.txt", ">reference\nATG  CC\n>p.1\nATGgtCC\n>reference\nA\n>p.2\nC\n"))
+    assert sorted(tuple(r) for r in found.collect()) == [("p.1", "ATG  CC", "ATGgtCC"), ("p.2", "A", "C")]
+    matrix = readers.read_matrix(spark, put(tmp_path / "m.txt", "# note\n   A  R\nA  4 -1\nR -1  5\n"))
+    assert sorted(tuple(r) for r in matrix.collect()) == [("A", "A", 4), ("A", "R", -1), ("R", "A", -1), ("R", "R", 5)]
