@@ -40,3 +40,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Frames that were built on them can't be read after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
