@@ -244,9 +244,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaders = settle(many.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("key", F.col("id").alias("leader")), "piece-leaders")
     led = many.select("key", "id").join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     # A pair of leaders meets twice for a piece, which may make one shared piece count as two: it is verified all the same.
-    counted = pairs.unionAll(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    has = keys.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    lone = has.where("k = 1").select("id")
+    # Both are settled, so that Spark can split the candidates of a text that many copies meet.
+    counted = settle(pairs.unionAll(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pieces-counted")
+    lone = settle(keys.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("id"), "pieces-lone")
     enough = counted.where("n > 1").select("a", "b")
     single = counted.where("n = 1").select("a", "b")
     single = single.join(lone.withColumnRenamed("id", "a"), "a", "left_semi").union(single.join(lone.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
