@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.intervals import overlap_join
 from loomspan.operators.loss import exon_mark
 from loomspan.operators.mutations import STOPS
 from loomspan.operators.runs import bridged_pairs
@@ -173,3 +174,27 @@ def frame_states(codons: DataFrame, exons: DataFrame, mutations: DataFrame, key:
     own = F.when(F.col("__exon") == "M", "M").when(F.col("__exon") == "mD", "D").when(F.col("__exon") == "D", "L").when(F.col("que_codon") == "---", "D").otherwise("I")
     letter = F.when(F.col("__hit") & (own != "M"), "L").otherwise(own)
     return joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("codon", letter.alias("x")))).alias("xs")).select(key, F.array_join(F.transform("xs", lambda x: x["x"]), "").alias("states"))
+
+
+def whole_codon_exons(codons: DataFrame, key: str) -> DataFrame:
+    """(key, t_exon, whole): whether every codon of an exon has three bases on either side and no gap."""
+    whole = (F.length("ref_codon") == 3) & (F.length("que_codon") == 3) & ~F.contains("ref_codon", F.lit("-")) & ~F.contains("que_codon", F.lit("-"))
+    return codons.groupBy(key, "t_exon").agg(F.bool_and(whole).alias("whole"))
+
+
+def region_mark(expected_s: Column, expected_e: Column, s: Column, e: Column) -> Column:
+    """INC if a predicted region shares a base with the expected one (ends in either order), else EXCL."""
+    low, high = F.greatest(F.least(expected_s, expected_e), F.least(s, e)), F.least(F.greatest(expected_s, expected_e), F.greatest(s, e))
+    return F.when(high > low, "INC").otherwise("EXCL")
+
+
+def upgraded_class(kind: Column, whole: Column, covered: Column, same_length: Column) -> Column:
+    """A+ for an exon of class A with whole codons, of one length, whose flanks the chain covers alike; else its class."""
+    return F.when((kind == "A") & whole & covered & same_length, "A+").otherwise(kind)
+
+
+def beside_gap(exons: DataFrame, gaps: DataFrame, keys: list[str], flank: int = 50, bin_size: int = 1024) -> DataFrame:
+    """Adds ``in_gap``: whether an exon (keys, exon, s, e), widened by the flank, touches an assembly gap (keys, s, e)."""
+    wide = exons.select(*keys, "exon", (F.col("s") - flank).alias("s"), (F.col("e") + flank).alias("e"))
+    hit = overlap_join(wide, gaps.select(*keys, "s", "e"), keys, bin_size, closed=True).select(*keys, F.col("a_exon").alias("exon")).distinct().withColumn("in_gap", F.lit(True))
+    return exons.join(hit, [*keys, "exon"], "left").withColumn("in_gap", F.coalesce("in_gap", F.lit(False)))

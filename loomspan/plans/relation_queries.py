@@ -400,6 +400,23 @@ def job_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.near_equal_parts(rows, ["k"], ["id"], 4).select("k", "id", F.col("part").cast("long").alias("part"))
 
 
+def whole_codon_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = aligned.whole_codon_exons(codon_table(spark, sf_dir), "doc_id")
+    kind = aligned.upgraded_class(F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B"), F.col("whole"), F.col("doc_id") % 3 > 0, F.col("t_exon") == 0)
+    return whole.select("doc_id", "t_exon", "whole", kind.alias("kind"))
+
+
+def region_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("long")
+    mark = aligned.region_mark(F.col("l_partkey") % 300, F.col("l_partkey") % 300 + q, F.col("l_suppkey") % 300 + q, F.col("l_suppkey") % 300)
+    return views.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), mark.alias("mark")).groupBy("id", "mark").count()
+
+
+def exons_beside_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exons = views.iv_a(spark, sf_dir).withColumnRenamed("id", "exon")
+    return aligned.beside_gap(exons, views.iv_b(spark, sf_dir), ["k"]).select("k", "exon", "in_gap")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -407,6 +424,7 @@ QUERIES = {
         precedence_merge, assembly_stats, status_matrix, edge_scores, edge_components, component_classes, strong_pairs, orphan_genes, leaf_split, orthology_type, query_genes, stitch_fragments,
         reverse_complement, translate_codons, codon_chunks, percent_identity, substitution_score, unknown_runs, mask_rule, projection_names, codon_mutations, compensated_shifts, splice_sites, codon_table, deletion_states, exon_states, memory_plan, species_alignment,
         gap_spans, genome_fetch, masked_stops, split_codon_marks, pseudogene_track, exon_scores, projection_tracks, info_table, chosen_orthologs, frame_states, query_transcripts, job_parts,
+        whole_codon_exons, region_marks, exons_beside_gaps,
     )
 }
 
@@ -567,3 +585,10 @@ SQL["frame_states"] = SQL["codon_table"].replace("SELECT doc_id, row_number() OV
       round(CASE WHEN n=m THEN 1.0 ELSE i/(n-m) END, 9)::DOUBLE intact_codons FROM sx"""
 SQL["query_transcripts"] = f"WITH {_LOSS} SELECT projection FROM losses WHERE projection%7<>0 AND projection%5<>1 AND loss IN ('I','PI','UL')"
 SQL["job_parts"] = "SELECT o_custkey k, o_orderkey id, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS part FROM orders"
+
+SQL["whole_codon_exons"] = SQL["codon_table"].replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon", ", tb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon") + """),
+    w AS (SELECT doc_id, t_exon, bool_and(length(ref_codon)=3 AND length(que_codon)=3 AND NOT contains(ref_codon,'-') AND NOT contains(que_codon,'-')) whole FROM tb GROUP BY 1,2)
+    SELECT *, CASE WHEN doc_id%2=0 AND whole AND doc_id%3>0 AND t_exon=0 THEN 'A+' WHEN doc_id%2=0 THEN 'A' ELSE 'B' END kind FROM w"""
+SQL["region_marks"] = """WITH x AS (SELECT l_orderkey id, l_partkey%300 a, l_suppkey%300 b, l_quantity::BIGINT q FROM lineitem)
+    SELECT id, CASE WHEN least(a+q,b+q) > greatest(a,b) THEN 'INC' ELSE 'EXCL' END mark, count(*) "count" FROM x GROUP BY 1,2"""
+SQL["exons_beside_gaps"] = with_views("iv_a iv_b", "SELECT k, id exon, EXISTS (SELECT 1 FROM iv_b b WHERE a.k=b.k AND a.s-50<=b.e AND b.s<=a.e+50) in_gap FROM iv_a a")

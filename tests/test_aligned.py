@@ -152,3 +152,14 @@ def test_frame_states(spark):
     exons = spark.createDataFrame([("k", 1, "I"), ("k", 2, "D"), ("k", 3, "mD"), ("k", 4, "M")], "k string, exon long, state string")
     hits = spark.createDataFrame([("k", 3), ("k", 6)], "k string, codon long")
     assert [tuple(r) for r in aligned.frame_states(codons, exons, hits, "k").collect()] == [("k", "IDLLDMI")]
+
+
+def test_regions_and_gaps(spark):
+    df = spark.createDataFrame([(1, 5, 4, 9), (5, 1, 9, 5), (1, 5, 5, 9), (1, 9, 4, 3)], "a long, b long, s long, e long")
+    assert [r[0] for r in df.select(aligned.region_mark(F.col("a"), F.col("b"), F.col("s"), F.col("e"))).collect()] == ["INC", "EXCL", "EXCL", "INC"]
+    exons = spark.createDataFrame([("c", 1, 100, 150), ("c", 2, 400, 450), ("d", 1, 100, 150)], "chrom string, exon int, s long, e long")
+    gaps = spark.createDataFrame([("c", 160, 170), ("c", 470, 480)], "chrom string, s long, e long")
+    got = aligned.beside_gap(exons, gaps, ["chrom"], flank=10).collect()
+    assert {(r["chrom"], r["exon"]): r["in_gap"] for r in got} == {("c", 1): True, ("c", 2): False, ("d", 1): False}
+    codons = spark.createDataFrame([("k", 0, "ATG", "ATG"), ("k", 0, "CTG", "CT-"), ("k", 1, "CTG", "CTA")], "k string, t_exon int, ref_codon string, que_codon string")
+    assert {r["t_exon"]: r["whole"] for r in aligned.whole_codon_exons(codons, "k").collect()} == {0: False, 1: True}
