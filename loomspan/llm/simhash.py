@@ -21,8 +21,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_IDS = 2_000_000
 #: Pieces of a text that are looked up, their least words, and one word in so many ends a piece.
 PIECES, PIECE_WORDS, PIECE_RATE = 8, 6, 12
-#: Texts of a piece shared by more than this meet the piece's best connected LEADERS alone.
+#: Texts of a shingle shared by more than this meet the shingle's best connected LEADERS first.
 FREQUENT, LEADERS = 40, 4
+#: Of so many rows one is sampled to find shingles that many texts hold; of these at most COMMON (8 bytes each) are sent to executors.
+SAMPLE, COMMON = 16, 300_000
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
 CROWDED = 200
 
@@ -206,52 +208,101 @@ def piece_keys(text: str | None) -> np.ndarray:
     return np.unique(keys)[:PIECES]
 
 
+def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """At most COMMON shingles that most rows of a sample hold, the rarest of them first.
+
+    The sample decides only in which order shingles are looked up, so what is found does not depend on it.
+    """
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = [shingles(t, width) for t in batch.column(1).slice(at, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    counts = settle(sample.mapInArrow(sets, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "shingle-counts")
+    spread = sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True)
+    least, total = None, 0
+    for n, of in spread:
+        total += of
+        if total > COMMON:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys = np.asarray(found.column("key")).view(np.uint64)
+    return keys[np.lexsort((keys, np.asarray(found.column("n"))))]
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """Pairs (``a`` < ``b``) of ids whose sets of shingles have at least this Jaccard similarity.
 
     For texts beyond the reach of three bits: a few changed words in a text of
-    usual length change ten bits of its fingerprint, but leave most pieces as
-    they are. Candidates share two of their least piece hashes (one, if either
-    has no more) and have sizes that allow the similarity; all of them are
-    verified on whole texts. A piece of up to ``frequent`` texts pairs these all; of
-    more, each meets the piece's leaders, the texts whose pieces are shared
-    most, as a text's copies share more with it than with each other. So
-    candidates grow with the pieces, not with the square of a group.
+    usual length change ten bits of its fingerprint. With all shingles in one
+    order, two sets of n and m shingles that are so similar have one in common
+    among the first n - ceil(similarity * n) + 1 of the one and as many of the
+    other. So candidates share one of these, at places and with sizes that allow
+    the similarity, and none is missed whatever the order is; shingles that many
+    texts hold come last in it, so that few texts are looked up by a template's.
+    All candidates are verified on whole texts. A shingle of up to ``frequent``
+    texts pairs these all; of more, each meets the shingle's leaders, the texts
+    whose shingles are shared most.
 
     Null ids are left out, null and empty texts are similar to none. An empty
     table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    common = _common_shingles(texts, width)
+    by_key = np.argsort(common)
+    shared_by_many = docs.sparkSession.sparkContext.broadcast((common[by_key], by_key))
 
-    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = shared_by_many.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys = [piece_keys(t) for t in part.column(1).to_pylist()]
-                rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(flat)], ["id", "key"])
-
-    keys = settle(texts.mapInArrow(pieces, f"id {kind}, key bigint").distinct(), "piece-keys")
-    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pieces-shared")
-    members = settle(keys.join(shared, "key"), "piece-members")
-    few = members.where(F.col("n") <= frequent).select("key", "id")
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+                keys, sizes = [], []
+                for text in part.column(1).to_pylist():
+                    found = shingles(text, width)
+                    sizes.append(len(found))
+                    if len(known) and len(found):
+                        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        found = found[np.argsort(np.where(known[place] == found, ranks[place] + 1, 0), kind="stable")]
+                    keys.append(found[: len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1])
+                lengths = [len(k) for k in keys]
+                rows = np.repeat(np.arange(len(keys)), lengths)
+                places = np.concatenate([np.arange(k) for k in lengths]).astype(np.int32)
+                arrays = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(sizes, np.int32)[rows]), pa.array(places), pa.array(np.concatenate(keys).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "at", "key"])
+
+    keys = settle(texts.mapInArrow(prefixes, f"id {kind}, size int, at int, key bigint"), "prefix-keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    shared = settle(shared.select("key", "n"), "prefix-shared")
+    members = settle(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key").distinct(), "prefix-members")
+
+    def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "at", *more)])
+
+    # Only at the first shingle that two texts have in common this bounds what they can have in common, and one place is enough.
+    left_over = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b"))
+    possible = (left_over >= F.expr("size_a + size_b") * F.lit(similarity / (1 + similarity)) - 1e-6) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6)
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    few, many = members.where(F.col("n") <= frequent), members.where(F.col("n") > frequent)
+    pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & possible).select("a", "b")
     hub = members.groupBy("id").agg(F.sum("n").alias("hub"))
-    many = members.where(F.col("n") > frequent).join(hub, "id")
     best = Window.partitionBy("key").orderBy(F.col("hub").desc(), "id")
-    leaders = settle(many.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select("key", F.col("id").alias("leader")), "piece-leaders")
-    led = many.select("key", "id").join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    # A pair of leaders meets twice for a piece, which may make one shared piece count as two: it is verified all the same.
-    # Both are settled, so that Spark can split the candidates of a text that many copies meet.
-    counted = settle(pairs.unionAll(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pieces-counted")
-    lone = settle(keys.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("id"), "pieces-lone")
-    enough = counted.where("n > 1").select("a", "b")
-    single = counted.where("n = 1").select("a", "b")
-    single = single.join(lone.withColumnRenamed("id", "a"), "a", "left_semi").union(single.join(lone.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
-    wanted = settle(enough.union(single).distinct(), "similar-candidates")
+    leaders = settle(many.join(hub, "id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("rank", "hub"), "prefix-leaders")
+    led = side(many, "a").join(side(leaders, "b"), "key").where((F.col("a") != F.col("b")) & possible).select(*ordered)
+    return _verified(texts, settle(pairs.unionAll(led).distinct(), "similar-candidates"), similarity, width)
+
 
+def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ``wanted``, a settled table, whose sets of shingles are similar enough."""
+    kind = texts.schema["id"].dataType.simpleString()
     ids = settle(wanted.select(F.col("a").alias("id")).union(wanted.select("b")).distinct(), "similar-ids")
     held = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 

@@ -157,3 +157,21 @@ def test_similar_texts_match_brute_force(spark, frequent):
                 label[a] = label[b] = min(label[a], label[b])
     assert len({label[i] for i in range(60) if any(i in p for p in want)}) == 1
     assert simhash.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_similar(rows):
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_short_copies_with_one_word_changed_are_all_found(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 300, 2):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(50, 65))]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((i + 1, " ".join(words)))
+    want = brute_similar(rows)
+    got = {(r["a"], r["b"]) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 100 and got == want
