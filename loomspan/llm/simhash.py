@@ -237,7 +237,8 @@ def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ids whose sets of shingles have at least this Jaccard similarity.
+    """Pairs (``a`` < ``b``) of ids whose sets of shingles have at least this Jaccard similarity: all, or enough
+    that whatever similar pairs connect is connected.
 
     For texts beyond the reach of three bits: a few changed words in a text of
     usual length change ten bits of its fingerprint. With all shingles in one
@@ -247,8 +248,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the similarity, and none is missed whatever the order is; shingles that many
     texts hold come last in it, so that few texts are looked up by a template's.
     All candidates are verified on whole texts. A shingle of up to ``frequent``
-    texts pairs these all; of more, each meets the shingle's leaders, the texts
-    whose shingles are shared most.
+    texts pairs these all; of more, each meets the shingle's leaders first, the
+    texts whose shingles are shared most, as a text's copies share more with it
+    than with each other. Where that does not connect all of them, those outside
+    the shingle's largest group then meet all that are not in their own group:
+    just pairs go unlisted that others already connect.
 
     Null ids are left out, null and empty texts are similar to none. An empty
     table gives an empty result.
@@ -297,7 +301,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = Window.partitionBy("key").orderBy(F.col("hub").desc(), "id")
     leaders = settle(many.join(hub, "id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("rank", "hub"), "prefix-leaders")
     led = side(many, "a").join(side(leaders, "b"), "key").where((F.col("a") != F.col("b")) & possible).select(*ordered)
-    return _verified(texts, settle(pairs.unionAll(led).distinct(), "similar-candidates"), similarity, width)
+    first = settle(pairs.unionAll(led).distinct(), "similar-candidates")
+    near = _verified(texts, first, similarity, width)
+    if many.isEmpty():
+        return near
+    near = settle(near, "similar-first")
+
+    groups = connected_components(near, "a", "b").withColumnRenamed("node", "id")
+    grouped = settle(many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-grouped")
+    sizes = grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    grouped = settle(grouped.join(settle(split, "prefix-split"), "key"), "prefix-apart")
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
+    rest = side(grouped.where("root <> main"), "a", "root").join(side(grouped, "b", "root", "main").withColumnRenamed("main_b", "main"), "key").where(apart & possible).select(*ordered)
+    rest = settle(rest.distinct().join(first, ["a", "b"], "left_anti"), "similar-rest")
+    return near.unionByName(_verified(texts, rest, similarity, width))
 
 
 def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:

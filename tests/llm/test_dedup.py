@@ -175,3 +175,38 @@ def test_short_copies_with_one_word_changed_are_all_found(spark):
     want = brute_similar(rows)
     got = {(r["a"], r["b"]) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(want) > 100 and got == want
+
+
+def groups_of(pairs, ids):
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_near_copies_within_a_template_hang_together(spark, monkeypatch):
+    """More texts than ``frequent`` share a template; those among them that are near copies meet whoever leads."""
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(0, 120, 2):
+        words = template + [f"w{rng.randrange(10**6)}" for _ in range(40 if i < 20 else 100)]
+        rows.append((i, " ".join(words)))
+        for k in rng.sample(range(len(words)), 3):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(words)))
+    # A chain, each near the next alone: a leader has no more than two of it.
+    chain = [f"c{k}" for k in range(600)]
+    rows += [(200 + i, " ".join(chain[10 * i : 10 * i + 100])) for i in range(50)]
+    want = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    for frequent, sample in ((1, simhash.SAMPLE), (5, 10**9)):  # of the second none is known as common
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        got = {(r["a"], r["b"]) for r in simhash.similar_texts(df, frequent=frequent).collect()}
+        assert got <= want and groups_of(got, [i for i, _ in rows]) == groups_of(want, [i for i, _ in rows]), frequent
