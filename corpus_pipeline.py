@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import settle, table
@@ -30,27 +30,41 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, of rows that repeat an id one.
+    """Of each group of near duplicates one row stays: one with the smallest id, a null id if there is no other.
 
-    Groups are joined by SimHash links (three words, three bits, as the operator's
-    query has them) and, among those that these leave, by a similarity of at
-    least 0.8 on five words. Null ids are compared by SimHash alone.
+    Rows of one text are one group, whatever their ids, and rows of one id with
+    different texts are not. Groups are joined by SimHash links (three words,
+    three bits, as the operator's query has them) and, among those that these
+    leave, by a similarity of at least 0.8 on five words.
     """
-
-    def without(ids: DataFrame) -> DataFrame:
-        few = ids.count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-
-    found = near_duplicates(docs)
-    gone = settle(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "linked")
-    groups = connected_components(similar_texts(without(gone)), "a", "b")
-    more = groups.where("node <> root").select(F.col("node").alias("__gone"))
-    kept = without(settle(gone.union(more), "near-duplicates"))
-    again = settle(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    # Each distinct text, by a 128-bit hash, has a number, which is settled before it is used.
+    keyed = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
+    texts = keyed.groupBy("__text").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+    texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    names = texts.select("node", "__text", "first")
+
+    def best(groups: DataFrame) -> DataFrame:
+        """(node, root) to the node of each root whose id is the smallest."""
+        order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
+        return groups.join(names, "node").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.node").alias("node"))
+
+    linked = near_duplicates(texts, "node").select("node", F.col("component_id").alias("root"))
+    left = settle(best(linked), "linked")
+    few = left.count() <= BROADCAST_IDS
+    similar = connected_components(similar_texts(texts.join(F.broadcast(left) if few else left, "node", "left_semi"), "node"), "a", "b")
+    alone = left.join(similar, "node", "left_anti")
+    kept = settle(alone.union(best(similar)).join(names, "node").select("__text", F.col("first").alias("__first")), "kept-texts")
+
+    few = kept.count() <= BROADCAST_IDS
+    rows = keyed.join(F.broadcast(kept) if few else kept, "__text").where(F.col("doc_id").eqNullSafe(F.col("__first")))
+    again = keyed.groupBy("__text", "doc_id").count().where("count > 1").select("__text", F.col("doc_id").alias("__again"))
+    again = settle(again.join(kept, "__text").where(F.col("__again").eqNullSafe(F.col("__first"))).select("__text"), "repeated-rows")
     if again.isEmpty():
-        return kept
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn("__again", number).where("__again = 1").select(*docs.columns)
+        return rows.select(*docs.columns)
+    small = again.count() <= BROADCAST_IDS
+    again = F.broadcast(again) if small else again
+    once = rows.join(again, "__text", "left_semi").dropDuplicates(["__text"])
+    return rows.join(again, "__text", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,18 @@ def test_registered_queries(spark):
         assert sorted(got.columns) == columns and plain(got) == plain(want), name
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and repeated ids: only rows of one group collapse."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    one, other = text(), text()
+    rows = [(None, text()) for _ in range(5)] + [(None, one), (1, one), (2, other), (2, other), (2, text()), (3, None), (None, ""), (None, other[:-1])]
+    near = text()
+    rows += [(None, near), (None, near), (None, near.replace(near.split()[30], "changed"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(repr, [g for g in got if g[0] is not None])) == sorted(map(repr, [(1, one), (2, other), (2, rows[9][1]), (3, None)]))
+    null = [t for i, t in got if i is None]
+    assert len(null) == 6 and {t for _, t in rows[:5]} < set(null) and sum(" ".join(t.split()[:20]) == " ".join(near.split()[:20]) for t in null) == 1
