@@ -39,16 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     # Each distinct text, by a 128-bit hash, has a number, which is settled before it is used.
     keyed = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
-    texts = keyed.groupBy("__text").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
-    texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    names = texts.select("node", "__text", "first")
+    names = keyed.groupBy("__text").agg(F.min("doc_id").alias("first"))
+    names = settle(names.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    few = names.count() <= BROADCAST_IDS
+    # Where one id has a text twice, both rows are here, which does no harm.
+    texts = keyed.join(F.broadcast(names) if few else names, "__text").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    texts = texts if few else settle(texts, "texts")
 
     def best(groups: DataFrame) -> DataFrame:
         """(node, root) to the node of each root whose id is the smallest."""
         order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
         return groups.join(names, "node").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.node").alias("node"))
 
-    linked = near_duplicates(texts, "node").select("node", F.col("component_id").alias("root"))
+    linked = near_duplicates(texts, "node").select("node", F.col("component_id").alias("root")).distinct()
     left = settle(best(linked), "linked")
     few = left.count() <= BROADCAST_IDS
     similar = connected_components(similar_texts(texts.join(F.broadcast(left) if few else left, "node", "left_semi"), "node"), "a", "b")

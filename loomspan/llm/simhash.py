@@ -283,8 +283,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "at", "key"])
 
     keys = settle(texts.mapInArrow(prefixes, f"id {kind}, size int, at int, key bigint"), "prefix-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    shared = settle(shared.select("key", "n"), "prefix-shared")
+    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefix-shared")
     members = settle(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key").distinct(), "prefix-members")
 
     def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
