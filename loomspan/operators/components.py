@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import settle
+from loomspan.session import discard, settle_measured
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -16,16 +16,16 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     after O(log^2 n) rounds the edges are stars around the roots. Each round is
     two aggregations with partial results before the shuffle and two joins
     whose large side Spark can split where a node is hot, and ends in a table
-    in the shared folder. Only a count and a checksum reach the driver. Null
-    ends are ignored; loops make a node known; repeated edges do no harm.
+    in the shared folder that replaces the one before. Only a count and a
+    checksum, taken while the table is written, reach the driver. Null ends are
+    ignored; loops make a node known; repeated edges do no harm.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    now = settle(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
 
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> tuple[DataFrame, dict]:
+        return settle_measured(df, "components", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
-    seen = signature(now)
+    now, seen = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,11 +33,12 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        now = settle(small.distinct(), "components")
-        before, seen = seen, signature(now)
+        last, before = now, seen
+        now, seen = settled(small.distinct())
+        discard(last)
         if before == seen:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    # Stars by now: each node has one edge, to its root.
+    return now.where("u <> v").select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
