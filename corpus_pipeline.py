@@ -10,8 +10,7 @@ from loomspan.llm.decontaminate import decontaminate
 from loomspan.llm.mixing import mix_sources
 from loomspan.llm.quality import fit, with_score
 from loomspan.llm.sharding import shard_documents
-from loomspan.llm.simhash import BROADCAST_IDS, near_duplicates, similar_texts
-from loomspan.operators.components import connected_components
+from loomspan.llm.simhash import BROADCAST_IDS, linked_rows, similar_texts
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -33,9 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates one row stays: one with the smallest id, a null id if there is no other.
 
     Rows of one text are one group, whatever their ids, and rows of one id with
-    different texts are not. Groups are joined by SimHash links (three words,
-    three bits, as the operator's query has them) and, among those that these
-    leave, by a similarity of at least 0.8 on five words.
+    different texts are not. Groups are connected by SimHash links (three words,
+    three bits, as the operator's query has them) and by a similarity of at
+    least 0.8 on five words, each over all distinct texts. An empty table gives
+    an empty result.
     """
     # Each distinct text, by a 128-bit hash, has a number, which is settled before it is used.
     keyed = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
@@ -46,19 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts = keyed.join(F.broadcast(names) if few else names, "__text").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
     texts = texts if few else settle(texts, "texts")
 
-    def best(groups: DataFrame) -> DataFrame:
-        """(node, root) to the node of each root whose id is the smallest."""
-        order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
-        return groups.join(names, "node").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.node").alias("node"))
+    groups = settle(similar_texts(texts, "node", known=linked_rows(texts, "node")), "near-groups")
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
+    best = groups.join(names, "node").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.node").alias("node"))
+    gone = settle(groups.select("node").join(best, "node", "left_anti").join(names, "node").select("__text"), "near-copies")
+    kept = names.join(gone, "__text", "left_anti").select("__text", F.col("first").alias("__first"))
 
-    linked = near_duplicates(texts, "node").select("node", F.col("component_id").alias("root")).distinct()
-    left = settle(best(linked), "linked")
-    few = left.count() <= BROADCAST_IDS
-    similar = connected_components(similar_texts(texts.join(F.broadcast(left) if few else left, "node", "left_semi"), "node"), "a", "b")
-    alone = left.join(similar, "node", "left_anti")
-    kept = settle(alone.union(best(similar)).join(names, "node").select("__text", F.col("first").alias("__first")), "kept-texts")
-
-    few = kept.count() <= BROADCAST_IDS
     rows = keyed.join(F.broadcast(kept) if few else kept, "__text").where(F.col("doc_id").eqNullSafe(F.col("__first")))
     again = keyed.groupBy("__text", "doc_id").count().where("count > 1").select("__text", F.col("doc_id").alias("__again"))
     again = settle(again.join(kept, "__text").where(F.col("__again").eqNullSafe(F.col("__first"))).select("__text"), "repeated-rows")
@@ -71,18 +64,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    A text decides alone, whatever its row's id: null and repeated ids lose no
+    clean row. Null and empty texts stay. An empty table or benchmark changes nothing.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as its source's target asks for, which may be not at all."""
+    """Each document stands as often as its source's target asks for, which may be not at all.
+
+    Null sources are one source; rows that repeat an id share a draw; rows of
+    null id draw by their texts. An empty table gives an empty result.
+    """
     taken = mix_sources(docs).where(F.col("copies") > 0)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the rows into SHARDS shards of nearly equal bytes; adds ``size``, ``shard`` and ``slot``."""
+    """Deals all rows, whatever their ids and texts, into SHARDS shards of nearly equal bytes; adds ``size``, ``shard`` and ``slot``."""
     return shard_documents(docs, SHARDS)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.session import scratch, settle
+from loomspan.session import discard, scratch, settle
 
-__all__ = ["BLANKS", "hash_unit", "scratch", "settle", "table", "text_or_empty", "word_count"]
+__all__ = ["BLANKS", "discard", "hash_unit", "scratch", "settle", "table", "text_or_empty", "word_count"]
 
 #: White space that parts words, as a character class for regular expressions.
 BLANKS = "\\x20\\x09-\\x0D"

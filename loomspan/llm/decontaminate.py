@@ -17,6 +17,8 @@ SPAN, WINDOW, MOST_CHANGED = 9, 13, 3
 LEAST_WORDS = 5
 #: Benchmark seeds in one broadcast, about 250 bytes each; a larger benchmark is taken in blocks.
 BLOCK_SEEDS = 300_000
+#: Hashes of contaminated texts that may be broadcast: some 100 bytes each.
+BROADCAST_TEXTS = 400_000
 _AROUND = range(SPAN - WINDOW, WINDOW)  # offsets of windows that hold a seed's span
 
 
@@ -126,10 +128,16 @@ def contamination(
     return found.groupBy("__id", "item_id").agg(F.min("a").cast("long").alias("first_word"), F.max("z").cast("long").alias("last_word"), F.max("m").alias("matched")).withColumnRenamed("__id", id_col)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    held = settle(contamination(docs, items, id_col, **options).select(F.col(id_col).alias("__held")).distinct(), "contaminated")
-    return docs.join(held, docs[id_col].eqNullSafe(F.col("__held")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text holds no passage of the benchmark, with all their columns.
+
+    Rows are told by a 128-bit hash of their text, as the text alone decides:
+    null and repeated ids do no harm. Null and empty texts stay; an empty
+    benchmark takes nothing. Up to BROADCAST_TEXTS hashes are broadcast.
+    """
+    named = docs.withColumn("__text", F.md5(text_or_empty(text_col)))
+    held = settle(contamination(named, items, "__text", text_col, **options).select("__text").distinct(), "contaminated")
+    return named.join(F.broadcast(held) if held.count() <= BROADCAST_TEXTS else held, "__text", "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,23 +8,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import settle, table
+from loomspan.llm.common import discard, settle, table
 from loomspan.operators.components import connected_components
 
 #: Keys of shared signatures that may be broadcast: 16 bytes each.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Ids that may be broadcast: 8 bytes each.
-BROADCAST_IDS = 2_000_000
-#: Pieces of a text that are looked up, their least words, and one word in so many ends a piece.
-PIECES, PIECE_WORDS, PIECE_RATE = 8, 6, 12
-#: Texts of a shingle shared by more than this meet the shingle's best connected LEADERS first.
-FREQUENT, LEADERS = 40, 4
-#: Of so many rows one is sampled to find shingles that many texts hold; of these at most COMMON (8 bytes each) are sent to executors.
-SAMPLE, COMMON = 16, 300_000
+BROADCAST_IDS = 400_000
+#: Keys of a text, and minima in each.
+BANDS, BAND_ROWS = 16, 4
+#: Texts of a key shared by more than this meet the key's LEADERS first.
+FREQUENT, LEADERS = 30, 2
+_TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
 CROWDED = 200
 
@@ -167,6 +167,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def linked_rows(docs: DataFrame, id_col: str, text_col: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
+    """The operator's links as pairs (``a``, ``b``) of ids: each row and the first row of its fingerprint, if
+    another, and the first rows of each two fingerprints that differ in at most ``distance`` bits. Ids aren't null."""
+    prints = settle(fingerprints(docs, id_col, text_col, width), "simhash-prints")
+    nodes = settle(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.max(id_col).alias("last")), "simhash-nodes")
+    near = links(nodes.select("fp"), distance)
+    left, right = nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = near.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = nodes.where("first <> last").select("fp", "first")
+    return across.union(prints.join(several, "fp").where(F.col(id_col) != F.col("first")).select(F.col("first").alias("a"), F.col(id_col).alias("b")))
+
+
 def _word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -185,136 +197,95 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def piece_keys(text: str | None) -> np.ndarray:
-    """Hashes of at most PIECES pieces of a text, those with the least hashes.
+def minima(found: np.ndarray, count: int) -> np.ndarray:
+    """The least of a set of hashes under each of ``count`` permutations."""
+    out = np.full(count, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), 1 << 12):  # so that long texts need little memory
+        mixed = (found[None, at : at + (1 << 12)] ^ _TURNS[:count, None]) * _FACTORS[:count, None]
+        np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=out)
+    return out
 
-    A word whose own hash says so ends a piece, so a change elsewhere leaves a
-    piece as it is. Pieces of fewer than PIECE_WORDS words, which many texts
-    share, don't count; a text without others is one piece.
-    """
-    words = _word_hashes(text)
-    if not len(words):
-        return words
-    spread = (words ^ (words >> np.uint64(31))) * _MIX
-    ends = np.flatnonzero((spread >> np.uint64(40)) % np.uint64(PIECE_RATE) == 0) + 1
-    starts = np.unique(np.concatenate(([0], ends[ends < len(words)])))
-    sizes = np.diff(np.concatenate((starts, [len(words)])))
-    place = np.arange(len(words)) - np.repeat(starts, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _MIX | np.uint64(1)), dtype=np.uint64)
-    keys = np.add.reduceat(spread * powers[place], starts)
-    whole = np.bitwise_xor.reduce(spread * powers[0]) + np.uint64(len(words))
-    keys = keys[sizes >= PIECE_WORDS] if (sizes >= PIECE_WORDS).any() else np.array([whole])
-    keys = (keys ^ (keys >> np.uint64(29))) * _MIX
-    return np.unique(keys)[:PIECES]
-
-
-def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """At most COMMON shingles that most rows of a sample hold, the rarest of them first.
-
-    The sample decides only in which order shingles are looked up, so what is found does not depend on it.
-    """
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [shingles(t, width) for t in batch.column(1).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
-
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    counts = settle(sample.mapInArrow(sets, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "shingle-counts")
-    spread = sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True)
-    least, total = None, 0
-    for n, of in spread:
-        total += of
-        if total > COMMON:
-            break
-        least = n
-    if least is None:
-        return np.zeros(0, np.uint64)
-    found = counts.where(F.col("n") >= least).toArrow()
-    keys = np.asarray(found.column("key")).view(np.uint64)
-    return keys[np.lexsort((keys, np.asarray(found.column("n"))))]
-
-
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ids whose sets of shingles have at least this Jaccard similarity: all, or enough
-    that whatever similar pairs connect is connected.
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: sets of Jaccard similarity s share it with probability s ** BAND_ROWS."""
+    rows = minima(found, BANDS * BAND_ROWS).reshape(BANDS, BAND_ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = (keys ^ rows[:, k]) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def similar_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, similarity: float = 0.8, width: int = 5, frequent: int = FREQUENT
+) -> DataFrame:
+    """Groups of ids: (``node``, ``root``) of those whose sets of shingles are connected by a Jaccard similarity of
+    at least ``similarity``, and by the pairs (``a``, ``b``) of ``known``; ids without any link have no row.
 
     For texts beyond the reach of three bits: a few changed words in a text of
-    usual length change ten bits of its fingerprint. With all shingles in one
-    order, two sets of n and m shingles that are so similar have one in common
-    among the first n - ceil(similarity * n) + 1 of the one and as many of the
-    other. So candidates share one of these, at places and with sizes that allow
-    the similarity, and none is missed whatever the order is; shingles that many
-    texts hold come last in it, so that few texts are looked up by a template's.
-    All candidates are verified on whole texts. A shingle of up to ``frequent``
-    texts pairs these all; of more, each meets the shingle's leaders first, the
-    texts whose shingles are shared most, as a text's copies share more with it
-    than with each other. Where that does not connect all of them, those outside
-    the shingle's largest group then meet all that are not in their own group:
-    just pairs go unlisted that others already connect.
-
-    Null ids are left out, null and empty texts are similar to none. An empty
-    table gives an empty result.
+    usual length change ten bits of its fingerprint. Candidates share one of
+    BANDS keys of BAND_ROWS minima each, whatever their lengths: of pairs with
+    similarity 0.8 all but 0.02 % do, of more similar ones all but fewer. Every
+    candidate is verified on the whole shingle sets. A key of up to ``frequent``
+    texts pairs these all; of more, each meets the key's leaders, which are the
+    same for all keys of a group of copies. Where that leaves a key's texts in
+    several groups, those outside its largest group then meet all that are not
+    in their own group: only pairs go uncompared that are connected already.
+
+    Null ids are left out, null and empty texts are similar to none. Repeated
+    ids are one. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    common = _common_shingles(texts, width)
-    by_key = np.argsort(common)
-    shared_by_many = docs.sparkSession.sparkContext.broadcast((common[by_key], by_key))
 
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = shared_by_many.value
+    def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, sizes = [], []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text, width)
-                    sizes.append(len(found))
-                    if len(known) and len(found):
-                        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                        found = found[np.argsort(np.where(known[place] == found, ranks[place] + 1, 0), kind="stable")]
-                    keys.append(found[: len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1])
-                lengths = [len(k) for k in keys]
-                rows = np.repeat(np.arange(len(keys)), lengths)
-                places = np.concatenate([np.arange(k) for k in lengths]).astype(np.int32)
-                arrays = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(sizes, np.int32)[rows]), pa.array(places), pa.array(np.concatenate(keys).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "at", "key"])
-
-    keys = settle(texts.mapInArrow(prefixes, f"id {kind}, size int, at int, key bigint"), "prefix-keys")
-    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefix-shared")
-    members = settle(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key").distinct(), "prefix-members")
+                found = [shingles(t, width) for t in part.column(1).to_pylist()]
+                rows = np.flatnonzero([len(f) > 0 for f in found])
+                keys = np.concatenate([band_keys(found[r]) for r in rows] or [np.zeros(0, np.uint64)])
+                sizes = np.array([len(f) for f in found], np.int32)
+                rows = np.repeat(rows, BANDS)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes[rows]), pa.array(keys.view(np.int64))], ["id", "size", "key"])
+
+    keys = settle(texts.mapInArrow(banded, f"id {kind}, size int, key bigint"), "band-keys")
+    led = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size")) for k in range(LEADERS)]
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*led).alias("leaders")).where("n > 1")
+    shared = settle(shared, "band-shared")
+    few_keys = shared.count() <= BROADCAST_KEYS
+    wanted = shared.select("key", "n")
+    members = settle(keys.join(F.broadcast(wanted) if few_keys else wanted, "key"), "band-members")
+    discard(keys)
+
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    alike = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity)
+    few, many = members.where(F.col("n") <= frequent), members.where(F.col("n") > frequent)
 
     def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-        return rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "at", *more)])
-
-    # Only at the first shingle that two texts have in common this bounds what they can have in common, and one place is enough.
-    left_over = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b"))
-    possible = (left_over >= F.expr("size_a + size_b") * F.lit(similarity / (1 + similarity)) - 1e-6) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6)
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    few, many = members.where(F.col("n") <= frequent), members.where(F.col("n") > frequent)
-    pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & possible).select("a", "b")
-    hub = members.groupBy("id").agg(F.sum("n").alias("hub"))
-    best = Window.partitionBy("key").orderBy(F.col("hub").desc(), "id")
-    leaders = settle(many.join(hub, "id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).drop("rank", "hub"), "prefix-leaders")
-    led = side(many, "a").join(side(leaders, "b"), "key").where((F.col("a") != F.col("b")) & possible).select(*ordered)
-    first = settle(pairs.unionAll(led).distinct(), "similar-candidates")
-    near = _verified(texts, first, similarity, width)
+        return rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *more)])
+
+    pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & alike).select("a", "b")
+    leaders = shared.where(F.col("n") > frequent).select("key", F.explode("leaders").alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.size").alias("size_b"))
+    star = side(many, "a").join(leaders, "key").where((F.col("a") != F.col("b")) & alike).select(a, b)
+    first = settle(pairs.unionAll(star).distinct(), "similar-candidates")
+    near = _verified(texts, first, similarity, width).select("a", "b")
+    groups = settle(connected_components(near if known is None else near.union(known.select("a", "b")), "a", "b"), "similar-groups")
     if many.isEmpty():
-        return near
-    near = settle(near, "similar-first")
+        return groups
 
-    groups = connected_components(near, "a", "b").withColumnRenamed("node", "id")
-    grouped = settle(many.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-grouped")
-    sizes = grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    # Each key's groups are counted before its texts meet them, so a frequent key is no hot one.
+    named = settle(many.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "band-grouped")
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    grouped = settle(grouped.join(settle(split, "prefix-split"), "key"), "prefix-apart")
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
-    rest = side(grouped.where("root <> main"), "a", "root").join(side(grouped, "b", "root", "main").withColumnRenamed("main_b", "main"), "key").where(apart & possible).select(*ordered)
+    apart = settle(named.join(settle(split, "band-split"), "key"), "band-apart")
+    other = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
+    rest = side(apart.where("root <> main"), "a", "root").join(side(apart, "b", "root", "main").withColumnRenamed("main_b", "main"), "key").where(other & alike).select(a, b)
     rest = settle(rest.distinct().join(first, ["a", "b"], "left_anti"), "similar-rest")
-    return near.unionByName(_verified(texts, rest, similarity, width))
+    if rest.isEmpty():
+        return groups
+    late = _verified(texts, rest, similarity, width).select("a", "b")
+    return connected_components(late.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
 
 
 def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -327,7 +298,8 @@ def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                # Halves of 32 bits are enough to compare two sets, up to one in some millions of shingles.
+                found = pa.array([np.unique((shingles(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), found], ["id", "shingles"])
 
     hashed = settle(held.mapInArrow(sets, f"id {kind}, shingles binary"), "similar-shingles")
@@ -339,7 +311,7 @@ def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int
     def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
         for one, other in zip(xs, ys, strict=True):
-            p, q = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+            p, q = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
             common = len(np.intersect1d(p, q, assume_unique=True))
             out.append(common / (len(p) + len(q) - common))
         return pd.Series(out, dtype="float64")

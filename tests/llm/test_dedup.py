@@ -119,15 +119,41 @@ def test_sketches_that_err_are_counted(spark):
     assert got == set(range(40, 50))
 
 
-def test_pieces_stay_where_words_change_elsewhere():
-    rng = random.Random(3)
-    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
-    keys = set(simhash.piece_keys(" ".join(words)).tolist())
-    words[200] = "changed"
-    assert len(keys) == simhash.PIECES and len(keys & set(simhash.piece_keys(" ".join(words)).tolist())) >= simhash.PIECES - 2
-    assert len(simhash.piece_keys(None)) == len(simhash.piece_keys(" ")) == 0 and len(simhash.piece_keys("a b")) == 1
-    assert simhash.piece_keys("A B") == simhash.piece_keys("a  b") and simhash.piece_keys("a b") != simhash.piece_keys("b a c")
+def test_shingles_and_minima():
     assert len(simhash.shingles("a b c")) == 1 and len(simhash.shingles("a b c d e f")) == 2 and len(simhash.shingles("a " * 50)) == 1
+    assert len(simhash.shingles(None)) == len(simhash.shingles(" ")) == 0
+    rng = np.random.default_rng(4)
+    for common in (50, 90):
+        sets = [np.unique(rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)) for n in (common, (100 - common) // 2 or 1)]
+        x, y = np.concatenate(sets[:1] + [sets[1][::2]]), np.concatenate(sets[:1] + [sets[1][1::2]])
+        true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        same = np.mean([(simhash.minima(x ^ np.uint64(t), 64) == simhash.minima(y ^ np.uint64(t), 64)).mean() for t in range(1, 40)])
+        assert abs(same - true) < 0.05
+    # Long sets are taken in parts.
+    long = rng.integers(0, 1 << 63, 10_000, dtype=np.uint64)
+    assert (simhash.minima(long, 8) == np.minimum(simhash.minima(long[:5000], 8), simhash.minima(long[5000:], 8))).all()
+
+
+def brute_similar(rows):
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows if i is not None and t}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def groups_of(pairs):
+    label = {i: i for p in pairs for i in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def found_groups(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["node"]: r["root"] for r in simhash.similar_texts(df, **options).collect()}
 
 
 @pytest.mark.parametrize("frequent", [simhash.FREQUENT, 5])
@@ -139,54 +165,30 @@ def test_similar_texts_match_brute_force(spark, frequent):
         texts[i] = list(base)
         for k in rng.sample(range(200), rng.randrange(1, 5)):
             texts[i][k] = f"x{rng.randrange(10**6)}"
-    for i in range(100, 160, 2):
+    for i in range(100, 400, 2):
         texts[i] = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 300))]
         texts[i + 1] = texts[i][: rng.randrange(5, len(texts[i]) + 1)] + ["tail"]
-    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(900, None), (901, ""), (902, ""), (None, " ".join(base))]
-    got = {(r["a"], r["b"]) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()}
-    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows if i is not None and t}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert got <= want
-    if frequent == simhash.FREQUENT:
-        assert len(got & {p for p in want if p[1] >= 100}) >= 0.95 * len([p for p in want if p[1] >= 100])
-    # However many share a piece, all copies hang together.
-    label = {i: i for i in range(60)}
-    for _ in range(8):
-        for a, b in got:
-            if b < 60:
-                label[a] = label[b] = min(label[a], label[b])
-    assert len({label[i] for i in range(60) if any(i in p for p in want)}) == 1
-    assert simhash.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(900, None), (901, ""), (902, ""), (None, " ".join(base)), (903, "one"), (904, "one"), (905, "one two")]
+    assert found_groups(spark, rows, frequent=frequent) == groups_of(brute_similar(rows))
 
 
-def brute_similar(rows):
-    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows}
-    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+def test_known_pairs_count(spark):
+    rows = [(i, " ".join(f"{i}-{k}" for k in range(20))) for i in range(5)] + [(9, " ".join(f"4-{k}" for k in range(20)))]
+    known = spark.createDataFrame([(1, 0), (3, 4)], "a long, b long")
+    assert found_groups(spark, rows, known=known) == {0: 0, 1: 0, 3: 3, 4: 3, 9: 3}
+    assert found_groups(spark, rows[:5]) == {} and found_groups(spark, []) == {}
 
 
 def test_short_copies_with_one_word_changed_are_all_found(spark):
     rng = random.Random(5)
     rows = []
-    for i in range(0, 300, 2):
+    for i in range(0, 600, 2):
         words = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(50, 65))]
         rows.append((i, " ".join(words)))
         words[rng.randrange(len(words))] = "changed"
         rows.append((i + 1, " ".join(words)))
     want = brute_similar(rows)
-    got = {(r["a"], r["b"]) for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(want) > 100 and got == want
-
-
-def groups_of(pairs, ids):
-    label = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in pairs:
-            if label[a] != label[b]:
-                label[a] = label[b] = min(label[a], label[b])
-                changed = True
-    return label
+    assert len(want) > 200 and found_groups(spark, rows) == groups_of(want)
 
 
 def test_near_copies_within_a_template_hang_together(spark, monkeypatch):
@@ -203,10 +205,16 @@ def test_near_copies_within_a_template_hang_together(spark, monkeypatch):
     # A chain, each near the next alone: a leader has no more than two of it.
     chain = [f"c{k}" for k in range(600)]
     rows += [(200 + i, " ".join(chain[10 * i : 10 * i + 100])) for i in range(50)]
-    want = brute_similar(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups_of(brute_similar(rows))
     monkeypatch.setattr(simhash, "LEADERS", 1)
-    for frequent, sample in ((1, simhash.SAMPLE), (5, 10**9)):  # of the second none is known as common
-        monkeypatch.setattr(simhash, "SAMPLE", sample)
-        got = {(r["a"], r["b"]) for r in simhash.similar_texts(df, frequent=frequent).collect()}
-        assert got <= want and groups_of(got, [i for i, _ in rows]) == groups_of(want, [i for i, _ in rows]), frequent
+    for frequent in (1, 5):
+        assert found_groups(spark, rows, frequent=frequent) == want, frequent
+
+
+def test_linked_rows_connect_what_the_operator_connects(spark):
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(900)]
+    rows = [(i, " ".join(base if i % 3 else [*base[:500], f"x{rng.randrange(4)}", *base[501:]])) for i in range(12)] + [(20, ""), (21, None), (22, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label = groups_of([tuple(r) for r in simhash.linked_rows(df, "doc_id").collect()])
+    assert {i: label.get(i, i) for i, _ in rows} == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
