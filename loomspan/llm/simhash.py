@@ -22,7 +22,7 @@ BROADCAST_IDS = 400_000
 #: Keys of a text, and minima in each.
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a key shared by more than this meet the key's LEADERS first.
-FREQUENT, LEADERS = 30, 2
+FREQUENT, LEADERS = 5, 1
 _TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
