@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,24 +17,79 @@ from loomspan.llm.common import table
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of licence notices: label, wording, and the key phrases without which it does not count.
+#: Templates of licence texts, a paragraph each: label, wording, and the key phrases without which it does not count.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ["apache license version 2 0"],
+    ),
+    (
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ["unless required by applicable law", "as is basis"],
+    ),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
+    (
+        "mit",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        ["to deal in the software without restriction"],
+    ),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice shall be included"]),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ["with or without fee is hereby granted", "appear in all copies"],
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use", "source and binary forms"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    (
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ["redistributions in binary form must reproduce"],
+    ),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["endorse or promote products derived from this software"],
+    ),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ["general public license version 2"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
     ("gpl-family", "you can redistribute it and or modify it under the terms of the gnu general public license", ["redistribute it", "general public license"]),
+    (
+        "gpl-family",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        ["free software foundation", "general public license"],
+    ),
+    (
+        "gpl-family",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ["in the hope that it will be useful", "gnu general public license"],
+    ),
     ("lgpl", "under the terms of the gnu lesser general public license", ["lesser general public license"]),
     ("agpl", "under the terms of the gnu affero general public license", ["affero general public license"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    (
+        "mpl-2.0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ["copy of the mpl was not distributed"],
+    ),
     ("cc-by-family", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("cc0", "to the extent possible under law the author has dedicated all copyright to the public domain", ["public domain"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    (
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ["anyone is free to copy modify publish use compile sell"],
+    ),
     ("copyright", "copyright c all rights reserved", ["all rights reserved"]),
 ]
 
+#: A template's words may stand so many places off; this share of them, weighed by IDF, must be there; its anchors weigh at least this share.
+SLACK, LEAST_SHARE, ANCHOR_SHARE = 3, 0.8, 0.5
+
 #: Of bytes: A-Z to a-z; what is neither letter, digit nor beyond ASCII to a blank.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -60,57 +116,89 @@ def all_templates() -> list[Template]:
 
 
 class RareTokenIndex:
-    """Postings (template, position) of the rarest words of each template.
+    """Positional postings of the rarest words of each template.
 
     ``frequency`` has the number of documents that hold each licence word,
-    ``documents`` how many there are. Each template is found through its
-    ``anchors`` words of highest IDF (a base phrase through its single rarest
-    word, which every place of the phrase holds).
+    ``documents`` how many there are. A template's anchors are its words of
+    highest IDF, as many as make up ANCHOR_SHARE of its weight (of a base
+    phrase all words, as all must stand).
     """
 
-    def __init__(self, templates: list[Template], frequency: dict[bytes, int], documents: int, anchors: int = 4):
+    def __init__(self, templates: list[Template], frequency: dict[bytes, int], documents: int):
         self.templates = templates
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1.0 for t in templates for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, t in enumerate(templates):
-            rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 1 if t.base else anchors]
-            for at, word in enumerate(t.words):
-                if word in rare:
-                    self.postings[word].append((n, at))
-        self.anchors = frozenset(self.postings)
         self.weight = [sum(self.idf[w] for w in t.words) for t in templates]
-
-    def scan(self, words: list[bytes], least_share: float = 0.8, slack: int = 3) -> tuple[dict[int, list[int]], dict[int, float]]:
-        """Places of each base template, and the best share of each other one that counts.
-
-        The offset position - template position of each hit is a vote; votes at
-        one offset (for longer templates, up to ``slack`` apart, as words may be
-        put in or left out) are intersected, the aligned words are weighed by
-        IDF, and the key phrases must stand near by in full.
+        #: For each template: (word, position) of its anchors, rarest first; what they must weigh; how many of them a place must start from.
+        self.postings: list[list[tuple[bytes, int]]] = []
+        self.need: list[float] = []
+        self.start: list[int] = []
+        for t, total in zip(templates, self.weight, strict=True):
+            ranked = sorted(((w, at) for at, w in enumerate(t.words)), key=lambda x: (-self.idf[x[0]], x[0], x[1]))
+            chosen, have = [], 0.0
+            for word, at in ranked:
+                if not t.base and have >= ANCHOR_SHARE * total:
+                    break
+                chosen.append((word, at))
+                have += self.idf[word]
+            # Where LEAST_SHARE of all words stand, no more than the rest of the weight is missing, from the anchors too.
+            need = have - (0.0 if t.base else (1 - LEAST_SHARE) * total)
+            start, rest = 0, have
+            while start < len(chosen) and rest >= need - 1e-9:
+                rest -= self.idf[chosen[start][0]]
+                start += 1
+            self.postings.append(chosen)
+            self.need.append(need - 1e-9)
+            self.start.append(start)
+        self.anchors = frozenset(w for chosen in self.postings for w, _ in chosen)
+
+    def places(self, n: int, at: dict[bytes, list[int]]) -> list[int]:
+        """Where template ``n`` may stand, from the positions of anchor words in a text.
+
+        A hit at p of a word at q in the template is a posting at p - q. Postings
+        of the rarest anchors, without one of which the others weigh too little,
+        name places; the lists of all anchors are intersected there, a word
+        counting if it stands within SLACK of its place.
         """
-        offsets: dict[int, set[int]] = defaultdict(set)
-        for at, word in enumerate(words):
+        chosen, slack = self.postings[n], 0 if self.templates[n].base else SLACK
+        lists = [[p - q for p in at.get(word, ())] for word, q in chosen]
+        named = {o + k for found in lists[: self.start[n]] for o in found for k in range(-slack, slack + 1)}
+        if not named:
+            return []
+        out = []
+        for o in sorted(named):
+            held = 0.0
+            for (word, _), found in zip(chosen, lists, strict=True):
+                k = bisect_left(found, o - slack)
+                if k < len(found) and found[k] <= o + slack:
+                    held += self.idf[word]
+            if held >= self.need[n]:
+                out.append(o)
+        return out
+
+    def share(self, n: int, words: list[bytes], o: int) -> float:
+        """The IDF-weighted share of template ``n`` at a place; 0 without all its key phrases near by."""
+        t = self.templates[n]
+        first = max(0, o - SLACK)
+        near = words[first : max(0, o + len(t.words) + SLACK)]
+        if not all(_holds(near, key) for key in t.key_phrases):
+            return 0.0
+        there = lambda i, w: w in near[max(0, o + i - SLACK - first) : max(0, o + i + SLACK + 1 - first)]
+        return sum(self.idf[w] for i, w in enumerate(t.words) if there(i, w)) / self.weight[n]
+
+    def scan(self, words: list[bytes]) -> tuple[dict[int, list[int]], dict[int, float]]:
+        """Places of each base phrase, and the best share of each other template that counts."""
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for p, word in enumerate(words):
             if word in self.anchors:
-                for n, position in self.postings[word]:
-                    offsets[n].add(at - position)
+                at[word].append(p)
         places: dict[int, list[int]] = {}
         shares: dict[int, float] = {}
-        for n, found in offsets.items():
-            t = self.templates[n]
-            size = len(t.words)
+        for n, t in enumerate(self.templates):
+            found = self.places(n, at)
             if t.base:
-                if at := sorted(o for o in found if o >= 0 and tuple(words[o : o + size]) == t.words):
-                    places[n] = at
-                continue
-            best = 0.0
-            for o in found:
-                near = words[max(0, o - slack) : max(0, o + size + slack)]
-                if not all(_holds(near, key) for key in t.key_phrases):
-                    continue
-                shift = o - max(0, o - slack)
-                aligned = sum(self.idf[w] for i, w in enumerate(t.words) if w in near[max(0, i + shift - slack) : max(0, i + shift + slack + 1)])
-                best = max(best, aligned / self.weight[n])
-            if best >= least_share:
+                if exact := [o for o in found if o >= 0 and tuple(words[o : o + len(t.words)]) == t.words]:
+                    places[n] = exact
+            elif found and (best := max(self.share(n, words, o) for o in found)) >= LEAST_SHARE:
                 shares[n] = best
         return places, shares
 
@@ -157,9 +245,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Finds licence notices in whole texts.
 
     One pass counts in how many rows each licence word stands and so picks each
-    template's rarest words; a second looks these up, aligns templates by
-    relative position and verifies their key phrases. Both are map-only but for
-    the sum of a few hundred counts.
+    template's rarest words; a second looks these up, intersects their postings
+    by relative position and verifies key phrases and the weighted share of all
+    words. Both are map-only but for the sum of a few hundred counts. A template
+    of which LEAST_SHARE stands is always found: its anchors then weigh enough.
 
     Returns one row per input row: the id; ``n_words``; ``n_base``, the places
     of base phrases; ``first_word`` and ``last_word``, their smallest and

@@ -11,6 +11,8 @@ from loomspan.llm.common import hash_unit, settle, table, word_count
 
 #: Sources whose rates may be broadcast: about 60 bytes each, so at most some 30 MB.
 BROADCAST_SOURCES = 500_000
+#: Equal parts of [0, 1) by which draws are summed.
+BINS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -45,6 +47,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     return levels.withColumn("__common", first).select("source", "source_size", share.alias("target"))
 
 
+def extra_bounds(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """For each source of ``rates`` (source, target, source_size): the draws below which a row is taken once more.
+
+    The words of a source's rows are summed by BINS equal parts of [0, 1) that
+    their draws fall in; the bound lies behind the part with which the sum comes
+    nearest to what the whole copies leave of the target. It is the fraction, but
+    for the chance of the draws: so small sources of long rows meet their
+    targets as well. What is shuffled is at most BINS sums a source.
+    """
+    binned = sized.groupBy("source", F.floor(F.col("draw") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("words"))
+    wanted = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(F.lit(0.0))
+    named = rates.select(F.col("source").alias("__source"), wanted.alias("wanted"))
+    so_far = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+    sums = binned.withColumn("so_far", so_far).join(named, F.col("source").eqNullSafe(F.col("__source")))
+    best = sums.groupBy("source").agg(F.min(F.struct(F.abs(F.col("so_far") - F.col("wanted")).alias("off"), "bin")).alias("best"), F.first("wanted").alias("wanted"))
+    # No row at all may come nearer than the first part.
+    return best.select("source", F.when(F.col("best.off") < F.col("wanted"), F.col("best.bin") + 1).otherwise(F.lit(0)).alias("bound"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -58,26 +79,31 @@ def mix_sources(
 
     Sizes are words. A source's repetition rate is target / source_size; each
     row is taken floor(rate) times, and once more if a number in [0, 1) drawn
-    from its id and the seed lies below the rate's fraction. So a rerun takes
-    the same rows, and no row is taken more than ceil(cap) times.
+    from its id and the seed lies below the rate's fraction, which is set to the
+    draws at hand (``extra_bounds``). So a rerun takes the same rows, and no row
+    is taken more than ceil(cap) times.
 
     Returns the input columns and ``size``, ``source_size``, ``target``,
     ``copies`` (int) and ``taken`` = copies * size; input columns of these names
     are replaced. Null and blank texts have size 0; null sources form one
-    source; a source of size 0 has rate 0. Repeated ids share a draw. An empty
-    table gives an empty result. Sizes are summed before the shuffle, so a
-    source with most rows is no hot key; the rates of up to
-    ``BROADCAST_SOURCES`` sources are broadcast, more are joined by shuffle.
+    source; a source of size 0 has rate 0. Repeated ids share a draw; rows of
+    null id draw by their texts. An empty table gives an empty result. Sizes are
+    summed before the shuffle, so a source with most rows is no hot key; the
+    rates of up to ``BROADCAST_SOURCES`` sources are broadcast, more are joined
+    by shuffle.
     """
-    sized = docs.select(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    draw = hash_unit(key, seed)
+    sized = docs.select(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), draw.alias("draw"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = settle(source_targets(totals, weights, cap), "mix-rates")
-    right = rates.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    targets = settle(source_targets(totals, weights, cap), "mix-targets")
+    bounds = extra_bounds(sized, targets).withColumnRenamed("source", "__named")
+    rates = settle(targets.join(bounds, F.col("source").eqNullSafe(F.col("__named")), "left").drop("__named"), "mix-rates")
+    right = rates.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (F.col("bound") / BINS).alias("__bound"))
     if rates.count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + F.when(hash_unit(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw < F.col("__bound"), 1).otherwise(0)
     kept = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "copies", "taken"}]
     joined = docs.join(right, docs[source_col].eqNullSafe(F.col("__source")), "left")
     return joined.select(
@@ -113,12 +139,17 @@ common AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE level <= rati
 targets AS (
   SELECT source, source_size, least(cap, coalesce((SELECT level FROM common) * weight, cap)) AS target FROM levels),
 drawn AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, sized.source, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
          ('0x' || substr(md5('mix-1:' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+binned AS (
+  SELECT source, floor(u * 4096)::INT AS bin, sum(size)::DOUBLE AS words, any_value(CASE WHEN source_size > 0 THEN target - floor(rate) * source_size ELSE 0.0 END)::DOUBLE AS wanted
+  FROM drawn GROUP BY 1, 2),
+offs AS (SELECT source, bin, wanted, abs(sum(words) OVER (PARTITION BY source ORDER BY bin) - wanted) AS off FROM binned),
+bounds AS (SELECT source, CASE WHEN min(off) < any_value(wanted) THEN arg_min(bin, (off, bin)) + 1 ELSE 0 END AS bound FROM offs GROUP BY 1)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies
-FROM drawn
+       (size * (floor(rate) + CASE WHEN u < bound / 4096.0::DOUBLE THEN 1 ELSE 0 END))::BIGINT AS taken,
+       (floor(rate) + CASE WHEN u < bound / 4096.0::DOUBLE THEN 1 ELSE 0 END)::INT AS copies
+FROM drawn JOIN bounds ON drawn.source IS NOT DISTINCT FROM bounds.source
 """

@@ -22,6 +22,8 @@ GRAMS = (2, 3, 4)
 SAMPLE_ROWS = 3000
 #: Words whose sums one worker remembers.
 CACHED_WORDS = 400_000
+#: Characters of texts that are split into words together.
+SCORED_BYTES = 4 << 20
 
 _PRIME, _SPREAD = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,18 +168,24 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on labelled rows of ``docs`` that are not held out, at most ``sample_rows`` of them.
-
-    Of repeated labels of an id the largest counts; null and other labels than 0
-    and 1 are left out. Whole texts are turned into features on the executors.
+    """Trains on labelled rows of ``docs`` that are not held out, at most ``sample_rows`` of them, chosen by a hash.
+
+    Of repeated labels of an id the largest counts; null ids and other labels
+    than 0 and 1 are left out. Of rows that repeat an id with different texts one
+    is learnt from, that whose text has the least hash; rows that repeat an id and
+    text are one. So the bound holds for rows, whatever repeats. Whole texts
+    are turned into features on the executors, a few at a time. Without
+    labelled rows, or with an empty table, all scores are 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
-    known = known.join(docs.select(id_col).distinct(), id_col, "left_semi")
-    chosen = known.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(sample_rows)
+    hashed = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = docs.groupBy(id_col).agg(F.min(hashed).alias("__hash"))
+    chosen = known.join(rows, id_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(sample_rows)
 
     def featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column("__text").to_pylist()]
+            texts = batch.column("__text")
+            found = [features(texts[k].as_py()) for k in range(len(texts))]
             yield pa.RecordBatch.from_pydict(
                 {
                     "__id": batch.column("__id"),
@@ -187,24 +195,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 }
             )
 
-    sample = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("__id"), "__label", F.col(text_col).alias("__text"))
-    rows = sample.mapInArrow(featurise, "__id string, __label int, at binary, weight binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["__id"], r["__label"], r["at"]))
+    same = docs.join(F.broadcast(chosen), id_col).where(hashed == F.col("__hash"))
+    once = same.groupBy(F.col(id_col).cast("string").alias("__id"), "__label").agg(F.min(text_col).alias("__text"))
+    rows = once.mapInArrow(featurise, "__id string, __label int, at binary, weight binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["__id"])
     return train([(r["at"], r["weight"], r["__label"]) for r in rows])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
     """Adds the probability of label 1, from whole texts alone; map-only.
 
-    Null and blank texts get the bias's score. A column of that name is replaced.
+    Null and blank texts get the bias's score; very long texts count in full,
+    SCORED_BYTES of texts or one text at a time. Equal texts have equal scores,
+    so repeated rows do no harm. A column of that name is replaced. An empty
+    table gives an empty result.
     """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for texts in batches:
-            values = texts.tolist()
-            yield pd.Series([s for at in range(0, len(values), 200) for s in scorer.scores(values[at : at + 200])], dtype="float64")
+            values, out, at = texts.array, [], 0
+            while at < len(values):
+                some, size = [], 0
+                while at < len(values) and len(some) < 200 and size < SCORED_BYTES:
+                    some.append(values[at])
+                    size += len(some[-1] or "")
+                    at += 1
+                out += scorer.scores(some)
+            yield pd.Series(out, dtype="float64")
 
     return docs.withColumn(into, score(F.col(text_col)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,12 @@ from loomspan.llm.common import settle, table, text_or_empty
 
 #: Bytes of text that one range should hold, and bounds of the number of ranges.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 64 << 20, 128, 1 << 16
-#: Sampled keys for each range; the sample is all that reaches the driver (8 bytes a key).
+#: Sampled keys for each range; the sample is all that reaches the driver (12 bytes a key, so 12 MB at most).
 SAMPLES_PER_RANGE = 16
+#: Cells (some 60 bytes each) that may be broadcast.
+BROADCAST_CELLS = 400_000
+#: Equal texts stay in one shard while they make up no more than this share of it.
+GROUP_SHARE = 0.01
 
 
 def quantile_bounds(keys: list[int], ranges: int) -> list[int]:
@@ -63,17 +68,22 @@ def shard_documents(
     ordered by a hash of their text, so equal texts are neighbours. A
     size-weighted sample of these keys gives quantile boundaries of many more
     ranges than shards; a range that proves overfull (one text with very many
-    copies) is subdivided by a hash of the id. Exact bytes and rows of these
-    cells, a few thousand rows, give by prefix sums where each cell starts, and a
-    running sum within each cell where each row starts; the shard is the part
-    of the total in which it does.
+    copies, or one of MOST_RANGES that holds far more than RANGE_BYTES) is
+    subdivided by another hash of the text, or of the id for texts that fill a
+    range by themselves, whatever its size. Exact bytes and rows of
+    these cells give by prefix sums where each cell starts, and a running sum
+    within each cell where each row starts; the shard is the part of the total
+    in which it does, or in which the first row of its text and cell does, so
+    that equal texts stay together unless they fill a range by themselves or
+    make up more than GROUP_SHARE of a shard.
 
     Returns the input columns and ``size`` (long), ``shard`` (int) and ``slot``
     (long, gapless from 0 in each shard); input columns of these names are
     replaced. Null and empty texts, null and repeated ids are dealt like others.
     A shard can be empty if there are fewer rows than shards. An empty table
     gives an empty result. Texts are shuffled once; no task holds more than a
-    cell.
+    cell, some RANGE_BYTES, but for rows that are equal in id and text, which
+    nothing can tell apart.
     """
     text = text_or_empty(text_col)
     size = (F.octet_length(text) + 1).cast("long")
@@ -90,18 +100,23 @@ def shard_documents(
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("__key"), F.col("__unit")), 11) / F.lit(float(1 << 53))
     times = F.floor(F.col("__size") * F.lit(wanted / max(1, total)) + draw).cast("int")
     drawn = narrow.withColumn("__times", times).where(F.col("__times") > 0).groupBy("__key").agg(F.sum("__times").alias("__times"))
-    sample = [k for k, n in sorted(drawn.select("__key", "__times").collect()) for _ in range(n)]
-    bounds = quantile_bounds(sample, ranges)
-
-    ideal = max(1, total // ranges)
+    sample = drawn.select("__key", "__times").toArrow()
+    sample = np.repeat(np.asarray(sample.column("__key")), np.asarray(sample.column("__times")))
+    bounds = quantile_bounds(np.sort(sample).tolist(), ranges)
+    # Texts that alone fill about half a range: at most two for each range.
+    often, times = np.unique(sample, return_counts=True)
+    hot = docs.sparkSession.createDataFrame([(int(k), True) for k in often[times >= SAMPLES_PER_RANGE // 2]], "__key long, __hot boolean")
+
+    ideal = max(1, min(total // ranges, range_bytes))
     narrow = with_range(narrow, "__key", bounds, "__range")
     filled = narrow.groupBy("__range").agg(F.sum("__size").alias("__bytes"))
     parts = settle(filled.select("__range", F.greatest(F.lit(1), F.ceil(F.col("__bytes") / F.lit(1.5 * ideal))).cast("int").alias("__parts")), "shard-parts")
-    within = F.floor(F.col("__unit") * F.col("__parts")).cast("int")
+    of_key = F.shiftrightunsigned(F.xxhash64(F.lit("part"), F.col("__key")), 11) / F.lit(float(1 << 53))
+    within = F.floor(F.when(F.col("__hot"), F.col("__unit")).otherwise(of_key) * F.col("__parts")).cast("int")
 
     def celled(rows: DataFrame) -> DataFrame:
-        # One row for each range: bounded by MOST_RANGES.
-        return rows.join(F.broadcast(parts), "__range", "left").withColumn("__part", within)
+        # One row for each range, and at most two hot texts: bounded by MOST_RANGES.
+        return rows.join(F.broadcast(parts), "__range", "left").join(F.broadcast(hot), "__key", "left").withColumn("__part", within)
 
     cells = celled(narrow).groupBy("__range", "__part").agg(F.sum("__size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
     earlier = Window.orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,15 +129,18 @@ def shard_documents(
         ),
         "shard-cells",
     )
+    few = cells.count() <= BROADCAST_CELLS
     in_cell = Window.partitionBy("__range", "__part").orderBy("__key", "__unit", "__size")
+    of_text = Window.partitionBy("__range", "__part", "__key")
     before = in_cell.rowsBetween(Window.unboundedPreceding, -1)
     starts_at = F.col("__bytes_before") + F.coalesce(F.sum("__size").over(before), F.lit(0))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        # Cells are at most some 5/3 of the ranges.
-        rows = celled(rows).join(F.broadcast(cells), ["__range", "__part"], "left")
+        rows = celled(rows).join(F.broadcast(cells) if few else cells, ["__range", "__part"], "left")
         rows = rows.withColumn("__start", starts_at).withColumn("__at", F.col("__rows_before") + F.row_number().over(in_cell) - 1)
-        return rows.withColumn("shard", F.least(F.floor(F.col("__start") * F.lit(shards) / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
+        small = F.sum("__size").over(of_text) <= F.lit(GROUP_SHARE * total / shards)
+        rows = rows.withColumn("__from", F.when(small, F.min("__start").over(of_text)).otherwise(F.col("__start")))
+        return rows.withColumn("shard", F.least(F.floor(F.col("__from") * F.lit(shards) / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
 
     firsts = settle(dealt(narrow).groupBy("shard").agg(F.min("__at").alias("__first")), "shard-firsts")
     names = [c for c in docs.columns if c.lower() not in {"size", "shard", "slot"}]

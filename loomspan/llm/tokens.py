@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,8 +23,10 @@ from loomspan.llm.common import scratch, table
 
 #: Pieces of text whose ids one worker process remembers (some 200 MB).
 CACHED_PIECES = 1_000_000
-#: Texts that are encoded together.
-ROWS = 2500
+#: Texts that are encoded together, and bytes of text in one part.
+ROWS, PART_BYTES = 2500, 16 << 20
+#: Ids that a reader asks for at once where files cannot be mapped, and documents between.
+READ_IDS, READ_DOCS = 1 << 22, 4096
 #: Stands for a null id in the files.
 NO_ID = -(1 << 63)
 #: White space other than blanks and line feeds, and runs of these; they tie words together.
@@ -159,13 +159,23 @@ class Encoder:
         return flat[gather], np.diff(np.concatenate(([0], ends))[offsets])
 
 
+#: This worker process's encoders by their arguments: later tasks go on with their remembered pieces.
+_ENCODERS: dict[tuple[str, int, str], Encoder] = {}
+
+
 def _encoder(definition: str, end_id: int, width: str) -> Encoder:
-    """This worker process's encoder: later tasks go on with its remembered pieces."""
-    kept = sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__
-    key = ("encoder", hash(definition), end_id, width)
-    if key not in kept:
-        kept[key] = Encoder(definition, end_id, width)
-    return kept[key]
+    key = (definition, end_id, width)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(definition, end_id, width)
+    return _ENCODERS[key]
+
+
+def width_for(definition: str, end_id: int) -> str:
+    """The narrowest unsigned type that holds every id of a tokenizer (the content of its file) and the end id."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -190,7 +200,7 @@ class Part:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: str = "<u2", id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
 ) -> list[Part]:
     """Encodes whole texts and writes them to ``folder`` in ascending order of ids.
 
@@ -199,7 +209,9 @@ def write_tokens(
     is run again leaves no half-written file in use, and reports one row. From
     the reported counts, one row for each partition, prefix sums give each
     part's base: the ids of all documents before it. ``manifest.json`` holds the
-    format, the parts in order and their bases.
+    format, the parts in order and their bases. Without a number of parts there
+    is one for each PART_BYTES of text. The ids are as wide as the vocabulary
+    asks for; a ``width`` too narrow for it is refused.
 
     Null texts count as empty and give the end id alone. Null ids come first and
     are held as the least signed 64-bit integer, which reads back as null.
@@ -209,6 +221,10 @@ def write_tokens(
     folder = _unmapped(folder)
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()  # travels with the tasks, so executors need no copy of the file
+    fits = width_for(definition, end_id)
+    width = width or fits
+    if end_id < 0 or np.dtype(width).itemsize < np.dtype(fits).itemsize:
+        raise ValueError(f"ids of this tokenizer do not fit {width}")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, target, name = _encoder(definition, end_id, width), None, f"part-{uuid.uuid4().hex}"
@@ -236,7 +252,9 @@ def write_tokens(
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64())]))
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(parts, "id") if parts else rows.repartitionByRange("id")
+    if parts is None:
+        parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0) // PART_BYTES))
+    ranged = rows.repartitionByRange(parts, "id")
     written = ranged.sortWithinPartitions("id").mapInArrow(write, "name string, documents bigint, tokens bigint, first_id bigint")
     base, out = 0, []
     for r in sorted(written.collect(), key=lambda r: r["first_id"]):  # one row for each partition
@@ -256,14 +274,31 @@ def read_manifest(folder: str) -> tuple[str, list[Part]]:
     return found["width"], [Part(**p) for p in found["parts"]]
 
 
-def _mapped(system: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the file system is local, else read."""
-    if isinstance(system, pafs.LocalFileSystem):
-        import os
+class _File:
+    """A file as an array: memory-mapped where the file system is local, else read by ranges as they are asked for."""
+
+    def __init__(self, system: pafs.FileSystem, path: str, kind: str):
+        self.kind = np.dtype(kind)
+        self.file, self.mapped = None, None
+        if isinstance(system, pafs.LocalFileSystem):
+            self.size = os.path.getsize(path) // self.kind.itemsize
+            self.mapped = np.memmap(path, dtype=kind, mode="r") if self.size else np.zeros(0, kind)
+        else:
+            self.file = system.open_input_file(path)
+            self.size = self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[part]
+        a, z, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at((z - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+
 
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+def _crc32(ids: _File, a: int, z: int) -> int:
+    sum_ = 0
+    for at in range(a, z, READ_IDS):  # so that a long document needs little memory
+        sum_ = zlib.crc32(ids[at : min(z, at + READ_IDS)].astype("<u4").tobytes(), sum_)
+    return sum_
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,13 +319,16 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         system, path = _opened(folder)
         for batch in batches:
             for name, base in zip(batch["name"], batch["base"], strict=True):
-                ids, ends, docs = (_mapped(system, f"{path}/{name}.{end}", kind) for end, kind in (("bin", width), ("idx", "<u8"), ("doc", "<i8")))
-                for at in range(0, len(docs), 4096):
-                    ends_here = ends[at : at + 4096].astype(np.int64)
-                    starts = np.concatenate(([ends[at - 1] if at else 0], ends_here[:-1])).astype(np.int64)
-                    sums = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(starts.tolist(), ends_here.tolist(), strict=True)]
-                    named = pd.array(docs[at : at + 4096], dtype="Int64")
-                    named[docs[at : at + 4096] == NO_ID] = pd.NA
+                ids, ends, docs = (_File(system, f"{path}/{name}.{end}", kind) for end, kind in (("bin", width), ("idx", "<u8"), ("doc", "<i8")))
+                first = 0
+                for at in range(0, docs.size, READ_DOCS):
+                    ends_here = ends[at : at + READ_DOCS].astype(np.int64)
+                    starts = np.concatenate(([first], ends_here[:-1])).astype(np.int64)
+                    first = int(ends_here[-1])
+                    sums = [_crc32(ids, a, z) for a, z in zip(starts.tolist(), ends_here.tolist(), strict=True)]
+                    found = docs[at : at + READ_DOCS]
+                    named = pd.array(found, dtype="Int64")
+                    named[found == NO_ID] = pd.NA
                     yield pd.DataFrame({"doc_id": named, "start": starts + base, "n_tokens": ends_here - starts, "ids_crc32": sums})
 
     listed = spark.createDataFrame([(p.name, p.base) for p in parts], "name string, base bigint")

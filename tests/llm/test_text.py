@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, licenses, passages, quality
 
@@ -86,6 +87,50 @@ def test_base_phrases_match_brute_force(spark):
         assert got[i] == (len(at), min(at, default=None), max(at, default=None))
 
 
+def test_template_labels_match_brute_force():
+    """Changed notices in other words: every place of every template is tried without the index."""
+    rng = random.Random(9)
+    templates = licenses.all_templates()
+    index = licenses.RareTokenIndex(templates, {b"the": 900, b"of": 800, b"software": 90, b"license": 40, b"public": 60}, 1000)
+    common = [b"the", b"of", b"software", b"license", b"x", b"public", b"copyright", b"notice"]
+    labelled = 0
+    for _ in range(250):
+        text = [rng.choice(common) for _ in range(rng.randrange(30))]
+        for t in rng.sample(templates, rng.randrange(3)):
+            notice = list(t.words)
+            for _ in range(rng.randrange(1 + len(notice) // 4)):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randrange(2)] = [rng.choice(common)] * rng.randrange(2)
+            text += notice + [rng.choice(common) for _ in range(rng.randrange(20))]
+        places, shares = index.scan(text)
+        for n, t in enumerate(templates):
+            if t.base:
+                assert places.get(n, []) == [o for o in range(len(text)) if tuple(text[o : o + len(t.words)]) == t.words]
+            else:
+                best = max(index.share(n, text, o) for o in range(-len(t.words), len(text) + 1))
+                assert shares.get(n, 0.0) == (best if best >= licenses.LEAST_SHARE else 0.0), (t.label, text)
+                labelled += n in shares
+    assert labelled > 100
+
+
+def test_licence_bodies(spark):
+    """Whole texts of well-known licences, as they stand in files."""
+    mit = '''Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:'''
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    rows = [(1, mit), (2, bsd), (3, apache), (4, gpl), (5, "permission to use the software is a matter of licence conditions and public notice")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "apache-2.0", 4: "gpl,gpl-family", 5: ""}
+
+
 SMALL = passages.Settings(kmer=3, window=4, least_words=20)
 
 
@@ -267,3 +312,29 @@ def test_classifier_without_labels(spark):
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.with_score(docs, model).first()["score"] == 0.5
     assert quality.with_score(docs.where("doc_id = 2"), model).count() == 0
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark, monkeypatch):
+    """Ids with very many rows, and texts of one id that differ, are one training row each."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, **k: seen.append(rows) or quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(ids[0], "the same")] * 3000 + [(ids[0], f"another {k}") for k in range(20)] + [(i, f"text {i}") for i in ids[1:60]] + [(None, "none")]
+    labels = [(i, 1) for i in ids] + [(ids[1], 0), (None, 1), (ids[2], None)]
+    for bound, want in ((1000, 60), (10, 10)):
+        quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), sample_rows=bound)
+        assert len(seen[-1]) == want
+    quality.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert seen[-1] == []
+
+
+def test_long_texts_are_scored_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SCORED_BYTES", 50)
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=quality.BUCKETS).astype(np.float32), 0.3)
+    texts = [None, "", "a b", "word " * 50_000 + "end", "a b"] + [f"t {k} u" for k in range(500)]
+    rows = quality.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash")), model).collect()
+    by = {r["doc_id"]: r["score"] for r in rows}
+    assert len(by) == len(texts) and by[2] == by[4] and by[0] == by[1]
+    for i, t in enumerate(texts[:60]):
+        assert by[i] == pytest.approx(quality.score_features(model, *quality.features(t)))
