@@ -22,7 +22,7 @@ BROADCAST_IDS = 400_000
 #: Keys of a text, and minima in each.
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a key shared by more than this meet the key's LEADERS first.
-FREQUENT, LEADERS = 5, 1
+FREQUENT, LEADERS = 5, 8
 _TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
@@ -250,12 +250,9 @@ def similar_texts(
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes[rows]), pa.array(keys.view(np.int64))], ["id", "size", "key"])
 
     keys = settle(texts.mapInArrow(banded, f"id {kind}, size int, key bigint"), "band-keys")
-    led = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size")) for k in range(LEADERS)]
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*led).alias("leaders")).where("n > 1")
-    shared = settle(shared, "band-shared")
+    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-shared")
     few_keys = shared.count() <= BROADCAST_KEYS
-    wanted = shared.select("key", "n")
-    members = settle(keys.join(F.broadcast(wanted) if few_keys else wanted, "key"), "band-members")
+    members = settle(keys.join(F.broadcast(shared) if few_keys else shared, "key"), "band-members")
     discard(keys)
 
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
@@ -266,7 +263,9 @@ def similar_texts(
         return rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *more)])
 
     pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & alike).select("a", "b")
-    leaders = shared.where(F.col("n") > frequent).select("key", F.explode("leaders").alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.size").alias("size_b"))
+    # By hashes of the ids, so that a group of copies has the same leaders in all its keys.
+    led = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size")) for k in range(LEADERS)]
+    leaders = settle(many.groupBy("key").agg(F.array(*led).alias("led")).select("key", F.explode("led").alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.size").alias("size_b")).distinct(), "band-leaders")
     star = side(many, "a").join(leaders, "key").where((F.col("a") != F.col("b")) & alike).select(a, b)
     first = settle(pairs.unionAll(star).distinct(), "similar-candidates")
     near = _verified(texts, first, similarity, width).select("a", "b")
