@@ -20,9 +20,7 @@ def reverse_complement(seq: Column) -> Column:
 
 def codons(seq: Column, size: int = 3) -> Column:
     """The sequence cut into parts of ``size``, the last perhaps shorter; an empty one has none."""
-    last = F.floor((F.length(seq) - 1) / size).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(seq, i * size + 1, F.lit(size)))
-    return F.when(F.length(seq) > 0, cut).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def translate(seq: Column) -> Column:

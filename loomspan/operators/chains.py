@@ -25,13 +25,35 @@ def score_filter(headers: DataFrame, least: int = 15000, score: str = "score") -
     return headers.where(F.col(score) > least)
 
 
+def blocks_at(blocks: DataFrame, regions: DataFrame, closed: bool = False) -> DataFrame:
+    """(chain_id, region, s, e, first, last): the first block that ends behind (``closed``: at or behind) a region's
+    start and the last that starts before its end; null where there is none.
+
+    One ordered pass over a chain's blocks and regions for each end, as both
+    are in the order of blocks: no region meets more than its own blocks.
+    """
+    # At equal places a block that ends there comes before a region's start unless closed, one that starts there behind a region's end.
+    rank = lambda here, n: F.lit(n if here else 1 - n)
+    ends = blocks.select("chain_id", F.col("t_end").alias("__at"), rank(closed, 1).alias("__k"), "block_no", F.lit(None).cast(regions.schema["region"].dataType).alias("region"))
+    from_s = regions.select("chain_id", F.col("s").alias("__at"), rank(closed, 0).alias("__k"), F.lit(None).cast(blocks.schema["block_no"].dataType).alias("block_no"), "region", "s", "e")
+    on = Window.partitionBy("chain_id").orderBy("__at", "__k", "block_no")
+    first = F.first("block_no", ignorenulls=True).over(on.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    left = ends.unionByName(from_s, allowMissingColumns=True).withColumn("first", first).where("region IS NOT NULL").select("chain_id", "region", "s", "e", "first")
+    starts = blocks.select("chain_id", F.col("t_start").alias("__at"), F.lit(1).alias("__k"), "block_no", F.lit(None).cast(regions.schema["region"].dataType).alias("region"))
+    to_e = regions.select("chain_id", F.col("e").alias("__at"), F.lit(0).alias("__k"), F.lit(None).cast(blocks.schema["block_no"].dataType).alias("block_no"), "region")
+    last = F.last("block_no", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    right = starts.unionByName(to_e).withColumn("last", last).where("region IS NOT NULL").select("chain_id", "region", "last")
+    return left.join(right, ["chain_id", "region"])
+
+
 def sub_chain(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """Blocks of each region's chain that end at or after its start and start before its end.
 
-    ``regions``: chain_id, region, s, e (target coordinates).
+    ``regions``: chain_id, region (unique in its chain), s, e (target coordinates).
     """
-    on = (blocks["chain_id"] == regions["chain_id"]) & (F.col("t_end") >= F.col("s")) & (F.col("t_start") < F.col("e"))
-    return regions.join(blocks, on).select(regions["chain_id"], "region", "block_no", "t_start", "t_end", "q_start", "q_end")
+    found = blocks_at(blocks, regions, closed=True).where("first <= last")
+    wanted = found.select("chain_id", "region", F.explode(F.sequence("first", "last")).alias("block_no"))
+    return wanted.join(blocks, ["chain_id", "block_no"]).select("chain_id", "region", "block_no", "t_start", "t_end", "q_start", "q_end")
 
 
 def aligned_gaps(blocks: DataFrame) -> DataFrame:
@@ -54,19 +76,13 @@ def project_ranges(blocks: DataFrame, regions: DataFrame, headers: DataFrame | N
     range before all blocks gives the chain's first base, one behind all the
     last. ``headers`` (chain_id, q_strand, q_size) flips ranges of minus strands.
 
-    Each region meets its chain's blocks once, in an aggregation: first and last
-    block touched by comparing, then coordinates by conditional minima and
-    maxima; no block is sorted per region.
+    First and last block touched come from one ordered pass (``blocks_at``), their
+    coordinates by equality joins.
     """
     bounds = blocks.groupBy("chain_id").agg(
         F.min("block_no").alias("__b0"), F.max("block_no").alias("__b1"), F.min("t_start").alias("__t0"), F.max("t_end").alias("__t1"), F.min("q_start").alias("__q0"), F.max("q_end").alias("__q1")
     )
-    pairs = regions.join(bounds, "chain_id").join(blocks, "chain_id")
-    # The block at a start is the first that ends behind it; the block at an end the last that starts before it.
-    at_start = F.min(F.when(F.col("t_end") > F.col("s"), F.col("block_no")))
-    at_end = F.max(F.when(F.col("t_start") < F.col("e"), F.col("block_no")))
-    keys = ["chain_id", "region", "s", "e", "__b0", "__b1", "__t0", "__t1", "__q0", "__q1"]
-    found = pairs.groupBy(*keys).agg(at_start.alias("__first"), at_end.alias("__last"))
+    found = blocks_at(blocks, regions).withColumnsRenamed({"first": "__first", "last": "__last"}).join(bounds, "chain_id")
     found = found.withColumn("__from", F.greatest(F.col("__first") - shift, F.col("__b0"))).withColumn("__to", F.least(F.col("__last") + shift, F.col("__b1")))
     left = blocks.select(F.col("chain_id"), F.col("block_no").alias("__from"), F.col("t_start").alias("__ft"), F.col("q_start").alias("__fq"))
     right = blocks.select(F.col("chain_id"), F.col("block_no").alias("__to"), F.col("t_end").alias("__lt"), F.col("q_end").alias("__lq"), F.col("t_start").alias("__ls"), F.col("q_start").alias("__lqs"))

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.sequences import codons, reverse_complement
 from loomspan.operators.mutations import STOPS
+from loomspan.operators.runs import prefix_sums
 
 CHUNK = 1 << 16
 
 
 def chunk_genome(entries: DataFrame, size: int = CHUNK) -> DataFrame:
     """(chrom, chunk from 0, seq) from (header, seq): no row is longer than a chunk."""
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("seq") - 1) / size), F.lit(0)))
-    rows = entries.select(F.split("header", r"\s")[0].alias("chrom"), "seq", F.explode(starts).alias("chunk"))
-    return rows.select("chrom", "chunk", F.substring("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+    parts = F.when(F.length("seq") > 0, codons(F.col("seq"), size)).otherwise(F.array(F.lit("")))
+    return entries.select(F.split("header", r"\s")[0].alias("chrom"), F.posexplode(parts).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 def fetch(genome: DataFrame, regions: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -34,11 +34,10 @@ def fetch(genome: DataFrame, regions: DataFrame, size: int = CHUNK) -> DataFrame
 
 def gap_spans(df: DataFrame, key: str, seq: str = "seq", least: int = 10) -> DataFrame:
     """(key, s, e) of runs of at least ``least`` unknown bases."""
-    runs = F.regexp_extract_all(F.upper(seq), F.lit("N+|[^N]+"), F.lit(0))
-    begun = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,n:boolean>>").alias("xs")), lambda acc, r: F.struct(
-        (acc["at"] + F.length(r)).alias("at"), F.concat(acc["xs"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(r)).alias("e"), F.startswith(r, F.lit("N")).alias("n")))).alias("xs")))
-    rows = df.select(key, F.explode(begun["xs"]).alias("x"))
-    return rows.where(F.col("x.n") & (F.col("x.e") - F.col("x.s") >= least)).select(key, F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
+    runs = df.select(key, F.posexplode(F.regexp_extract_all(F.upper(seq), F.lit("N+|[^N]+"), F.lit(0))).alias("n", "run"))
+    sized = runs.select(key, "n", F.length("run").cast("long").alias("size"), F.startswith("run", F.lit("N")).alias("unknown"))
+    spans = prefix_sums(sized, [key], ["n"], "size", "s")
+    return spans.where(F.col("unknown") & (F.col("size") >= least)).select(key, F.col("s").cast("long").alias("s"), (F.col("s") + F.col("size")).cast("long").alias("e"))
 
 
 def reference_exons(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,17 +21,40 @@ def best_path(chains: list[tuple[int, int, float, int]], most_overlap: int = MOS
 
     A chain follows another if it starts at or behind its end less the overlap
     and behind its start. Of equal paths that with the smaller ids counts.
+    Chains are met in the order of their starts; those that may stand before the
+    present one leave a heap, ordered by end, and only the best of them is kept.
     """
-    order = sorted(chains, key=lambda c: (c[1], c[0], c[3]))  # by end: a prefix of it can stand before a chain
-    ends = [c[1] for c in order]
-    best: dict[int, tuple[float, list[int]]] = {}
-    for start, end, score, n in sorted(chains, key=lambda c: (c[0], c[1], c[3])):
-        options = [best[c[3]] for c in order[: bisect_right(ends, start + most_overlap)] if c[3] in best and c[0] < start]
-        top = min(options, key=lambda o: (-o[0], o[1]), default=(0.0, []))
-        if top[0] <= 0:
-            top = (0.0, [])
-        best[n] = (top[0] + score, [*top[1], n])
-    return min(best.values(), key=lambda o: (-o[0], o[1]), default=(0.0, []))[1]
+    total: dict[int, float] = {}
+    before: dict[int, int | None] = {}
+
+    def path(n: int | None) -> list[int]:
+        out: list[int] = []
+        while n is not None:
+            out.append(n)
+            n = before[n]
+        return out[::-1]
+
+    def better(n: int, other: int | None) -> bool:
+        return other is None or total[n] > total[other] or (total[n] == total[other] and path(n) < path(other))
+
+    open_: list[tuple[int, int]] = []
+    best: int | None = None
+    for start, group in groupby(sorted(chains, key=lambda c: (c[0], c[1], c[3])), key=lambda c: c[0]):
+        while open_ and open_[0][0] <= start + most_overlap:
+            n = heappop(open_)[1]
+            best = n if better(n, best) else best
+        added = []
+        for _, end, score, n in group:
+            follows = best is not None and total[best] > 0
+            total[n] = score + (total[best] if follows else 0.0)
+            before[n] = best if follows else None
+            added.append((end, n))
+        for item in added:
+            heappush(open_, item)
+    top: int | None = None
+    for n in total:
+        top = n if better(n, top) else top
+    return path(top)
 
 
 def stitch_fragments(scores: DataFrame, chains: DataFrame, exons: DataFrame, least_score: float = 0.5, fragments_only: bool = True) -> DataFrame:
@@ -42,7 +66,7 @@ def stitch_fragments(scores: DataFrame, chains: DataFrame, exons: DataFrame, lea
     and with no more than MOST_COVERAGE chains on an exon on average.
     """
     kept = scores.where(F.col("score") >= least_score).join(chains, "chain_id")
-    met = overlap_join(kept, exons, ["chrom"], 1 << 16).where("a_transcript = b_transcript").select(F.col("a_transcript").alias("transcript"), F.col("a_chain_id").alias("chain_id"), F.col("b_exon").alias("exon")).distinct()
+    met = overlap_join(kept, exons, ["chrom", "transcript"], 1 << 16).select("transcript", F.col("a_chain_id").alias("chain_id"), F.col("b_exon").alias("exon")).distinct()
     n_exons = exons.groupBy("transcript").agg(F.count_distinct("exon").alias("n_exons"))
     each = met.groupBy("transcript", "chain_id").agg(F.count(F.lit(1)).alias("n_met"))
     totals = each.groupBy("transcript").agg(F.sum("n_met").alias("all_met"), F.max("n_met").alias("most_met"))

@@ -68,14 +68,14 @@ def chain_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ranges for each tenth chain: one within, one that begins before it."""
-    ids = views.chain_headers(spark, sf_dir).where(F.col("chain_id") % 10 == 0)
+    """Two ranges for each chain: one within, one that begins before it."""
+    ids = views.chain_headers(spark, sf_dir)
     spans = F.array(F.struct(F.lit(1).alias("region"), (F.col("t_start") + 12).alias("s"), (F.col("t_start") + 70).alias("e")), F.struct(F.lit(2).alias("region"), (F.col("t_start") - 40).alias("s"), (F.col("t_start") - 5).alias("e")))
     return ids.select("chain_id", F.explode(spans).alias("r")).select("chain_id", "r.region", "r.s", "r.e")
 
 
 _REGIONS = """regions AS (SELECT DISTINCT l_orderkey chain_id, r region, CASE WHEN r=1 THEN l_orderkey*10+12 ELSE l_orderkey*10-40 END s,
- CASE WHEN r=1 THEN l_orderkey*10+70 ELSE l_orderkey*10-5 END e FROM lineitem, (VALUES (1),(2)) v(r) WHERE l_orderkey%10=0)"""
+ CASE WHEN r=1 THEN l_orderkey*10+70 ELSE l_orderkey*10-5 END e FROM lineitem, (VALUES (1),(2)) v(r))"""
 
 
 def sub_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ def choose_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.choose_chains(classify.classify_chains(_chain_table(spark, sf_dir)), limit=3)
 
 
-def feature_table(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
-    l = views.read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)  # noqa: E741
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = views.read(spark, sf_dir, "lineitem")  # noqa: E741
     pairs = l.groupBy(F.col("l_suppkey").alias("chain_id"), F.col("l_partkey").alias("transcript")).agg(F.sum(F.col("l_quantity").cast("long") % 7).alias("cds"))
     chains = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chain_id"), F.round("s_acctbal").cast("long").alias("gl_score"))
     parts = views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("transcript"), F.col("p_size").cast("long").alias("gene_len"))
@@ -59,7 +59,7 @@ def projection_fate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = feature_table(spark, sf_dir, 38).withColumn("exon_perc", F.col("cds") / 20)
+    table = feature_table(spark, sf_dir).withColumn("exon_perc", F.col("cds") / 20)
     sizes = views.read(spark, sf_dir, "part").select((F.col("p_partkey") % 700).alias("gene"), F.col("p_partkey").alias("transcript"), F.col("p_size").cast("long").alias("size"))
     one2one = sizes.where("gene % 2 = 0").select("gene").distinct()
     return classify.training_set(table.drop("gene"), one2one, sizes).select("gene", "transcript", "chain_id", F.col("y").cast("long").alias("y"))
@@ -116,7 +116,7 @@ def loss_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = F.translate(F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 60), "abcdefghijklmnopqrstuvwxyz", "IIIIIIIDIIIIIIIIIIIIMLIIII")
+    states = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "IIIIIIIDIIIIIIIIIIIIMLIIII")
     rows = loss.intact_features(views.read(spark, sf_dir, "documents").select("doc_id", states.alias("states")).where("length(states) > 0"))
     shares = [F.round(c, 9).alias(c) for c in ("intact_ignore_m", "intact_intact_m", "intact_codons")]
     return rows.select("doc_id", *shares, "middle_is_intact", "middle_is_present")
@@ -195,7 +195,7 @@ def leaf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orthology_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes = views.read(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("r_gene"))
-    rows = views.edge_scores(spark, sf_dir).withColumn("score", F.lit(0.0))
+    rows = views.edge_scores(spark, sf_dir).withColumn("score", F.col("score") / 10)
     return orthology.orthology_types(genes, rows)
 
 
@@ -227,15 +227,16 @@ def codon_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's letters beside its next one's, with gaps for some letters."""
-    rows = views.dna(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 60)).where("length(seq) = 60")
+    """Each document's letters beside its next one's, with gaps for some letters and behind the shorter one's end."""
+    rows = views.dna(spark, sf_dir).where("length(seq) >= 60")
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("seq", "GG", "--").alias("query"))
-    return rows.join(other, "doc_id").select("doc_id", F.regexp_replace("seq", "CA", "--").alias("ref"), "query")
+    size = F.greatest(F.length("seq"), F.length("query"))
+    return rows.join(other, "doc_id").select("doc_id", F.rpad(F.regexp_replace("seq", "CA", "--"), size, F.lit("-")).alias("ref"), F.rpad("query", size, F.lit("-")).alias("query"))
 
 
-_ALIGNED = """d AS (SELECT doc_id, substr(seq,1,60) seq FROM dna WHERE length(seq)>=60),
- al AS (SELECT a.doc_id, replace(a.seq,'CA','--') ref, replace(b.seq,'GG','--') que FROM d a JOIN d b ON b.doc_id=a.doc_id+1),
- ch AS (SELECT doc_id, i, substr(ref,i,1) r, substr(que,i,1) q FROM al, range(1,61) t(i))"""
+_ALIGNED = """d AS (SELECT doc_id, seq FROM dna WHERE length(seq)>=60),
+ al AS (SELECT a.doc_id, rpad(replace(a.seq,'CA','--'), greatest(length(a.seq),length(b.seq))::INT, '-') ref, rpad(replace(b.seq,'GG','--'), greatest(length(a.seq),length(b.seq))::INT, '-') que FROM d a JOIN d b ON b.doc_id=a.doc_id+1),
+ ch AS (SELECT doc_id, unnest(range(1,length(ref)+1)) i, unnest(string_split(ref,'')) r, unnest(string_split(que,'')) q FROM al)"""
 
 
 def percent_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +282,7 @@ def compensated_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.dna(spark, sf_dir).where("length(seq) >= 40").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("exon"), "seq")
-    site = lambda off: F.substring("seq", F.col("exon") * 8 + off, F.lit(2))
+    site = lambda off: F.substring("seq", (F.col("exon") * F.expr("length(seq) div 5") + off).cast("int"), F.lit(2))
     exons = rows.select("doc_id", "exon", F.when(F.col("exon") > 1, site(0)).alias("acceptor"), F.when(F.col("exon") < 4, site(4)).alias("donor"))
     minor = rows.where("doc_id % 3 = 0 AND exon = 2").select("doc_id", "exon", F.lit("A").alias("side"))
     return mutations.splice_mutations(exons, "doc_id", minor).groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("masked"), 1)).alias("n_masked"))
@@ -290,7 +291,7 @@ def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codons of alignments with an intron of blanks after 25 columns."""
     pairs = _aligned(spark, sf_dir).select(
-        "doc_id", F.concat(F.substring("ref", 1, 25), F.lit("    "), F.substring("ref", 26, 99)).alias("ref"), F.concat(F.substring("query", 1, 25), F.lit("gtag"), F.substring("query", 26, 99)).alias("query")
+        "doc_id", F.concat(F.substring("ref", 1, 25), F.lit("    "), F.substring("ref", 26, 1 << 30)).alias("ref"), F.concat(F.substring("query", 1, 25), F.lit("gtag"), F.substring("query", 26, 1 << 30)).alias("query")
     )
     return aligned.codon_table(pairs, "doc_id")
 
@@ -316,7 +317,7 @@ def memory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def species_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 30 AND doc_id % 7 <> 3").select(F.expr("doc_id div 4").alias("species"), (F.col("doc_id") % 4).alias("exon"), F.substring("seq", F.lit(1), (10 + F.col("doc_id") % 9).cast("int")).alias("seq"))
+    rows = views.dna(spark, sf_dir).where("length(seq) >= 30 AND doc_id % 7 <> 3").select(F.expr("doc_id div 4").alias("species"), (F.col("doc_id") % 4).alias("exon"), "seq")
     return aligned.exon_alignments(rows, [0, 1, 2, 3])
 
 
@@ -325,9 +326,9 @@ def gap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genome_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two regions of each sequence, from chunks of 64 bases."""
+    """Nearly all of each sequence and a short region of it, from chunks of 64 bases."""
     entries = views.dna(spark, sf_dir).where("length(seq) >= 150").select(F.col("doc_id").cast("string").alias("header"), "seq")
-    spans = F.array(F.struct(F.lit(10).alias("s"), F.lit(140).alias("e"), F.lit("+").alias("strand")), F.struct(F.lit(60).alias("s"), F.lit(70).alias("e"), F.lit("-").alias("strand")))
+    spans = F.array(F.struct(F.lit(10).alias("s"), (F.length("seq") - 10).alias("e"), F.lit("+").alias("strand")), F.struct(F.lit(60).alias("s"), F.lit(70).alias("e"), F.lit("-").alias("strand")))
     regions = entries.select(F.col("header").alias("chrom"), F.explode(spans).alias("r")).select("chrom", F.col("r.s").cast("long").alias("s"), F.col("r.e").cast("long").alias("e"), "r.strand")
     return genome.fetch(genome.chunk_genome(entries, 64), regions, 64)
 
@@ -337,7 +338,7 @@ def masked_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_codon_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 20").select("doc_id", F.substring("seq", 1, 20).alias("seq"))
+    rows = views.dna(spark, sf_dir).where("length(seq) >= 20")
     return rows.select("doc_id", genome.mark_split_codons(F.col("seq"), F.col("doc_id") % 100).alias("marked"))
 
 
@@ -428,6 +429,7 @@ QUERIES = {
     )
 }
 
+_COD = """cod AS (SELECT doc_id, n, unnest(range(0, len(l))) i, unnest(l) c FROM (SELECT doc_id, length(seq) n, regexp_extract_all(seq, '.{1,3}') l FROM dna))"""
 _FEATURES = """p AS (SELECT l_suppkey chain_id, l_partkey transcript, sum(l_quantity::BIGINT%7)::BIGINT cds FROM lineitem GROUP BY 1,2),
  sy AS (SELECT chain_id, count(DISTINCT CASE WHEN transcript%11<>0 THEN (transcript%100)::VARCHAR ELSE '-' END) synteny FROM p GROUP BY 1), ov AS (SELECT transcript, count(*) gene_overs FROM p GROUP BY 1),
  ft AS (SELECT transcript, p.chain_id, cds, round(s_acctbal)::BIGINT gl_score, synteny, p_size::BIGINT gene_len, gene_overs FROM p JOIN supplier ON s_suppkey=p.chain_id JOIN sy ON sy.chain_id=p.chain_id JOIN part ON p_partkey=transcript JOIN ov USING (transcript))"""
@@ -451,7 +453,7 @@ SQL = {
     "feature_table": f"WITH {_FEATURES} SELECT * FROM ft",
     "projection_fate": """WITH r AS (SELECT l_orderkey id, l_linenumber n, l_quantity::BIGINT q, l_partkey p FROM lineitem), x AS (SELECT id, n, q, q*10 t, p%60*q*12 ql, q*300 c FROM r)
         SELECT id, n, CASE WHEN q%3=0 AND (abs(ql-t)/t>50 OR abs(ql-t)>1000000) THEN 'too long' WHEN ql<0.05*c AND q%2=0 THEN 'M' WHEN ql<0.05*c THEN 'L' ELSE 'project' END fate, count(*) "count" FROM x GROUP BY 1,2,3""",
-    "training_set": f"""WITH {_FEATURES.replace("FROM lineitem", "FROM lineitem WHERE l_quantity >= 38")}, z AS (SELECT p_partkey%700 gene, p_partkey transcript, row_number() OVER (PARTITION BY p_partkey%700 ORDER BY p_size DESC, p_partkey) n FROM part),
+    "training_set": f"""WITH {_FEATURES}, z AS (SELECT p_partkey%700 gene, p_partkey transcript, row_number() OVER (PARTITION BY p_partkey%700 ORDER BY p_size DESC, p_partkey) n FROM part),
         k AS (SELECT z.gene, ft.transcript, chain_id, count(*) OVER w c, min(chain_id) OVER w f FROM ft JOIN z ON z.transcript=ft.transcript AND n=1 AND z.gene%2=0 WHERE gene_overs<=10 AND cds/20>0.1 WINDOW w AS (PARTITION BY ft.transcript))
         SELECT gene, transcript, chain_id, (c=1)::BIGINT y FROM k WHERE c=1 OR chain_id<>f""",
     "longest_isoform": "SELECT gene, transcript, size FROM (SELECT p_partkey%300 gene, p_partkey transcript, p_size::BIGINT size, row_number() OVER (PARTITION BY p_partkey%300 ORDER BY p_size DESC, p_partkey) n FROM part) WHERE n=1",
@@ -461,7 +463,7 @@ SQL = {
         gn AS (SELECT (substr(id,2)::BIGINT%150)::VARCHAR id, arg_max(c, r) c FROM t2 JOIN rk USING (c) GROUP BY 1)
         SELECT 'PROJECTION' AS level, id, c AS class FROM p UNION ALL SELECT 'TRANSCRIPT', id, c FROM t2 UNION ALL SELECT 'GENE', id, c FROM gn""",
     "loss_colours": f"WITH {_LOSS} SELECT projection, CASE loss " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in loss.COLOURS.items()) + " END item_rgb FROM losses",
-    "intact_features": """WITH x AS (SELECT doc_id, translate(substr(regexp_replace(lower(text),'[^a-z]','','g'),1,60),'abcdefghijklmnopqrstuvwxyz','IIIIIIIDIIIIIIIIIIIIMLIIII') s FROM documents),
+    "intact_features": """WITH x AS (SELECT doc_id, translate(regexp_replace(lower(text),'[^a-z]','','g'),'abcdefghijklmnopqrstuvwxyz','IIIIIIIDIIIIIIIIIIIIMLIIII') s FROM documents),
         y AS (SELECT doc_id, s, length(s) n, length(s)//10 t, replace(s,'D','') k FROM x WHERE length(s)>0)
         SELECT doc_id, round(list_max(list_transform(string_split(replace(k,'M',''),'L'), lambda v: length(v)))/n, 9)::DOUBLE intact_ignore_m, round(list_max(list_transform(string_split(replace(k,'M','I'),'L'), lambda v: length(v)))/n, 9)::DOUBLE intact_intact_m,
           round(CASE WHEN n-length(regexp_replace(s,'[^M]','','g'))=0 THEN 1.0 ELSE length(regexp_replace(s,'[^I]','','g'))/(n-length(regexp_replace(s,'[^M]','','g'))) END, 9)::DOUBLE intact_codons,
@@ -485,15 +487,15 @@ SQL = {
         r AS (SELECT k chrom, strand, min(s) s, max(e) e, count(*) n_members, min(id) x FROM i GROUP BY k, strand, g)
         SELECT 'reg_'||lpad((row_number() OVER (ORDER BY chrom, s, strand, x))::VARCHAR, 11, '0') gene, chrom, strand, s, e, n_members FROM r"""),
     "reverse_complement": with_views("dna", "SELECT doc_id, reverse(translate(seq,'ACGT','TGCA')) rc FROM dna"),
-    "translate_codons": with_views("dna", f""", c AS (SELECT doc_id, i, substr(seq, 3*i+1, 3) c FROM dna, range(0,100) t(i) WHERE 3*i < length(seq))
-        SELECT dna.doc_id, coalesce(string_agg({_translated()}, '' ORDER BY i), '') protein FROM dna LEFT JOIN c ON c.doc_id=dna.doc_id GROUP BY 1"""),
-    "codon_chunks": with_views("dna", ", c AS (SELECT i, substr(seq, 3*i+1, 3) codon FROM dna, range(0,100) t(i) WHERE 3*i < length(seq)) SELECT codon, count(*) n, min(i) first_at FROM c GROUP BY 1"),
+    "translate_codons": with_views("dna", f""", {_COD}
+        SELECT dna.doc_id, coalesce(string_agg({_translated()}, '' ORDER BY i), '') protein FROM dna LEFT JOIN cod ON cod.doc_id=dna.doc_id GROUP BY 1"""),
+    "codon_chunks": with_views("dna", f", {_COD} SELECT c codon, count(*) n, min(i) first_at FROM cod GROUP BY 1"),
     "percent_identity": with_views("dna", f""", {_ALIGNED} SELECT doc_id, round(coalesce(count(*) FILTER (WHERE r=q AND r<>'N')*100/nullif(count(*) FILTER (WHERE r<>'N' AND q<>'N'),0),0), 6)::DOUBLE with_gaps,
         round(coalesce(count(*) FILTER (WHERE r=q AND r NOT IN ('N','-'))*100/nullif(count(*) FILTER (WHERE r NOT IN ('N','-') AND q NOT IN ('N','-')),0),0), 6)::DOUBLE of_bases FROM ch GROUP BY 1"""),
     "substitution_score": with_views("dna", f""", {_ALIGNED} SELECT doc_id, sum(CASE WHEN r='-' AND q='-' THEN 0 WHEN r='-' OR q='-' THEN -1 WHEN r='N' OR q='N' THEN 0 WHEN r=q THEN 5 WHEN r||q IN ('AG','GA','CT','TC') THEN 1 ELSE -4 END)::BIGINT score FROM ch GROUP BY 1"""),
     "unknown_runs": with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna)
         SELECT doc_id, coalesce(list_max(list_transform(string_split(regexp_replace(seq,'[^N]+',' ','g'),' '), lambda v: length(v))),0) longest, regexp_matches(seq,'N{5,}') has_gap FROM x"""),
-    "mask_rule": with_views("dna", """, c AS (SELECT doc_id, i+1 n, substr(seq,3*i+1,3) c, (length(seq)+2)//3 m FROM dna, range(0,100) t(i) WHERE 3*i < length(seq) AND length(seq)>=30),
+    "mask_rule": with_views("dna", f""", {_COD}, c AS (SELECT doc_id, i+1 n, c, (n+2)//3 m FROM cod WHERE n>=30),
         f AS (SELECT *, min(CASE WHEN c='ATC' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) nx FROM c)
         SELECT doc_id, count(*) FILTER (WHERE n >= m-m//10 OR (n <= m//10 AND nx <= m//10)) n_masked, count(*) n_codons FROM f GROUP BY 1"""),
     "projection_names": "SELECT 'ENST.'||(l_partkey%9) transcript, count(*) n, max(l_orderkey) most FROM lineitem GROUP BY 1",
@@ -503,7 +505,7 @@ SQL = {
         m AS (SELECT doc_id, codon, 'START_MISSING' mclass FROM k WHERE codon=1 AND b<>'ATG' UNION ALL SELECT doc_id, codon, CASE WHEN z>0 THEN 'BIG_INS' ELSE 'BIG_DEL' END FROM k WHERE abs(z)>=50
           UNION ALL SELECT doc_id, codon, CASE WHEN z>0 THEN 'FS_INS' ELSE 'FS_DEL' END FROM k WHERE abs(z)<50 AND z%3<>0 UNION ALL SELECT doc_id, codon, 'STOP' FROM k WHERE b IN ('TAA','TAG','TGA') AND codon<l)
         SELECT doc_id, mclass, count(*) n, min(codon)::BIGINT first_codon FROM m GROUP BY 1,2"""),
-    "splice_sites": with_views("dna", """, x AS (SELECT doc_id, e, seq FROM dna, range(1,5) t(e) WHERE length(seq)>=40), y AS (SELECT doc_id, e, 'A' side, substr(seq, e*8, 2) s FROM x WHERE e>1 UNION ALL SELECT doc_id, e, 'D', substr(seq, e*8+4, 2) FROM x WHERE e<4),
+    "splice_sites": with_views("dna", """, x AS (SELECT doc_id, e, seq FROM dna, range(1,5) t(e) WHERE length(seq)>=40), y AS (SELECT doc_id, e, 'A' side, substr(seq, e*(length(seq)//5), 2) s FROM x WHERE e>1 UNION ALL SELECT doc_id, e, 'D', substr(seq, e*(length(seq)//5)+4, 2) FROM x WHERE e<4),
         z AS (SELECT *, contains(s,'N') OR contains(s,'-') OR (doc_id%3=0 AND e=2 AND side='A') k FROM y WHERE CASE side WHEN 'A' THEN s<>'AG' ELSE s NOT IN ('GT','GC') END) SELECT doc_id, side, count(*) n, count(*) FILTER (WHERE k) n_masked FROM z GROUP BY 1,2"""),
 }
 
@@ -529,7 +531,7 @@ def _split(scores: str, final: str) -> str:
 
 SQL["leaf_split"] = _split(_SPLIT_SCORES, "SELECT * FROM done")
 SQL["orthology_type"] = _split(
-    "sc AS (SELECT DISTINCT r_gene, q_gene, 0.0 score FROM edge_scores)",
+    "sc AS (SELECT r_gene, q_gene, max(score)/10 score FROM edge_scores GROUP BY 1,2)",
     f""", fin AS (SELECT component, count(DISTINCT r_gene) n_ref, count(DISTINCT q_gene) n_query FROM done GROUP BY 1)
     SELECT r_gene, q_gene, {_CLASS} orthology_class FROM done JOIN fin USING (component) UNION ALL SELECT 'P'||p_partkey, NULL, 'one2zero' FROM part WHERE 'P'||p_partkey NOT IN (SELECT r_gene FROM done)""",
 )
@@ -540,10 +542,10 @@ SQL["exon_states"] = """WITH x AS (SELECT l_orderkey id, ['A','A+','B','C','M'][
 SQL["memory_plan"] = with_views("chain_blocks_raw", """, j AS (SELECT chain_id, sum(39+6*(size//3))::DOUBLE n, sum(size)::DOUBLE r, max(dq)*100000.0::DOUBLE q FROM chain_blocks_raw GROUP BY 1),
     g AS (SELECT chain_id, ceil((n*32+n*q*4+n*304+(q*2+r)*8+(q+r)*2+100000)/1e9)+0.25 gig FROM j)
     SELECT chain_id, gig, CASE WHEN gig<=0.5 THEN 'fit' WHEN gig<=1.3 THEN 'big' ELSE 'no' END fits, CASE WHEN gig<=1 THEN 1.0 WHEN gig<=1.5 THEN 1.5 WHEN gig<=2 THEN 2.0 END::DOUBLE AS bucket FROM g""")
-SQL["species_alignment"] = with_views("dna", """, r AS (SELECT doc_id//4 species, doc_id%4 exon, substr(seq,1,10+doc_id%9) seq FROM dna WHERE length(seq)>=30 AND doc_id%7<>3), w AS (SELECT exon, max(length(seq)) w FROM r GROUP BY 1),
+SQL["species_alignment"] = with_views("dna", """, r AS (SELECT doc_id//4 species, doc_id%4 exon, seq FROM dna WHERE length(seq)>=30 AND doc_id%7<>3), w AS (SELECT exon, max(length(seq)) w FROM r GROUP BY 1),
     f AS (SELECT DISTINCT species, e exon FROM r, range(4) t(e)) SELECT species, string_agg(rpad(coalesce(seq,''), w::INT, '-'), '' ORDER BY exon) seq FROM f JOIN w USING (exon) LEFT JOIN r USING (species, exon) GROUP BY 1""")
 SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, substr(ref,1,25)||'    '||substr(ref,26) ref, substr(que,1,25)||'gtag'||substr(que,26) que FROM al),
-    c0 AS (SELECT doc_id, i, substr(ref,i,1) t, substr(que,i,1) q, CASE WHEN i<=25 THEN 0 ELSE 1 END ex FROM sp, range(1,65) x(i)),
+    cz AS (SELECT doc_id, unnest(range(1,length(ref)+1)) i, unnest(string_split(ref,'')) t, unnest(string_split(que,'')) q FROM sp), c0 AS (SELECT *, CASE WHEN i<=25 THEN 0 ELSE 1 END ex FROM cz),
     c1 AS (SELECT *, sum((q<>'-')::INT) OVER (PARTITION BY doc_id ORDER BY i)-1 co, coalesce(sum((t NOT IN ('-',' '))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) le FROM c0),
     c2 AS (SELECT *, le//3 b, min(CASE WHEN t<>'-' THEN ex END) OVER (PARTITION BY doc_id, le//3) fe FROM c1 WHERE t<>' '),
     c3 AS (SELECT *, CASE WHEN t='-' AND le%3=0 AND (fe IS NULL OR ex<fe) THEN 0 ELSE 1 END p FROM c2), c4 AS (SELECT doc_id, b, p, string_agg(t,'' ORDER BY i) ref_codon, string_agg(upper(q),'' ORDER BY i) que_codon, max(ex) t_exon, count(*) FILTER (WHERE ex=0) z, count(*) n,
@@ -551,22 +553,22 @@ SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, s
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon, ref_codon, que_codon, t_exon::BIGINT t_exon, t_exon::BIGINT q_exon, CASE WHEN t_exon=1 THEN z ELSE 0 END AS split, first_at, last_at FROM c4""")
 
 _STOPS = "('TAA','TAG','TGA')"
-SQL["gap_spans"] = with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna), c AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) g FROM x, range(1,301) t(i) WHERE i<=length(seq) AND substr(seq,i,1)='N')
+SQL["gap_spans"] = with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna), u AS (SELECT doc_id, unnest(range(1,length(seq)+1)) i, unnest(string_split(seq,'')) b FROM x WHERE seq<>''), c AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) g FROM u WHERE b='N')
     SELECT doc_id, min(i)-1 s, max(i) e FROM c GROUP BY doc_id, g HAVING count(*)>=4""")
-SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom, seq FROM dna WHERE length(seq)>=150) SELECT chrom, 10::BIGINT s, 140::BIGINT e, '+' strand, substr(seq,11,130) seq FROM x
+SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom, seq FROM dna WHERE length(seq)>=150) SELECT chrom, 10::BIGINT s, (length(seq)-10)::BIGINT e, '+' strand, substr(seq,11,length(seq)-20) seq FROM x
     UNION ALL SELECT chrom, 60::BIGINT, 70::BIGINT, '-', reverse(translate(substr(seq,61,10),'ACGT','TGCA')) FROM x""")
-SQL["masked_stops"] = with_views("dna", f""", c AS (SELECT doc_id, length(seq) n, i, (length(seq)-1)//3 l, substr(seq,3*i+1,3) c FROM dna, range(0,100) t(i) WHERE 3*i<length(seq))
+SQL["masked_stops"] = with_views("dna", f""", {_COD}, c AS (SELECT doc_id, n, i, (n-1)//3 l, c FROM cod)
     SELECT doc_id, CASE WHEN max(n)%3<>0 THEN 'out of frame' WHEN max(CASE WHEN i=0 THEN c END)<>'ATG' THEN 'no start codon' WHEN max(CASE WHEN i=l THEN c END) NOT IN {_STOPS} THEN 'no stop codon' END problem,
       string_agg(CASE WHEN c IN {_STOPS} AND i<l THEN 'NNN' ELSE c END, '' ORDER BY i) masked FROM c GROUP BY 1""")
-SQL["split_codon_marks"] = with_views("dna", """, x AS (SELECT doc_id, substr(seq,1,20) q, (3-doc_id%100%3)%3 h, (doc_id%100+20)%3 t FROM dna WHERE length(seq)>=20)
-    SELECT doc_id, lower(substr(q,1,h))||upper(substr(q,h+1,20-h-t))||lower(substr(q,21-t)) marked FROM x""")
+SQL["split_codon_marks"] = with_views("dna", """, x AS (SELECT doc_id, seq q, length(seq) n, (3-doc_id%100%3)%3 h, (doc_id%100+length(seq))%3 t FROM dna WHERE length(seq)>=20)
+    SELECT doc_id, lower(substr(q,1,h))||upper(substr(q,h+1,n-h-t))||lower(substr(q,n+1-t)) marked FROM x""")
 SQL["pseudogene_track"] = f"""WITH {_TABLE}, h AS (SELECT s_suppkey chain_id, (s_nationkey%5)::VARCHAR chrom, s_suppkey%2=0 plus, s_suppkey*37%9000 a, s_suppkey*37%9000+100+s_suppkey%400 b FROM supplier),
     r AS (SELECT chrom, CASE WHEN (p_size%2=0)=plus THEN '+' ELSE '-' END strand, CASE WHEN plus THEN a ELSE 100000-b END s, CASE WHEN plus THEN b ELSE 100000-a END e, gene FROM d JOIN h USING (chain_id) JOIN part ON p_partkey=gene WHERE score<0.2),
     m AS (SELECT *, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w THEN 1 ELSE 0 END f FROM r WINDOW w AS (PARTITION BY chrom, strand ORDER BY s, e, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     i AS (SELECT *, sum(f) OVER (PARTITION BY chrom, strand ORDER BY s, e, gene ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) g FROM m)
     SELECT chrom, strand, min(s) s, max(e) e, count(*) n_parts, arg_min(gene, (s, e, gene)) AS name FROM i GROUP BY chrom, strand, g"""
 SQL["exon_scores"] = SQL["codon_table"].replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon", ", tb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, p) codon") + """),
-    cx AS (SELECT doc_id, t_exon, substr(ref_codon,k,1) r, substr(que_codon,k,1) q FROM tb, range(1,65) y(k) WHERE k<=length(ref_codon))
+    cx AS (SELECT doc_id, t_exon, unnest(string_split(ref_codon,'')) r, unnest(string_split(que_codon,'')) q FROM tb)
     SELECT doc_id, t_exon exon, round(count(*) FILTER (WHERE r=q)*100/count(*), 6)::DOUBLE AS identity FROM cx WHERE r<>'N' AND q<>'N' GROUP BY 1,2"""
 SQL["projection_tracks"] = with_views("chain_blocks_raw", """, x AS (SELECT chain_id AS name, block_no, (dt%2)::VARCHAR chrom, CASE WHEN chain_id%2=0 THEN '+' ELSE '-' END strand, dq*100 s, dq*100+size e, CASE WHEN chain_id%2=0 THEN dq ELSE -dq END w FROM chain_blocks_raw),
     f AS (SELECT *, CASE WHEN w <= lag(w) OVER (PARTITION BY name, chrom, strand ORDER BY block_no) THEN 1 ELSE 0 END c FROM x), g AS (SELECT *, sum(c) OVER (PARTITION BY name, chrom, strand ORDER BY block_no) part FROM f)

@@ -54,8 +54,10 @@ def bed_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    gene, query = F.concat(F.lit("P"), F.col("l_partkey")), F.concat(F.lit("O"), F.col("l_orderkey") % 5000)
+    """An edge per line item, between five reference and five query genes of each two orders."""
+    rows = read(spark, sf_dir, "lineitem")
+    five = F.expr("l_orderkey div 2") * 5
+    gene, query = F.concat(F.lit("P"), five + F.col("l_partkey") % 5), F.concat(F.lit("O"), five + F.col("l_suppkey") % 5)
     return rows.select(gene.alias("r_gene"), query.alias("q_gene"), F.round(F.col("l_discount") * 100).cast("long").alias("score"))
 
 
@@ -67,7 +69,7 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 300)
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     return read(spark, sf_dir, "documents").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTNN").alias("seq"))
 
 
@@ -80,10 +82,10 @@ SQL = {
         CAST(chain_id*7 + coalesce(sum(size+dq) OVER w,0) AS BIGINT) q_start, CAST(chain_id*7 + coalesce(sum(size+dq) OVER w,0) + size AS BIGINT) q_end
         FROM chain_blocks_raw WINDOW w AS (PARTITION BY chain_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "bed_like": """SELECT chain_id id, min(t_start) start_, max(t_end) end_, min(t_start)+15 thick_start, greatest(max(t_end)-20, min(t_start)+15) thick_end, count(*) n_blocks FROM chain_blocks GROUP BY 1""",
-    "edge_scores": "SELECT 'P'||l_partkey r_gene, 'O'||(l_orderkey%5000) q_gene, CAST(round(l_discount*100) AS BIGINT) score FROM lineitem WHERE l_quantity=50",
+    "edge_scores": "SELECT 'P'||(l_orderkey//2*5+l_partkey%5) r_gene, 'O'||(l_orderkey//2*5+l_suppkey%5) q_gene, CAST(round(l_discount*100) AS BIGINT) score FROM lineitem",
     "edges": "SELECT DISTINCT r_gene, q_gene FROM edge_scores",
     "status": "SELECT DISTINCT l_partkey item, n_name assembly, CAST((l_partkey*7+l_suppkey*3)%8 - 1 AS BIGINT) rank FROM lineitem JOIN supplier ON s_suppkey=l_suppkey JOIN nation ON n_nationkey=s_nationkey",
-    "dna": "SELECT doc_id, translate(substr(regexp_replace(lower(text),'[^a-z]','','g'),1,300),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTNN') seq FROM documents",
+    "dna": "SELECT doc_id, translate(regexp_replace(lower(text),'[^a-z]','','g'),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTNN') seq FROM documents",
 }
 
 

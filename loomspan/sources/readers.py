@@ -113,8 +113,9 @@ def read_alignments(spark: SparkSession, path: str, marker: str = ">reference")
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(ref, que, score) of a substitution matrix: a heading line of letters, then a letter and its scores a line."""
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    scored = F.coalesce(F.get("f", F.lit(1)).rlike(r"^-?\d+$"), F.lit(False))
     # The heading has no number and is one line, so it may meet every other.
-    letters = lines.where(~F.get("f", F.lit(1)).rlike(r"^-?\d+$")).agg(F.first("f").alias("heading"))
-    rows = lines.where(F.get("f", F.lit(1)).rlike(r"^-?\d+$")).select(F.get("f", F.lit(0)).alias("ref"), F.posexplode(F.slice("f", 2, F.size("f") - 1)).alias("at", "score"))
+    letters = lines.where(~scored).agg(F.first("f").alias("heading"))
+    rows = lines.where(scored).select(F.get("f", F.lit(0)).alias("ref"), F.posexplode(F.slice("f", 2, F.size("f") - 1)).alias("at", "score"))
     named = rows.join(F.broadcast(letters.select(F.posexplode("heading").alias("at", "que"))), "at")
     return named.select("ref", "que", F.col("score").cast("int").alias("score"))
