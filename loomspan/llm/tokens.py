@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -159,15 +161,17 @@ class Encoder:
         return flat[gather], np.diff(np.concatenate(([0], ends))[offsets])
 
 
-#: This worker process's encoders by their arguments: later tasks go on with their remembered pieces.
-_ENCODERS: dict[tuple[str, int, str], Encoder] = {}
-
-
 def _encoder(definition: str, end_id: int, width: str) -> Encoder:
+    """This worker process's encoder: later tasks go on with its remembered pieces.
+
+    Tasks bring their own copy of this module's variables, so the encoders are
+    kept where a process has one place only, under their whole arguments.
+    """
+    kept = sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__.setdefault("encoders", {})
     key = (definition, end_id, width)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(definition, end_id, width)
-    return _ENCODERS[key]
+    if key not in kept:
+        kept[key] = Encoder(definition, end_id, width)
+    return kept[key]
 
 
 def width_for(definition: str, end_id: int) -> str:
