@@ -23,6 +23,8 @@ BROADCAST_IDS = 400_000
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a key shared by more than this meet the key's LEADERS first.
 FREQUENT, LEADERS = 5, 8
+#: Longs in the bitmap of a text's shingles.
+BITMAP = 8
 _TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
@@ -230,7 +232,9 @@ def similar_texts(
     texts pairs these all; of more, each meets the key's leaders, which are the
     same for all keys of a group of copies. Where that leaves a key's texts in
     several groups, those outside its largest group then meet all that are not
-    in their own group: only pairs go uncompared that are connected already.
+    in their own group, unless bitmaps of both show that they differ in too many
+    shingles. So only pairs go uncompared that are connected already or proven
+    to be below ``similarity``.
 
     Null ids are left out, null and empty texts are similar to none. Repeated
     ids are one. An empty table gives an empty result.
@@ -279,7 +283,12 @@ def similar_texts(
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
     apart = settle(named.join(settle(split, "band-split"), "key"), "band-apart")
     other = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
-    rest = side(apart.where("root <> main"), "a", "root").join(side(apart, "b", "root", "main").withColumnRenamed("main_b", "main"), "key").where(other & alike).select(a, b)
+    apart = apart.join(_bitmaps(texts, apart, width), "id")
+    # Sets of that similarity differ in at most this share of their sizes' sum; the rest is for rounding.
+    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
+    within = differ <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
+    left, right = side(apart.where("root <> main"), "a", "root", "bits"), side(apart, "b", "root", "main", "bits").withColumnRenamed("main_b", "main")
+    rest = left.join(right, "key").where(other & alike & within).select(a, b)
     rest = settle(rest.distinct().join(first, ["a", "b"], "left_anti"), "similar-rest")
     if rest.isEmpty():
         return groups
@@ -287,6 +296,31 @@ def similar_texts(
     return connected_components(late.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """BITMAP longs whose bits tell, for each residue, whether an odd number of the set's hashes has it.
+
+    Two sets differ in at least as many hashes as their bitmaps differ in bits.
+    """
+    odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _bitmaps(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(id, ``bits``), settled: the bitmap of the shingles of each text of ``rows``, a settled table."""
+    kind = texts.schema["id"].dataType.simpleString()
+    ids = settle(rows.select("id").distinct(), "apart-ids")
+    held = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                bits = [bitmap(shingles(t, width)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
+
+    return settle(held.mapInArrow(mapped, f"id {kind}, bits array<bigint>"), "apart-bitmaps")
+
+
 def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) of ``wanted``, a settled table, whose sets of shingles are similar enough."""
     kind = texts.schema["id"].dataType.simpleString()

@@ -218,3 +218,13 @@ def test_linked_rows_connect_what_the_operator_connects(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     label = groups_of([tuple(r) for r in simhash.linked_rows(df, "doc_id").collect()])
     assert {i: label.get(i, i) for i, _ in rows} == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+
+
+def test_bitmaps_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 70, 400, 5000):
+        pool = rng.integers(0, 1 << 63, size + 200, dtype=np.uint64)
+        for _ in range(20):
+            x, y = (np.unique(rng.choice(pool, size)) if size else pool[:0] for _ in range(2))
+            bits = sum(int(p ^ q).bit_count() for p, q in zip(simhash.bitmap(x).view(np.uint64), simhash.bitmap(y).view(np.uint64), strict=True))
+            assert bits <= len(np.setxor1d(x, y))
