@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import discard, settle, table
@@ -23,8 +23,8 @@ BROADCAST_IDS = 400_000
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a key shared by more than this meet the key's LEADERS first.
 FREQUENT, LEADERS = 5, 8
-#: Longs in the bitmap of a text's shingles.
-BITMAP = 8
+#: Shingles in an Arrow batch, beyond those of its last text.
+BATCH_SHINGLES = 1 << 17
 _TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
@@ -230,11 +230,10 @@ def similar_texts(
     similarity 0.8 all but 0.02 % do, of more similar ones all but fewer. Every
     candidate is verified on the whole shingle sets. A key of up to ``frequent``
     texts pairs these all; of more, each meets the key's leaders, which are the
-    same for all keys of a group of copies. Where that leaves a key's texts in
-    several groups, those outside its largest group then meet all that are not
-    in their own group, unless bitmaps of both show that they differ in too many
-    shingles. So only pairs go uncompared that are connected already or proven
-    to be below ``similarity``.
+    same for all keys of a group of copies. Texts of keys that this leaves in
+    several groups then meet those of other groups that share one of their
+    rarest shingles, as any two of that similarity do (``_across_groups``). So
+    only pairs go uncompared that are connected already or can't be similar.
 
     Null ids are left out, null and empty texts are similar to none. Repeated
     ids are one. An empty table gives an empty result.
@@ -263,8 +262,8 @@ def similar_texts(
     alike = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity)
     few, many = members.where(F.col("n") <= frequent), members.where(F.col("n") > frequent)
 
-    def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-        return rows.select("key", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *more)])
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(x), F.col("size").alias(f"size_{x}"))
 
     pairs = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & alike).select("a", "b")
     # By hashes of the ids, so that a group of copies has the same leaders in all its keys.
@@ -279,46 +278,67 @@ def similar_texts(
 
     # Each key's groups are counted before its texts meet them, so a frequent key is no hot one.
     named = settle(many.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "band-grouped")
-    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    apart = settle(named.join(settle(split, "band-split"), "key"), "band-apart")
-    other = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
-    apart = apart.join(_bitmaps(texts, apart, width), "id")
-    # Sets of that similarity differ in at most this share of their sizes' sum; the rest is for rounding.
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
-    within = differ <= (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
-    left, right = side(apart.where("root <> main"), "a", "root", "bits"), side(apart, "b", "root", "main", "bits").withColumnRenamed("main_b", "main")
-    rest = left.join(right, "key").where(other & alike & within).select(a, b)
-    rest = settle(rest.distinct().join(first, ["a", "b"], "left_anti"), "similar-rest")
+    split = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    apart = settle(named.join(settle(split, "band-split"), "key").select("id", "root").distinct(), "band-apart")
+    rest = settle(_across_groups(texts, apart, similarity, width).join(first, ["a", "b"], "left_anti"), "similar-rest")
     if rest.isEmpty():
         return groups
     late = _verified(texts, rest, similarity, width).select("a", "b")
     return connected_components(late.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """BITMAP longs whose bits tell, for each residue, whether an odd number of the set's hashes has it.
+def _halved(found: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of hashes, enough to compare two sets, up to one in some millions of shingles; ascending, distinct."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))
 
-    Two sets differ in at least as many hashes as their bitmaps differ in bits.
-    """
-    odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) % 2
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
+def _across_groups(texts: DataFrame, apart: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Distinct pairs (``a`` < ``b``) of ids of different roots in ``apart``, a settled table (id, root): all that have the similarity, and others.
 
-def _bitmaps(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(id, ``bits``), settled: the bitmap of the shingles of each text of ``rows``, a settled table."""
+    Prefix filter: with all shingles in one order, two sets of that similarity
+    share one among the first size - similarity * size + 1 of each. The order
+    is by the number of texts, rarest first, so texts that were changed much
+    have prefixes of shingles of their own and meet none. A pair counts where
+    its sets, if this is the first shingle they share, can still share enough
+    (positional filter). Per shingle, texts of its largest group do not meet
+    each other.
+    """
     kind = texts.schema["id"].dataType.simpleString()
-    ids = settle(rows.select("id").distinct(), "apart-ids")
-    held = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    few = apart.count() <= BROADCAST_IDS
+    held = texts.join(F.broadcast(apart) if few else apart, "id")
 
-    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                bits = [bitmap(shingles(t, width)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], ["id", "bits"])
-
-    return settle(held.mapInArrow(mapped, f"id {kind}, bits array<bigint>"), "apart-bitmaps")
+            found, at = [], 0
+            for row in range(batch.num_rows):
+                found.append(_halved(shingles(batch.column(1)[row].as_py(), width)).view(np.int32))
+                if sum(map(len, found)) > BATCH_SHINGLES or len(found) == 512 or row + 1 == batch.num_rows:
+                    part = batch.slice(at, len(found))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "root", "shingles"])
+                    found, at = [], row + 1
+
+    sets = settle(held.select("id", "text", "root").mapInArrow(listed, f"id {kind}, root {kind}, shingles array<int>"), "apart-shingles")
+    terms = sets.select("id", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    common = settle(terms.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "apart-common")
+    mine = Window.partitionBy("id")
+    # What no other text has comes first in the order and pairs none, so it only counts.
+    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "s"))
+    # A little less than the product, for rounding.
+    length = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-6)) + 1
+    prefix = terms.join(common, "s").withColumn("place", place).where(F.col("place") <= length)
+    prefix = settle(prefix.select("s", "id", "root", "size", (F.col("size") - F.col("place") + 1).alias("left")), "apart-prefixes")
+    per_root = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    mixed = settle(prefix.join(settle(mixed, "apart-mixed"), "s"), "apart-meeting")
+
+    def side(x: str) -> list[Column]:
+        return [F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "left")]]
+
+    left, right = mixed.where("root <> main").select("s", "main", *side("a")), mixed.select("s", *side("b"))
+    other = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
+    # Sets of sizes x and y share at least (x + y) * similarity / (1 + similarity).
+    enough = F.least("left_a", "left_b") >= (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    return left.join(right, "s").where(other & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -331,8 +351,7 @@ def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                # Halves of 32 bits are enough to compare two sets, up to one in some millions of shingles.
-                found = pa.array([np.unique((shingles(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                found = pa.array([_halved(shingles(t, width)).tobytes() for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), found], ["id", "shingles"])
 
     hashed = settle(held.mapInArrow(sets, f"id {kind}, shingles binary"), "similar-shingles")

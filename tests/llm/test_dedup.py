@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomspan.llm import exact_dedup, line_dedup, simhash
+from loomspan.llm.common import settle
 
 EDGE = [(1, None), (2, ""), (3, "a"), (4, "a"), (4, "a"), (None, "a"), (5, "x" * 300_000), (6, "x" * 300_000 + "y"), (7, "x" * 300_000), (8, " \n\t"), (9, "é ü\n\n"), (10, "e u"), (None, "nameless"), (None, "nameless")]
 
@@ -220,11 +221,38 @@ def test_linked_rows_connect_what_the_operator_connects(spark):
     assert {i: label.get(i, i) for i, _ in rows} == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
 
 
-def test_bitmaps_differ_no_more_than_their_sets():
-    rng = np.random.default_rng(3)
-    for size in (0, 1, 70, 400, 5000):
-        pool = rng.integers(0, 1 << 63, size + 200, dtype=np.uint64)
-        for _ in range(20):
-            x, y = (np.unique(rng.choice(pool, size)) if size else pool[:0] for _ in range(2))
-            bits = sum(int(p ^ q).bit_count() for p, q in zip(simhash.bitmap(x).view(np.uint64), simhash.bitmap(y).view(np.uint64), strict=True))
-            assert bits <= len(np.setxor1d(x, y))
+def test_changed_copies_of_a_template_meet_only_their_like(spark):
+    rng = random.Random(23)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):  # a third close to the template, the rest in families of three far from it and from each other
+        if i % 3 == 0 or i < 6:
+            words = list(base)
+            changes = rng.randrange(3) if i % 3 == 0 else 5
+        else:
+            words = list(base)
+            family = random.Random(i // 6)
+            for k in family.sample(range(120), 14):
+                words[k] = f"f{family.randrange(10**6)}"
+            changes = 1
+        for k in rng.sample(range(120), changes):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    assert found_groups(spark, rows) == groups_of(brute_similar(rows))
+
+
+def test_prefixes_lose_no_similar_pair_of_different_roots(spark):
+    rng = random.Random(29)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base[: rng.randrange(40, 61)])
+        for k in rng.sample(range(len(words)), rng.randrange(4)):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    apart = settle(texts.select("id", (F.col("id") % 7).alias("root")), "test-apart")
+    found = {(r["a"], r["b"]) for r in simhash._across_groups(texts, apart, 0.8, 5).collect()}
+    wanted = {(a, b) for a, b in brute_similar(rows) if a % 7 != b % 7}
+    assert wanted <= found and all(a % 7 != b % 7 for a, b in found)
+    assert len(wanted) > 50
