@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, passages, quality, sharding, simhash, tokens
+from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, merkle, mixing, passages, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op13_merkle": merkle.op13_merkle,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -17,4 +18,4 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
 }
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op13_merkle": merkle.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
