@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, merkle, mixing, passages, periodic, quality, sharding, simhash, tokens
+from loomspan.llm import decontaminate, exact_dedup, licenses, line_dedup, merkle, mixing, neighbours, passages, periodic, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op10_quality": quality.op10_quality,
     "op11_periodic": periodic.op11_periodic,
+    "op12_neighbours": neighbours.op12_neighbours,
     "op13_merkle": merkle.op13_merkle,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_licenses": licenses.op3_licenses,
