@@ -133,6 +133,37 @@ def test_small_sources_of_long_rows_meet_their_targets(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.75 * max(r["size"] for r in own)
 
 
+def test_sources_of_one_document_are_taken_as_often_as_their_rate_says(spark):
+    rows = [(i, "w w", f"s{i:05d}") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for turn, rate in enumerate((1.875, 0.75, 0.375)):
+        copies = [r["copies"] for r in got if int(r["source"][1:]) % 3 == turn]
+        assert all(r["target"] == 2 * rate for r in got if int(r["source"][1:]) % 3 == turn)
+        assert abs(sum(copies) / 1000 - rate) < 0.07 and set(copies) == {int(rate), int(rate) + 1}
+
+
+def test_parts_of_large_classes_keep_the_law(spark):
+    """Any cells give each source its target to about a row; equal draws go together."""
+    rng = random.Random(8)
+    rows = [(i if i % 50 else 7, " ".join(["w"] * rng.choice([0, 1, 5, 5, 5, 90])), rng.choice("aaab")) for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), cell_rows=40).collect()
+    assert len(got) == 3000
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4 * 90
+    again = {}
+    for r in got:
+        if r["doc_id"] == 7:
+            again.setdefault((r["source"], r["size"]), set()).add(r["copies"])
+    assert all(len(v) == 1 for v in again.values())
+
+
+def test_targets_of_very_many_sources(spark):
+    sizes = spark.range(60_000).select(F.format_string("s%06d", "id").alias("source"), (F.col("id") % 97 + 1).alias("source_size"))
+    got = mixing.source_targets(sizes).agg(F.sum("target").alias("t"), F.sum("source_size").alias("s"), F.max(F.col("target") / F.col("source_size")).alias("most")).first()
+    assert got["t"] == pytest.approx(got["s"]) and got["most"] <= 3
+
+
 def test_mix_of_edge_cases(spark, edge):
     got = mixing.mix_sources(edge)
     assert sorted(got.columns) == sorted(["doc_id", "text", "source", "shard", "size", "source_size", "target", "copies", "taken"])
