@@ -22,10 +22,12 @@ K = 20
 TABLES = 4
 #: Share of the sampled queries' true neighbours that the probed buckets hold.
 RECALL = 0.96
-#: Queries of which recall is measured, against all rows; bytes of the rows by which a query's least score is bounded.
-SAMPLE_QUERIES, SAMPLE_BYTES = 256, 1 << 20
+#: Queries of which recall is measured, against all rows.
+SAMPLE_QUERIES = 256
 #: Axes are split into more hashes while a bucket holds so many rows, and a query needs no more probes than these.
 BUCKET_ROWS, MOST_PROBES = 512, 512
+#: A query's first probes, in one table, are one of so many of that table's.
+FIRST_SHARE = 3
 #: Candidates and queries that one task compares at a time are about so many each.
 SLICE = 2048
 #: Rows (some 30 bytes each) of bucket sizes that may be broadcast.
@@ -175,7 +177,8 @@ def nearest(
     neighbours, which are found by comparing the sample with all rows; so expected recall
     hardly depends on the data, and hard data cost more probes. A query whose
     buckets hold fewer than ``k`` rows is compared with all rows. Buckets of any
-    size are compared whole, in slices of about ``slice_rows`` rows and queries.
+    size are compared whole, in slices of about ``slice_rows`` rows and queries; a
+    query's nearest buckets come first, so that the others give few rows.
     Of rows with the same vector one is hashed; the ``k + 1`` of least id, all that
     can be among a query's nearest, come back with it.
 
@@ -219,17 +222,8 @@ def nearest(
     sample = asking.orderBy(F.xxhash64("query"), "query").limit(SAMPLE_QUERIES).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
-    few_rows = heads.orderBy(F.xxhash64("row"), "row").limit(max(16, SAMPLE_BYTES // (8 * dim))).select("vec").toArrow()
-    few = matrix(few_rows["vec"], dim)
-
-    def least_score(q: np.ndarray) -> np.ndarray:
-        """A bound of each query's (k + 1)-th best score from below, by the sampled rows."""
-        if len(few) <= k:
-            return np.full(len(q), -np.inf)
-        scores = q @ few.T
-        slack = 1e-12 * dim * np.sqrt((q * q).sum(1)) * np.sqrt((few * few).sum(1).max())
-        return np.partition(scores, len(few) - k - 1, axis=1)[:, len(few) - k - 1] - slack
 
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     pair = T.StructType().add("query_id", id_type).add("query", T.LongType()).add("id", id_type).add("row", T.LongType()).add("score", T.DoubleType())
 
     def paired(queries: pa.Table, ids, row_ids, who: np.ndarray, what: np.ndarray, scores: np.ndarray) -> pa.Table:
@@ -237,8 +231,8 @@ def nearest(
 
     def against_all(queries: pa.Table) -> DataFrame:
         """These few queries with all rows, exactly: each batch gives its best."""
-        q = matrix(queries["vec"], dim)
-        least, narrow = least_score(q), queries.select(["query_id", "query"])
+        q, narrow = matrix(queries["vec"], dim), queries.select(["query_id", "query"])
+        least = np.full(len(q), -np.inf)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,7 +247,6 @@ def nearest(
         if seen["others"]:
             copies = pairs.join(others, F.col("row") == F.col("head")).select("query_id", "query", F.col("other_id").alias("id"), F.col("other").alias("row"), "score")
             pairs = pairs.unionByName(copies)
-        best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
         pairs = pairs.where("row != query").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return pairs.select("query", "query_id", "rank", F.col("id").alias(id_col), "row", "score")
 
@@ -261,11 +254,10 @@ def nearest(
         """A row may be found in several tables."""
         return pairs.repartition("query").dropDuplicates(["query", "row"])
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     true = against_all(sample).where("row != query").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     true = settle(true.select("query", "row"), "ann-true")
     near = true.join(heads, "row").select("query", "vec").toArrow()  # at most k for each sampled query
-    near_of, near_vec = near["query"].to_numpy(), matrix(near["vec"], dim) if near.num_rows else np.zeros((0, dim))
+    near_of, near_vec = near["query"].to_numpy(), matrix(near["vec"], dim)
     truth = [near_vec[near_of == query] for query in sample["query"].to_pylist()]
     sampled = matrix(sample["vec"], dim)
 
@@ -287,25 +279,20 @@ def nearest(
             if batch.num_rows:
                 q = matrix(batch.column("vec"), dim)
                 found = pa.array(list(hasher.queries(q, probes).reshape(len(q), -1)), pa.list_(pa.int64()))
-                yield pa.record_batch([*batch.columns, pa.array(least_score(q)), found], [*batch.schema.names, "least", "buckets"])
+                yield pa.record_batch([*batch.columns, found], [*batch.schema.names, "buckets"])
 
     longs = T.ArrayType(T.LongType())
     stored = heads.mapInArrow(hashed, T.StructType([*heads.schema]).add("buckets", longs))
-    asked = settle(asking.mapInArrow(probing, T.StructType([*asking.schema]).add("least", T.DoubleType()).add("buckets", longs)), "ann-queries")
-
-    # How many slices of rows and of queries a bucket takes; buckets that no query probes are left out.
-    held = stored.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
-    met = asked.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("parts"))
-    loads, sizes = settle_measured(held.join(met, "bucket"), "ann-buckets", rows=F.count(F.lit(1)))
-    loads = F.broadcast(loads) if sizes["rows"] <= BROADCAST_BUCKETS else loads
+    asked = settle(asking.mapInArrow(probing, T.StructType([*asking.schema]).add("buckets", longs)), "ann-queries")
 
     def numbers(upto: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(upto) - 1))
 
-    left = stored.select("id", "row", "vec", F.explode("buckets").alias("bucket")).join(loads, "bucket")
-    left = left.select("id", "row", "vec", "bucket", F.pmod(F.xxhash64("row"), "slices").cast("int").alias("slice"), numbers("parts").alias("part"))
-    right = asked.select("query_id", "query", "vec", "least", F.explode("buckets").alias("q_bucket")).join(loads.withColumnRenamed("bucket", "q_bucket"), "q_bucket")
-    right = right.select("query_id", "query", "vec", "least", "q_bucket", numbers("slices").alias("q_slice"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("q_part"))
+    def sliced(buckets: DataFrame, into: str) -> DataFrame:
+        return buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias(into))
+
+    id_kind = sample.schema.field("query_id").type
+    pair_schema = pa.schema([("query_id", id_kind), ("query", pa.int64()), ("id", id_kind), ("row", pa.int64()), ("score", pa.float64())])
 
     def compare(stored: pa.Table, asked: pa.Table) -> pa.Table:
         if not stored.num_rows or not asked.num_rows:
@@ -314,9 +301,27 @@ def nearest(
         found = best_of(matrix(stored["vec"], dim), _order(ids), matrix(asked["vec"], dim), asked["least"].to_numpy(), k + 1)
         return paired(asked, ids, row_ids, *found)
 
-    pair_schema = pa.schema([(f.name, sample.schema.field("query_id").type if f.dataType == id_type and f.name in ("query_id", "id") else pa.float64() if f.name == "score" else pa.int64()) for f in pair])
-    pairs = left.groupBy("bucket", "slice", "part").cogroup(right.groupBy("q_bucket", "q_slice", "q_part")).applyInArrow(compare, pair)
-    found = settle(ranked(distinct_best(pairs)), "ann-found")
+    def compared(stored: DataFrame, asked: DataFrame) -> DataFrame:
+        """What each query finds in its buckets: of each slice the best, down to its ``least`` score."""
+        # How many slices of rows and of queries a bucket takes; buckets that no query probes are left out.
+        held = sliced(stored.select(F.explode("buckets").alias("bucket")), "slices")
+        met = sliced(asked.select(F.explode("buckets").alias("bucket")), "parts")
+        loads, sizes = settle_measured(held.join(met, "bucket"), "ann-buckets", rows=F.count(F.lit(1)))
+        loads = F.broadcast(loads) if sizes["rows"] <= BROADCAST_BUCKETS else loads
+        left = stored.select("id", "row", "vec", F.explode("buckets").alias("bucket")).join(loads, "bucket")
+        left = left.select("id", "row", "vec", "bucket", F.pmod(F.xxhash64("row"), "slices").cast("int").alias("slice"), numbers("parts").alias("part"))
+        right = asked.select("query_id", "query", "vec", "least", F.explode("buckets").alias("q_bucket")).join(loads.withColumnRenamed("bucket", "q_bucket"), "q_bucket")
+        right = right.select("query_id", "query", "vec", "least", "q_bucket", numbers("slices").alias("q_slice"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("q_part"))
+        return left.groupBy("bucket", "slice", "part").cogroup(right.groupBy("q_bucket", "q_slice", "q_part")).applyInArrow(compare, pair)
+
+    # The nearest buckets of one table come first: their (k + 1)-th best score bounds what the others need to give.
+    first = -(-probes // FIRST_SHARE)
+    ahead = asked.select("query_id", "query", "vec", F.lit(float("-inf")).alias("least"), F.slice("buckets", 1, first).alias("buckets"))
+    near = compared(stored.withColumn("buckets", F.slice("buckets", 1, 1)), ahead)
+    near = settle(near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1), "ann-near")
+    least = near.where(F.col("nth") == k + 1).select("query", F.col("score").alias("least"))
+    behind = asked.withColumn("buckets", F.slice("buckets", first + 1, tables * probes)).join(least, "query", "left").fillna(float("-inf"), ["least"])
+    found = settle(ranked(distinct_best(compared(stored, behind).unionByName(near.drop("nth")))), "ann-found")
 
     enough = found.groupBy("query").count().where(F.col("count") >= k).select("query")
     lacking = settle(asked.select("query_id", "query", "vec").join(enough, "query", "left_anti"), "ann-lacking")
