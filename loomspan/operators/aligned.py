@@ -7,16 +7,18 @@ exons, ``-`` an insertion in the query; in the query ``-`` is a deletion.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.operators.intervals import overlap_join
 from loomspan.operators.loss import exon_mark
 from loomspan.operators.mutations import STOPS
-from loomspan.operators.runs import bridged_pairs
+from loomspan.operators.runs import bridged_pairs, disjoint_spans, whole_series
 
 #: First and last exons shorter than this count as missing where deleted.
 SHORT_END_EXON = 20
@@ -30,37 +32,66 @@ def codon_table(pairs: DataFrame, key: str, ref: str = "ref", query: str = "quer
     ``t_exon`` (from 0) counts introns and deleted introns, ``q_exon`` introns
     alone; both are of the codon's last column. ``split`` is how many columns of
     the codon stand before the intron that splits it, else 0; ``first_at`` and
-    ``last_at`` are the query's positions (null if it is all gaps). Columns are
-    rows here and the state of a scan is counts over what came before.
+    ``last_at`` are the query's positions (null if it is all gaps). The state of
+    a scan is counts over the columns before, taken where a pair of texts is read;
+    null texts have no codons.
     """
-    chars = F.arrays_zip(F.split(F.concat(F.lit(" "), ref), "").alias("t"), F.split(F.concat(F.lit("-"), query), "").alias("q"))
-    rows = pairs.select(key, F.posexplode(chars).alias("at", "c")).select(key, "at", F.col("c.t").alias("t"), F.col("c.q").alias("q")).where("t <> '' AND q <> ''")
-    order = Window.partitionBy(key).orderBy("at")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    begins = lambda c: ((F.col("t") == c) & (F.coalesce(F.lag("t").over(order), F.lit("")) != c)).cast("int")
-    rows = rows.withColumns({"__blank": begins(" "), "__cut": begins(">"), "__letter": F.col("t").rlike("[A-Za-z]").cast("int")})
-    rows = rows.withColumns(
-        {
-            "q_exon": F.sum("__blank").over(upto) - 1,
-            "t_exon": F.sum(F.col("__blank") + F.col("__cut")).over(upto) - 1,
-            "__letters": F.coalesce(F.sum("__letter").over(before), F.lit(0)),
-            "__coord": F.sum((F.col("q") != "-").cast("int")).over(upto) - 1,
-        }
-    ).where("t <> ' '")
-    rows = rows.withColumn("__base", F.floor(F.col("__letters") / 3))
-    codon = Window.partitionBy(key, "__base")
-    begun = F.min(F.when(F.col("__letter") == 1, F.col("q_exon"))).over(codon)
-    apart = (F.col("__letter") == 0) & (F.col("__letters") % 3 == 0) & (begun.isNull() | (F.col("q_exon") < begun))
-    rows = rows.withColumn("__part", F.when(apart, 0).otherwise(1))
-    column = F.struct("at", F.when(F.col("t") == ">", "-").otherwise(F.upper("t")).alias("t"), F.upper("q").alias("q"), "q_exon")
-    grouped = rows.groupBy(key, "__base", "__part").agg(
-        F.array_sort(F.collect_list(column)).alias("cs"), F.max("t_exon").alias("t_exon"), F.max("q_exon").alias("q_exon"), F.min(F.when(F.col("q") != "-", F.col("__coord"))).alias("first_at"),
-        F.max(F.when(F.col("q") != "-", F.col("__coord"))).alias("last_at"),
-    )
-    text = lambda f: F.array_join(F.transform("cs", lambda c: c[f]), "")
-    early = F.size(F.filter("cs", lambda c: c["q_exon"] < F.col("q_exon")))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("__base", "__part"))
-    return grouped.select(key, number.cast("long").alias("codon"), text("t").alias("ref_codon"), text("q").alias("que_codon"), "t_exon", "q_exon", early.cast("long").alias("split"), "first_at", "last_at")
+    found = T.StructType([T.StructField(key, pairs.schema[key].dataType)])
+    for name in ("codon", "ref_codon", "que_codon", "t_exon", "q_exon", "split", "first_at", "last_at"):
+        found.add(name, T.StringType() if name.endswith("_codon") else T.LongType())
+
+    kinds = [pa.string() if name.endswith("_codon") else pa.int64() for name in found.names[1:]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tables = [_codons_of(t, q) for t, q in zip(batch.column("ref").to_pylist(), batch.column("query").to_pylist(), strict=True)]
+            row = np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in tables])
+            columns = [pa.array(np.concatenate(x), kind, from_pandas=True) for x, kind in zip(zip(*tables, strict=True), kinds, strict=True)]
+            yield pa.record_batch([batch.column("k").take(pa.array(row)), *columns], found.names)
+
+    rows = pairs.select(F.col(key).alias("k"), F.col(ref).cast("string").alias("ref"), F.col(query).cast("string").alias("query"))
+    return rows.mapInArrow(cut, found)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _codons_of(ref: str | None, query: str | None) -> tuple[np.ndarray, ...]:
+    """The columns of ``codon_table`` for one pair."""
+    if ref is None or query is None:
+        ref = query = ""
+    t, q = _letters(" " + ref), _letters("-" + query)
+    t, q = t[: len(q)], q[: len(t)]
+    blank, cut, letter = t == ord(" "), t == ord(">"), ((t | 32) >= ord("a")) & ((t | 32) <= ord("z"))
+    begins = lambda here: here & ~np.concatenate([[False], here[:-1]])
+    q_exon = np.cumsum(begins(blank)) - 1
+    t_exon = q_exon + np.cumsum(begins(cut))
+    place = np.cumsum(q != ord("-")) - 1
+    shown = ~blank
+    q_exon, t_exon, place, letter, t, q = (x[shown] for x in (q_exon, t_exon, place, letter, t, q))
+    if not len(t):
+        none = np.zeros(0, np.int64)
+        return none, none.astype(object), none.astype(object), none, none, none, none.astype(float), none.astype(float)
+    before = np.cumsum(letter) - letter
+    base = before // 3
+    # Gaps after an exon's last whole codon stand apart if the codon's first letter is in a later exon.
+    opening = np.flatnonzero(letter & (before % 3 == 0))
+    began = np.append(q_exon[opening], np.iinfo(np.int64).max)[np.minimum(base, len(opening))]
+    apart = ~letter & (before % 3 == 0) & (q_exon < began)
+    new = np.concatenate([[True], (base[1:] != base[:-1]) | (apart[1:] != apart[:-1])])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(t))
+    texts = [np.where(x == ord(">"), ord("-"), x).astype(np.uint32).tobytes().decode("utf-32-le").upper() if x is t else x.tobytes().decode("utf-32-le").upper() for x in (t, q)]
+    ref_codons, que_codons = (np.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object) for text in texts)
+    early = np.add.reduceat((q_exon < q_exon[ends - 1][np.cumsum(new) - 1]).astype(np.int64), starts)
+    there = q != ord("-")
+    any_there = np.logical_or.reduceat(there, starts)
+    first_at = np.where(any_there, np.minimum.reduceat(np.where(there, place, np.iinfo(np.int64).max), starts), np.nan)
+    last_at = np.where(any_there, np.maximum.reduceat(np.where(there, place, -1), starts), np.nan)
+    return np.arange(1, len(starts) + 1), ref_codons, que_codons, t_exon[ends - 1], q_exon[ends - 1], early, first_at, last_at
 
 
 def exon_status(exons: DataFrame) -> DataFrame:
@@ -74,57 +105,26 @@ def exon_status(exons: DataFrame) -> DataFrame:
     return exons.withColumn("state", F.when(missing, "M").when(mark.isNull(), "D").otherwise("I"))
 
 
-def compensated_exons(run: list[int], sizes: dict[int, int]) -> set[int]:
-    """Of exons deleted in a row those whose series, begun at the first unused one, sum to whole codons."""
-    done: set[int] = set()
-    for i, exon in enumerate(run[:-1]):
-        if exon in done:
-            continue
-        total = sizes[exon]
-        for j in range(i + 1, len(run)):
-            total += sizes[run[j]]
-            if total % 3 == 0:
-                done.update(run[i : j + 1])
-                break
-    return done
-
-
 def settle_deletions(exons: DataFrame, key: str, short_only: int | None = None) -> DataFrame:
     """Refines ``state`` of deleted exons (key, exon from 1, size, state): mD if the frame is kept, M if a short end.
 
     A deletion keeps the frame if the exon's size, or that of a series of
     exons deleted in a row, is whole codons (with ``short_only``, only if the exon
     is below that size). A short first or last exon is missing rather than
-    deleted. One row per projection holds its exons, as the choice of series is
-    greedy.
+    deleted.
     """
-    kind = exons.schema[key].dataType.simpleString()
-    rows = exons.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("exon", "size", "state"))).alias("exons"))
-
-    def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, found in zip(batch[key], batch["exons"], strict=True):
-                sizes = {int(x["exon"]): int(x["size"]) for x in found}
-                gone = [int(x["exon"]) for x in found if x["state"] == "D"]
-                kept: set[int] = set()
-                run: list[int] = []
-                for exon in [*gone, -9]:
-                    if run and exon != run[-1] + 1:
-                        kept |= compensated_exons(run, sizes)
-                        run = []
-                    run.append(exon)
-                for x in found:
-                    exon, size, state = int(x["exon"]), int(x["size"]), x["state"]
-                    if state == "D":
-                        if exon in (min(sizes), max(sizes)) and size < SHORT_END_EXON:
-                            state = "M"
-                        elif (size % 3 == 0 or exon in kept) and (short_only is None or size < short_only):
-                            state = "mD"
-                    out.append((k, exon, size, state))
-            yield pd.DataFrame(out, columns=[key, "exon", "size", "state"])
-
-    return rows.mapInPandas(solve, f"`{key}` {kind}, exon bigint, size bigint, state string")
+    rows = exons.select(key, F.col("exon").cast("long").alias("exon"), F.col("size").cast("long").alias("size"), "state")
+    gone = rows.where("state = 'D'").withColumn("run", F.col("exon") - F.row_number().over(Window.partitionBy(key).orderBy("exon")))
+    series = disjoint_spans(whole_series(gone, [key, "run"], "exon", "size"), [key, "run"])
+    kept = series.select(key, F.explode(F.sequence("first", "last")).alias("exon"), F.lit(True).alias("__kept"))
+    of_key = Window.partitionBy(key)
+    at_end = (F.col("exon") == F.min("exon").over(of_key)) | (F.col("exon") == F.max("exon").over(of_key))
+    marked = rows.withColumn("__end", at_end).join(kept, [key, "exon"], "left")
+    frame = (F.col("size") % 3 == 0) | F.coalesce("__kept", F.lit(False))
+    if short_only is not None:
+        frame = frame & (F.col("size") < short_only)
+    state = F.when(F.col("state") != "D", F.col("state")).when(F.col("__end") & (F.col("size") < SHORT_END_EXON), "M").when(frame, "mD").otherwise("D")
+    return marked.select(key, "exon", "size", state.alias("state"))
 
 
 def split_stops(codons: DataFrame, exons: DataFrame, key: str) -> DataFrame:

@@ -37,7 +37,9 @@ def blocks_at(blocks: DataFrame, regions: DataFrame, closed: bool = False) -> Da
     ends = blocks.select("chain_id", F.col("t_end").alias("__at"), rank(closed, 1).alias("__k"), "block_no", F.lit(None).cast(regions.schema["region"].dataType).alias("region"))
     from_s = regions.select("chain_id", F.col("s").alias("__at"), rank(closed, 0).alias("__k"), F.lit(None).cast(blocks.schema["block_no"].dataType).alias("block_no"), "region", "s", "e")
     on = Window.partitionBy("chain_id").orderBy("__at", "__k", "block_no")
-    first = F.first("block_no", ignorenulls=True).over(on.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backwards, as a frame that grows costs no more than the rows it gains.
+    back = Window.partitionBy("chain_id").orderBy(F.desc("__at"), F.desc("__k"), F.desc("block_no"))
+    first = F.last("block_no", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     left = ends.unionByName(from_s, allowMissingColumns=True).withColumn("first", first).where("region IS NOT NULL").select("chain_id", "region", "s", "e", "first")
     starts = blocks.select("chain_id", F.col("t_start").alias("__at"), F.lit(1).alias("__k"), "block_no", F.lit(None).cast(regions.schema["region"].dataType).alias("region"))
     to_e = regions.select("chain_id", F.col("e").alias("__at"), F.lit(0).alias("__k"), F.lit(None).cast(blocks.schema["block_no"].dataType).alias("block_no"), "region")

@@ -58,3 +58,38 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 def near_equal_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int, into: str = "part") -> DataFrame:
     """Numbers the rows of each key from 0 to ``parts`` - 1 in near equal, contiguous parts."""
     return df.withColumn(into, F.ntile(parts).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def whole_series(df: DataFrame, keys: Sequence[str], number: str, size: str, unit: int = 3) -> DataFrame:
+    """(keys, first, last): from each row the shortest series of two rows or more whose sizes sum to a multiple of ``unit``.
+
+    Sums of such a series are equal before its first and behind its last row,
+    in remainders: a window over rows of one remainder finds the next. Rows
+    that begin no series give none; ``number`` is unique and counts up within the keys.
+    """
+    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = F.array(
+        F.struct(F.pmod(F.col("__upto") - F.col(size), F.lit(unit)).alias("rest"), F.lit(True).alias("begins")),
+        F.struct(F.pmod(F.col("__upto"), F.lit(unit)).alias("rest"), F.lit(False).alias("begins")),
+    )
+    rows = df.withColumn("__upto", upto).select(*keys, F.col(number).cast("long").alias("first"), F.explode(ends).alias("x")).select(*keys, "first", "x.rest", "x.begins")
+    # From the back; of one row's two ends the beginning comes first, so that its own end isn't behind it.
+    behind = Window.partitionBy(*keys, "rest").orderBy(F.desc("first"), F.desc("begins")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("last", F.last(F.when(~F.col("begins"), F.col("first")), ignorenulls=True).over(behind))
+    return found.where("begins AND last IS NOT NULL").select(*keys, "first", "last")
+
+
+def disjoint_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of spans (keys, first, last), in order of their starts, those that begin behind the end of the last one taken.
+
+    A key's spans are one row here, as each choice depends on the one before.
+    """
+    rows = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    none = F.struct(F.lit(None).cast("long").alias("end"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("taken"))
+
+    def take(done: Column, span: Column) -> Column:
+        free = done["end"].isNull() | (span["first"] > done["end"])
+        return F.when(free, F.struct(span["last"].alias("end"), F.concat(done["taken"], F.array(span)).alias("taken"))).otherwise(done)
+
+    taken = F.aggregate("spans", none, take, lambda done: done["taken"])
+    return rows.select(*keys, F.inline(taken))

@@ -71,10 +71,13 @@ def test_codon_table_matches_a_scan(spark):
         assert found[k] == scan(ref, query), (k, ref, query)
 
 
-def test_compensated_exons():
-    assert aligned.compensated_exons([2, 3, 4], {2: 10, 3: 11, 4: 5}) == {2, 3}
-    assert aligned.compensated_exons([2, 3, 4], {2: 10, 3: 10, 4: 10}) == {2, 3, 4}
-    assert aligned.compensated_exons([2, 3], {2: 10, 3: 10}) == set()
+def test_compensated_exons(spark):
+    cases = {"a": {2: 10, 3: 11, 4: 5}, "b": {2: 10, 3: 10, 4: 10}, "c": {2: 10, 3: 10}, "d": {2: 9, 3: 10, 4: 1, 5: 2, 6: 1}}
+    rows = [(k, exon, size, "D") for k, sizes in cases.items() for exon, size in sizes.items()] + [(k, e, 100, "I") for k in cases for e in (1, 9)]
+    df = spark.createDataFrame(rows, "k string, exon long, size long, state string")
+    kept = {k: {r["exon"] for r in aligned.settle_deletions(df.where(F.col("k") == k), "k").where("state = 'mD'").collect()} for k in cases}
+    # In d exon 2 is whole codons by itself; the first series is that of exon 4.
+    assert kept == {"a": {2, 3}, "b": {2, 3, 4}, "c": set(), "d": {2, 4, 5}}
 
 
 def test_deletions(spark):

@@ -118,12 +118,39 @@ def test_roll_up_takes_the_best_and_predefined_wins(spark):
     assert got[("TRANSCRIPT", "t1")] == "L" and got[("GENE", "g")] == "UL" and got[("GENE", "h")] == "M" and got[("PROJECTION", "p2")] == "M"
 
 
-def test_compensations():
-    codons = {n: "AAA" for n in range(1, 20)}
-    assert mutations.find_compensations([(2, 1), (4, 1), (6, 1)], codons) == [(1, 3, 2, 6)]
-    assert mutations.find_compensations([(2, 1), (4, 2), (6, -1), (8, 1)], codons) == [(1, 2, 2, 4), (3, 4, 6, 8)]
-    assert mutations.find_compensations([(2, 1), (4, 1), (6, 1)], codons | {3: "ATAAAA", 2: "AA"}) == []  # AAA TAA: a stop in the shifted frame
-    assert mutations.find_compensations([(2, 1)], codons) == []
+def plain_compensations(shifts, codons):
+    """Series begun at each shift in turn; the whole-codon ones without a stop and without used shifts."""
+    found, used = [], 0
+    for i in range(len(shifts)):
+        j = next((j for j in range(i + 1, len(shifts)) if sum(s for _, s in shifts[i : j + 1]) % 3 == 0), None)
+        if j is None or i < used:
+            continue
+        bases = "".join(codons[n].replace("-", "") for n in sorted(codons) if shifts[i][0] <= n <= shifts[j][0])
+        if not {bases[k : k + 3] for k in range(0, len(bases), 3)} & {"TAA", "TAG", "TGA"}:
+            found.append((i + 1, j + 1, shifts[i][0], shifts[j][0]))
+            used = j + 1
+    return found
+
+
+def test_compensations(spark):
+    rng = random.Random(6)
+    plain = dict.fromkeys(range(1, 20), "AAA")
+    cases = {
+        1: ([(2, 1), (4, 1), (6, 1)], plain),
+        2: ([(2, 1), (4, 2), (6, -1), (8, 1)], plain),
+        3: ([(2, 1), (4, 1), (6, 1)], plain | {3: "ATAAAA", 2: "AA"}),  # AAA TAA: a stop in the shifted frame
+        4: ([(2, 1)], plain),
+    }
+    for k in range(5, 45):
+        codons = {n: "".join(rng.choices("ACGT-", [3, 2, 2, 3, 1], k=rng.choice([3, 3, 3, 4, 2, 5]))) for n in range(1, rng.randrange(2, 60))}
+        cases[k] = ([(n, rng.choice([-2, -1, 1, 2, 4])) for n in sorted(rng.sample(sorted(codons), rng.randrange(len(codons)) // 3))], codons)
+    codons = spark.createDataFrame([(k, n, c) for k, (_, cs) in cases.items() for n, c in cs.items()], "k int, codon long, que_codon string")
+    shifts = spark.createDataFrame([(k, n, z) for k, (ss, _) in cases.items() for n, z in ss], "k int, codon long, size long")
+    got = {}
+    for r in mutations.compensations(codons, shifts, "k").orderBy("k", "first_shift").collect():
+        got.setdefault(r["k"], []).append(tuple(r)[1:])
+    assert got == {k: found for k, (ss, cs) in cases.items() if (found := plain_compensations(ss, cs))}
+    assert got[1] == [(1, 3, 2, 6)] and got[2] == [(1, 2, 2, 4), (3, 4, 6, 8)] and 3 not in got and 4 not in got
 
 
 def paths(chains, overlap=250):
