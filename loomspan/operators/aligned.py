@@ -105,13 +105,13 @@ def exon_status(exons: DataFrame) -> DataFrame:
     return exons.withColumn("state", F.when(missing, "M").when(mark.isNull(), "D").otherwise("I"))
 
 
-def settle_deletions(exons: DataFrame, key: str, short_only: int | None = None) -> DataFrame:
+def settle_deletions(exons: DataFrame, key: str, short_only: int | None = None, missing_too: bool = False) -> DataFrame:
     """Refines ``state`` of deleted exons (key, exon from 1, size, state): mD if the frame is kept, M if a short end.
 
     A deletion keeps the frame if the exon's size, or that of a series of
     exons deleted in a row, is whole codons (with ``short_only``, only if the exon
     is below that size). A short first or last exon is missing rather than
-    deleted.
+    deleted. With ``missing_too`` missing exons of whole codons get mD as well.
     """
     rows = exons.select(key, F.col("exon").cast("long").alias("exon"), F.col("size").cast("long").alias("size"), "state")
     gone = rows.where("state = 'D'").withColumn("run", F.col("exon") - F.row_number().over(Window.partitionBy(key).orderBy("exon")))
@@ -123,12 +123,13 @@ def settle_deletions(exons: DataFrame, key: str, short_only: int | None = None)
     frame = (F.col("size") % 3 == 0) | F.coalesce("__kept", F.lit(False))
     if short_only is not None:
         frame = frame & (F.col("size") < short_only)
-    state = F.when(F.col("state") != "D", F.col("state")).when(F.col("__end") & (F.col("size") < SHORT_END_EXON), "M").when(frame, "mD").otherwise("D")
+    states = ["D", "M"] if missing_too else ["D"]
+    state = F.when(~F.col("state").isin(states), F.col("state")).when(F.col("__end") & (F.col("size") < SHORT_END_EXON), "M").when(frame, "mD").otherwise(F.col("state"))
     return marked.select(key, "exon", "size", state.alias("state"))
 
 
 def split_stops(codons: DataFrame, exons: DataFrame, key: str) -> DataFrame:
-    """Stops that arise where two intact exons meet across deleted ones: (key, exon, stop).
+    """Stops that arise where two intact exons meet across deleted ones: (key, left_exon, exon, stop).
 
     ``codons`` of ``codon_table``, ``exons`` with state (key, exon from 1). The
     codon split behind the first exon and the one split before the second give
@@ -139,9 +140,9 @@ def split_stops(codons: DataFrame, exons: DataFrame, key: str) -> DataFrame:
     left = first.select(key, F.col("t_exon").alias("left_exon"), F.col("c").alias("__l"))
     right = first.select(key, (F.col("t_exon") + 1).alias("right_exon"), F.col("c").alias("__r"))
     met = pairs.join(left, [key, "left_exon"]).join(right, [key, "right_exon"]).where("__l.split > 0 AND __r.split > 0")
-    joined = F.concat(F.expr("substring(__l.que_codon, 1, __l.split)"), F.expr("substring(__r.que_codon, __r.split + 1, 99)"))
+    joined = F.concat(F.expr("substring(__l.que_codon, 1, __l.split)"), F.expr("substring(__r.que_codon, __r.split + 1)"))
     stop = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("joined"), F.lit(1)), F.lit(3)), lambda i: F.substring("joined", i, F.lit(3))), lambda c: c.isin(*STOPS)), F.lit(0))
-    return met.withColumn("joined", joined).select(key, F.col("right_exon").alias("exon"), stop.alias("stop")).where("stop IS NOT NULL")
+    return met.withColumn("joined", joined).select(key, "left_exon", F.col("right_exon").alias("exon"), stop.alias("stop")).where("stop IS NOT NULL")
 
 
 def out_of_chain_share(codons: DataFrame, missing: DataFrame, key: str) -> DataFrame:

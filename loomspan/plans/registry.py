@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.plans import file_queries, interval_queries, relation_queries
+from loomspan.plans import file_queries, frame_queries, interval_queries, relation_queries
 
-QUERIES = {**interval_queries.QUERIES, **relation_queries.QUERIES, **file_queries.QUERIES}
-SQL = {**interval_queries.SQL, **relation_queries.SQL, **file_queries.SQL}
+QUERIES = {**interval_queries.QUERIES, **relation_queries.QUERIES, **file_queries.QUERIES, **frame_queries.QUERIES}
+SQL = {**interval_queries.SQL, **relation_queries.SQL, **file_queries.SQL, **frame_queries.SQL}

@@ -228,13 +228,13 @@ def codon_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's letters beside its next one's, with gaps for some letters and behind the shorter one's end."""
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 60")
+    rows = views.dna(spark, sf_dir)
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("seq", "GG", "--").alias("query"))
     size = F.greatest(F.length("seq"), F.length("query"))
     return rows.join(other, "doc_id").select("doc_id", F.rpad(F.regexp_replace("seq", "CA", "--"), size, F.lit("-")).alias("ref"), F.rpad("query", size, F.lit("-")).alias("query"))
 
 
-_ALIGNED = """d AS (SELECT doc_id, seq FROM dna WHERE length(seq)>=60),
+_ALIGNED = """d AS (SELECT doc_id, seq FROM dna),
  al AS (SELECT a.doc_id, rpad(replace(a.seq,'CA','--'), greatest(length(a.seq),length(b.seq))::INT, '-') ref, rpad(replace(b.seq,'GG','--'), greatest(length(a.seq),length(b.seq))::INT, '-') que FROM d a JOIN d b ON b.doc_id=a.doc_id+1),
  ch AS (SELECT doc_id, unnest(range(1,length(ref)+1)) i, unnest(string_split(ref,'')) r, unnest(string_split(que,'')) q FROM al)"""
 

@@ -96,7 +96,7 @@ def test_split_stop_across_a_deleted_exon(spark):
     # The first exon ends in T, the deleted one is G...A, the last begins with AA: TAA where they meet.
     df = spark.createDataFrame([("k", "ATGt   gcCCCa   aaTAA", "ATGTgtaGCCCCAgtaAATAA")], "k string, ref string, query string")
     exons = spark.createDataFrame([("k", 1, "I"), ("k", 2, "D"), ("k", 3, "I")], "k string, exon long, state string")
-    assert [tuple(r) for r in aligned.split_stops(aligned.codon_table(df, "k"), exons, "k").collect()] == [("k", 3, "TAA")]
+    assert [tuple(r) for r in aligned.split_stops(aligned.codon_table(df, "k"), exons, "k").collect()] == [("k", 1, 3, "TAA")]
 
 
 def test_out_of_chain_share(spark):
