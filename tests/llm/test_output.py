@@ -63,6 +63,39 @@ def test_equal_texts_stay_together_and_ranges_have_no_ceiling(spark, monkeypatch
     check_shards(many, 8, 3 * 75)
 
 
+def test_groups_stay_whole_unless_no_shard_has_room(spark, monkeypatch):
+    """Groups of 3 % to 90 % of a shard are whole; one of two shards is parted; all is even but for a hundredth of a shard."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", 100)
+    rng = random.Random(4)
+    texts = [f"{i} " + "x" * rng.randrange(40) for i in range(4000)]
+    groups = {"a" * 30: 700, "b" * 99: 120, "c" * 9: 300, "d" * 20: 60, "e" * 50: 900, None: 500}
+    rows = list(enumerate(texts + [t for t, n in groups.items() for _ in range(n)]))
+    rng.shuffle(rows)
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, least_ranges=16).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((i, t or "") for i, t in rows)
+    homes = {}
+    for r in got:
+        homes.setdefault(r["text"], set()).add(r["shard"])
+    share = sum(r["size"] for r in got) / 8
+    assert 2 * share > 51 * 900 > share > 31 * 700 and len(homes.pop("e" * 50)) == 2
+    assert all(len(h) == 1 for h in homes.values())
+    check_shards(got, 8, share / 100)
+
+
+@pytest.mark.parametrize("groups", [[], [(1, 10, 1)], [(1, 10, 50), (2, 5, 7), (3, 900, 1)], [(k, 3, 40 + k) for k in range(30)]])
+def test_placed_groups_cover_their_rows(groups):
+    share = sum(z * n for _, z, n in groups) / 4 + 3
+    pieces, room = sharding.place_groups(groups, 4, share)
+    for key, size, rows in groups:
+        own = sorted((a, b) for k, _, _, a, b, _ in pieces if k == key)
+        assert own[0][0] == 0 and own[-1][1] == rows and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+    slots = {}
+    for _, _, shard, first, end, base in pieces:
+        slots.setdefault(shard, []).extend(range(base + first, base + end))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sum(room) == pytest.approx(4 * share - sum(z * n for _, z, n in groups))
+
+
 def test_shards_of_edge_cases(spark, edge):
     got = sharding.shard_documents(edge)
     assert got.columns == ["doc_id", "text", "source", "target", "size", "shard", "slot"]
