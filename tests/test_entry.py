@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def duck():
 
 def rows_of(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "~"
         return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
