@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.runs import in_range_parts
+
 #: Intervals over more bins than this are joined by their keys alone instead of being copied to each bin.
 MOST_BINS = 1000
 
@@ -82,14 +84,29 @@ def union_intervals(df: DataFrame, keys: Sequence[str], start: str = "s", end: s
     """Merged intervals of each key with the number of parts; abutting ones stay apart unless asked.
 
     Gaps and islands: an interval begins an island if it starts where all before it
-    have ended. One sort by key and start serves both windows.
+    have ended. A key's rows are swept in ranges of their starts, so a chromosome takes as many
+    tasks as there are ranges; the furthest end and the last island of a
+    key's ranges before are carried over, and islands across borders meet when they are grouped.
     """
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = before.isNull() | ((F.col(start) > before) if merge_adjacent else (F.col(start) >= before))
-    marked = df.withColumn("__fresh", fresh.cast("int"))
-    island = F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    merged = marked.withColumn("__island", island).groupBy(*keys, "__island")
+    placed = in_range_parts(df, keys, [start, end])
+    part = Window.partitionBy(*keys, "__part").orderBy("__at")
+    upto, before = part.rowsBetween(Window.unboundedPreceding, Window.currentRow), part.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, found: Column, fold: Callable[[str], Column], into: str) -> DataFrame:
+        """Adds to each row what its key's parts before give: a row for each key and part."""
+        each = rows.groupBy(*keys, "__part").agg(found.alias("__own"))
+        each = each.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), fold("__own").over(earlier).alias(into))
+        same = F.col("__part") == F.col("__p")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        return rows.join(each, same).drop("__p", *[f"__k{i}" for i in range(len(keys))])
+
+    rows = carried(placed, F.max(end), F.max, "__carried").withColumn("__before", F.greatest("__carried", F.max(end).over(before)))
+    fresh = F.col("__before").isNull() | ((F.col(start) > F.col("__before")) if merge_adjacent else (F.col(start) >= F.col("__before")))
+    rows = rows.withColumn("__began", F.when(fresh, F.col("__at")))
+    rows = carried(rows, F.max("__began"), F.max, "__last").withColumn("__island", F.coalesce(F.max("__began").over(upto), F.col("__last")))
+    merged = rows.groupBy(*keys, "__island")
     return merged.agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_parts")).drop("__island")
 
 

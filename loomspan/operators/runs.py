@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.session import settle
+
 
 def runs(df: DataFrame, keys: Sequence[str], position: str, least: int = 1) -> DataFrame:
     """Runs of consecutive positions of each key: first, last, length (of at least ``least``)."""
@@ -93,3 +95,30 @@ def disjoint_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     taken = F.aggregate("spans", none, take, lambda done: done["taken"])
     return rows.select(*keys, F.inline(taken))
+
+
+def in_range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows in parts of the order of keys and ``order``, settled; adds ``__at``, which rises in that order, and ``__part``.
+
+    What a window over a whole key, or over all rows, computes in one task can be
+    put together from its parts: as many tasks as ranges work on one key.
+    """
+    columns = [F.col(c) for c in (*keys, *order)]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id())
+    return settle(placed, "range-parts").withColumn("__part", F.shiftright("__at", 33))
+
+
+def running_totals(df: DataFrame, order: Sequence[str], value: Column, into: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one in the order, without a window over all of them.
+
+    Rows of equal order are taken one after the other. Each part's total reaches the driver: a number for each partition.
+    """
+    placed = in_range_parts(df.withColumn("__value", value), [], order)
+    offsets, total = [], 0
+    for part, own in sorted(tuple(r) for r in placed.groupBy("__part").agg(F.sum("__value").alias("own")).collect()):
+        offsets.append((part, total))
+        total += own or 0
+    known = df.sparkSession.createDataFrame(offsets, "__of long, __offset long")
+    own = F.coalesce(F.sum("__value").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    found = placed.join(F.broadcast(known), F.col("__part") == F.col("__of")).withColumn(into, F.col("__offset") + own)
+    return found.drop("__at", "__part", "__value", "__of", "__offset")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.runs import running_totals
+
 BED12 = "chrom string, start bigint, end bigint, name string, score int, strand string, thick_start bigint, thick_end bigint, item_rgb string, block_count int, block_sizes string, block_starts string"
 
 
@@ -90,8 +92,7 @@ def read_mutations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def number_repeats(lines: DataFrame, at: str, text: str, kinds: tuple[str, ...] = ("exon", "CDS")) -> DataFrame:
     """Numbers annotation lines of each kind within a gene; a line ``###`` ends one. Adds gene_no and number."""
-    order = Window.orderBy(at)
-    marked = lines.withColumn("gene_no", F.sum(F.startswith(text, F.lit("###")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = running_totals(lines, [at], F.startswith(text, F.lit("###")).cast("long"), "gene_no")
     kind = F.get(F.split(text, "\t"), F.lit(2))
     kept = marked.withColumn("kind", kind).where(F.col("kind").isin(*kinds))
     return kept.withColumn("number", F.row_number().over(Window.partitionBy("gene_no", "kind").orderBy(at)))

@@ -130,3 +130,36 @@ def test_empty_tables(spark):
     assert intervals.union_intervals(none, ["k"]).count() == 0
     assert intervals.skipped(table(spark, [(1, 1, 0, 5)]), none, ["k"]).first()["reason"] == "chromosome is not aligned"
     assert none.select(F.col("k")).count() == 0
+
+
+@pytest.mark.parametrize("adjacent", [False, True])
+def test_union_of_one_key_in_many_ranges(spark, adjacent):
+    rng = random.Random(11 + adjacent)
+    rows = [("a" if rng.random() < 0.9 else None if rng.random() < 0.5 else "b", s := rng.randrange(3000), s + rng.choice([0, 1, 5, 9, 400 if rng.random() < 0.02 else 2])) for _ in range(700)]
+    want = []
+    for key in ("a", "b", None):
+        own = sorted((s, e) for k, s, e in rows if k == key)
+        for s, e in own:
+            if want and want[-1][0] == key and (s <= want[-1][2] if adjacent else s < want[-1][2]):
+                want[-1] = (key, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+            else:
+                want.append((key, s, e, 1))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = intervals.union_intervals(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], merge_adjacent=adjacent)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_running_totals_need_no_single_task(spark):
+    rows = [(i * 37 % 501, i % 4) for i in range(501)]
+    found = runs.running_totals(spark.createDataFrame(rows, "at int, n int"), ["at"], F.col("n").cast("long"), "upto")
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    total, want = 0, {}
+    for at, n in sorted(rows):
+        total += n
+        want[at] = total
+    assert {r["at"]: r["upto"] for r in found.collect()} == want
+    assert runs.running_totals(spark.createDataFrame([], "at int, n int"), ["at"], F.lit(1), "upto").count() == 0
