@@ -256,7 +256,7 @@ def unknown_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     codon = F.posexplode(sequences.codons(F.col("seq"))).alias("at", "codon")
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 30")
+    rows = views.dna(spark, sf_dir)
     starts = rows.select("doc_id", codon).where("codon = 'ATC'").groupBy("doc_id").agg(F.collect_list((F.col("at") + 1).cast("long")).alias("starts"))
     facts = rows.select("doc_id", F.ceil(F.length("seq") / 3).alias("n"), codon).join(starts, "doc_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<bigint>")))
     masked = sequences.mutation_masked((F.col("at") + 1).cast("long"), F.col("n"), F.col("starts"))
@@ -281,8 +281,8 @@ def compensated_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 40").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("exon"), "seq")
-    site = lambda off: F.substring("seq", (F.col("exon") * F.expr("length(seq) div 5") + off).cast("int"), F.lit(2))
+    rows = views.dna(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("exon"), "seq")
+    site = lambda off: F.substring("seq", F.greatest(F.lit(1), F.col("exon") * F.expr("length(seq) div 5") + off).cast("int"), F.lit(2))
     exons = rows.select("doc_id", "exon", F.when(F.col("exon") > 1, site(0)).alias("acceptor"), F.when(F.col("exon") < 4, site(4)).alias("donor"))
     minor = rows.where("doc_id % 3 = 0 AND exon = 2").select("doc_id", "exon", F.lit("A").alias("side"))
     return mutations.splice_mutations(exons, "doc_id", minor).groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("masked"), 1)).alias("n_masked"))
@@ -317,7 +317,7 @@ def memory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def species_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 30 AND doc_id % 7 <> 3").select(F.expr("doc_id div 4").alias("species"), (F.col("doc_id") % 4).alias("exon"), "seq")
+    rows = views.dna(spark, sf_dir).select(F.expr("doc_id div 4").alias("species"), (F.col("doc_id") % 4).alias("exon"), "seq")
     return aligned.exon_alignments(rows, [0, 1, 2, 3])
 
 
@@ -338,7 +338,7 @@ def masked_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_codon_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dna(spark, sf_dir).where("length(seq) >= 20")
+    rows = views.dna(spark, sf_dir)
     return rows.select("doc_id", genome.mark_split_codons(F.col("seq"), F.col("doc_id") % 100).alias("marked"))
 
 
@@ -495,7 +495,7 @@ SQL = {
     "substitution_score": with_views("dna", f""", {_ALIGNED} SELECT doc_id, sum(CASE WHEN r='-' AND q='-' THEN 0 WHEN r='-' OR q='-' THEN -1 WHEN r='N' OR q='N' THEN 0 WHEN r=q THEN 5 WHEN r||q IN ('AG','GA','CT','TC') THEN 1 ELSE -4 END)::BIGINT score FROM ch GROUP BY 1"""),
     "unknown_runs": with_views("dna", """, x AS (SELECT doc_id, regexp_replace(seq,'[GT]','N','g') seq FROM dna)
         SELECT doc_id, coalesce(list_max(list_transform(string_split(regexp_replace(seq,'[^N]+',' ','g'),' '), lambda v: length(v))),0) longest, regexp_matches(seq,'N{5,}') has_gap FROM x"""),
-    "mask_rule": with_views("dna", f""", {_COD}, c AS (SELECT doc_id, i+1 n, c, (n+2)//3 m FROM cod WHERE n>=30),
+    "mask_rule": with_views("dna", f""", {_COD}, c AS (SELECT doc_id, i+1 n, c, (n+2)//3 m FROM cod),
         f AS (SELECT *, min(CASE WHEN c='ATC' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) nx FROM c)
         SELECT doc_id, count(*) FILTER (WHERE n >= m-m//10 OR (n <= m//10 AND nx <= m//10)) n_masked, count(*) n_codons FROM f GROUP BY 1"""),
     "projection_names": "SELECT 'ENST.'||(l_partkey%9) transcript, count(*) n, max(l_orderkey) most FROM lineitem GROUP BY 1",
@@ -505,7 +505,7 @@ SQL = {
         m AS (SELECT doc_id, codon, 'START_MISSING' mclass FROM k WHERE codon=1 AND b<>'ATG' UNION ALL SELECT doc_id, codon, CASE WHEN z>0 THEN 'BIG_INS' ELSE 'BIG_DEL' END FROM k WHERE abs(z)>=50
           UNION ALL SELECT doc_id, codon, CASE WHEN z>0 THEN 'FS_INS' ELSE 'FS_DEL' END FROM k WHERE abs(z)<50 AND z%3<>0 UNION ALL SELECT doc_id, codon, 'STOP' FROM k WHERE b IN ('TAA','TAG','TGA') AND codon<l)
         SELECT doc_id, mclass, count(*) n, min(codon)::BIGINT first_codon FROM m GROUP BY 1,2"""),
-    "splice_sites": with_views("dna", """, x AS (SELECT doc_id, e, seq FROM dna, range(1,5) t(e) WHERE length(seq)>=40), y AS (SELECT doc_id, e, 'A' side, substr(seq, e*(length(seq)//5), 2) s FROM x WHERE e>1 UNION ALL SELECT doc_id, e, 'D', substr(seq, e*(length(seq)//5)+4, 2) FROM x WHERE e<4),
+    "splice_sites": with_views("dna", """, x AS (SELECT doc_id, e, seq FROM dna, range(1,5) t(e)), y AS (SELECT doc_id, e, 'A' side, substr(seq, greatest(1, e*(length(seq)//5)), 2) s FROM x WHERE e>1 UNION ALL SELECT doc_id, e, 'D', substr(seq, greatest(1, e*(length(seq)//5)+4), 2) FROM x WHERE e<4),
         z AS (SELECT *, contains(s,'N') OR contains(s,'-') OR (doc_id%3=0 AND e=2 AND side='A') k FROM y WHERE CASE side WHEN 'A' THEN s<>'AG' ELSE s NOT IN ('GT','GC') END) SELECT doc_id, side, count(*) n, count(*) FILTER (WHERE k) n_masked FROM z GROUP BY 1,2"""),
 }
 
@@ -542,7 +542,7 @@ SQL["exon_states"] = """WITH x AS (SELECT l_orderkey id, ['A','A+','B','C','M'][
 SQL["memory_plan"] = with_views("chain_blocks_raw", """, j AS (SELECT chain_id, sum(39+6*(size//3))::DOUBLE n, sum(size)::DOUBLE r, max(dq)*100000.0::DOUBLE q FROM chain_blocks_raw GROUP BY 1),
     g AS (SELECT chain_id, ceil((n*32+n*q*4+n*304+(q*2+r)*8+(q+r)*2+100000)/1e9)+0.25 gig FROM j)
     SELECT chain_id, gig, CASE WHEN gig<=0.5 THEN 'fit' WHEN gig<=1.3 THEN 'big' ELSE 'no' END fits, CASE WHEN gig<=1 THEN 1.0 WHEN gig<=1.5 THEN 1.5 WHEN gig<=2 THEN 2.0 END::DOUBLE AS bucket FROM g""")
-SQL["species_alignment"] = with_views("dna", """, r AS (SELECT doc_id//4 species, doc_id%4 exon, seq FROM dna WHERE length(seq)>=30 AND doc_id%7<>3), w AS (SELECT exon, max(length(seq)) w FROM r GROUP BY 1),
+SQL["species_alignment"] = with_views("dna", """, r AS (SELECT doc_id//4 species, doc_id%4 exon, seq FROM dna), w AS (SELECT exon, max(length(seq)) w FROM r GROUP BY 1),
     f AS (SELECT DISTINCT species, e exon FROM r, range(4) t(e)) SELECT species, string_agg(rpad(coalesce(seq,''), w::INT, '-'), '' ORDER BY exon) seq FROM f JOIN w USING (exon) LEFT JOIN r USING (species, exon) GROUP BY 1""")
 SQL["codon_table"] = with_views("dna", f""", {_ALIGNED}, sp AS (SELECT doc_id, substr(ref,1,25)||'    '||substr(ref,26) ref, substr(que,1,25)||'gtag'||substr(que,26) que FROM al),
     cz AS (SELECT doc_id, unnest(range(1,length(ref)+1)) i, unnest(string_split(ref,'')) t, unnest(string_split(que,'')) q FROM sp), c0 AS (SELECT *, CASE WHEN i<=25 THEN 0 ELSE 1 END ex FROM cz),
@@ -560,7 +560,7 @@ SQL["genome_fetch"] = with_views("dna", """, x AS (SELECT doc_id::VARCHAR chrom,
 SQL["masked_stops"] = with_views("dna", f""", {_COD}, c AS (SELECT doc_id, n, i, (n-1)//3 l, c FROM cod)
     SELECT doc_id, CASE WHEN max(n)%3<>0 THEN 'out of frame' WHEN max(CASE WHEN i=0 THEN c END)<>'ATG' THEN 'no start codon' WHEN max(CASE WHEN i=l THEN c END) NOT IN {_STOPS} THEN 'no stop codon' END problem,
       string_agg(CASE WHEN c IN {_STOPS} AND i<l THEN 'NNN' ELSE c END, '' ORDER BY i) masked FROM c GROUP BY 1""")
-SQL["split_codon_marks"] = with_views("dna", """, x AS (SELECT doc_id, seq q, length(seq) n, (3-doc_id%100%3)%3 h, (doc_id%100+length(seq))%3 t FROM dna WHERE length(seq)>=20)
+SQL["split_codon_marks"] = with_views("dna", """, x AS (SELECT doc_id, seq q, length(seq) n, (3-doc_id%100%3)%3 h, (doc_id%100+length(seq))%3 t FROM dna)
     SELECT doc_id, lower(substr(q,1,h))||upper(substr(q,h+1,n-h-t))||lower(substr(q,n+1-t)) marked FROM x""")
 SQL["pseudogene_track"] = f"""WITH {_TABLE}, h AS (SELECT s_suppkey chain_id, (s_nationkey%5)::VARCHAR chrom, s_suppkey%2=0 plus, s_suppkey*37%9000 a, s_suppkey*37%9000+100+s_suppkey%400 b FROM supplier),
     r AS (SELECT chrom, CASE WHEN (p_size%2=0)=plus THEN '+' ELSE '-' END strand, CASE WHEN plus THEN a ELSE 100000-b END s, CASE WHEN plus THEN b ELSE 100000-a END e, gene FROM d JOIN h USING (chain_id) JOIN part ON p_partkey=gene WHERE score<0.2),
