@@ -205,6 +205,27 @@ def test_passages_whose_pieces_have_other_owners(spark):
     assert {d for d, _, _ in got} == {200, 301}
 
 
+@pytest.mark.parametrize("owners", [4, 9])
+def test_passages_whose_every_piece_has_many_owners(spark, owners):
+    rng = random.Random(13)
+    long = words(rng, 80)
+    filler = lambda: words(rng, rng.randrange(5, 30))
+    texts = {owners * i + k: filler() + long[10 * i : 10 * i + 20] + filler() for i in range(7) for k in range(owners)}
+    texts |= {100: filler() + long + filler(), 200: filler() + long + filler()}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = [(r["doc_id"], r["source_id"], r["n_words"]) for r in passages.repeated_passages(df).collect()]
+    assert [(d, s) for d, s, _ in got] == [(200, 100)] and got[0][2] >= 80
+
+
+def test_previous_holders_across_ranges(spark):
+    rows = [(7, i, i % 5) for i in range(400)] + [(seed, i, 1) for seed in range(8, 60) for i in range(seed % 4)]
+    df = spark.createDataFrame(rows, "seed long, id long, at int").repartition(7)
+    got = sorted(map(tuple, passages.previous_holders(df).collect()))
+    want = [(i, i % 5, i - 1, (i - 1) % 5) for i in range(1, 400)] + [(i, 1, i - 1, 1) for seed in range(8, 60) for i in range(1, seed % 4)]
+    assert got == sorted(want)
+    assert passages.previous_holders(df.where("seed = 0")).count() == 0
+
+
 def test_recall_of_passages_against_brute_force(spark):
     """Random rows with copied stretches, overlapping quotations and scattered changes; all pairs of rows are compared by a plain alignment of diagonals."""
     rng = random.Random(21)
