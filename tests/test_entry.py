@@ -54,3 +54,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_boosted_trees_learn_their_labels(spark):
+    from loomspan.plans.registry import QUERIES
+
+    rows = QUERIES["gbt_classify"](spark, DATA).toPandas()
+    apart = rows[rows["chain_id"] % 5 == 0]
+    assert ((apart["p"] >= 0.5) == (apart["y"] == 1)).mean() > 0.95 and 0.1 < apart["y"].mean() < 0.9
+
+
+def test_training_rows_have_both_labels(spark):
+    from loomspan.plans.registry import QUERIES
+
+    assert set(QUERIES["training_rows"](spark, DATA).toPandas()["y"]) == {0, 1}
