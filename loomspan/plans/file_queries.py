@@ -189,10 +189,11 @@ def alignments_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A substitution matrix over twenty letters at most, written as text and read back."""
-    letters = sorted(r[0] for r in views.read(spark, sf_dir, "nation").select(F.char(F.col("n_nationkey") % 20 + 65)).distinct().collect())
-    body = "\n".join([" " + " ".join(letters)] + [a + " " + " ".join(str((ord(a) * ord(b)) % 9 - 4) for b in letters) for a in letters])
+    letters = views.read(spark, sf_dir, "nation").agg(F.array_sort(F.collect_set(F.char(F.col("n_nationkey") % 20 + 65))).alias("all"))
+    score = lambda x: (F.pmod(F.ascii("letter") * F.ascii(x), F.lit(9)) - 4).cast("string")
+    lines = letters.select("all", F.explode("all").alias("letter")).select(F.concat_ws(" ", F.col("letter"), F.transform("all", score)).alias("value"))
     path = _place(spark, "matrix")
-    spark.createDataFrame([(body,)], "value string").write.text(path)
+    letters.select(F.concat(F.lit("  "), F.array_join("all", " ")).alias("value")).unionByName(lines).write.text(path)
     return readers.read_matrix(spark, path).select("ref", "que", F.col("score").cast("long").alias("score"))
 
 
