@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Classes in order of rank, from the rank -1, and the colours of annotation tracks.
@@ -161,3 +161,32 @@ def status_matrix(status: DataFrame, assemblies: list[str], item: str = "item",
     """A column per assembly with each item's status; ``abs`` where it has none."""
     wide = status.groupBy(item).pivot(assembly, assemblies).agg(F.max(label))
     return wide.fillna("abs")
+
+
+def loss_features(mutations: DataFrame, shares: DataFrame, exons: DataFrame, out_of_chain: DataFrame, paralogs: DataFrame, key: str) -> DataFrame:
+    """The columns of ``loss_class`` for each projection of ``exons`` (key, exon, size).
+
+    ``mutations`` and ``shares`` of a ``frame_report``; ``out_of_chain``: key,
+    out_of_chain; ``paralogs``: key. Mutations that are not masked count, and missing exons in any case;
+    in exons that are gone no others do. An exon is big if it has over 40 % of the bases.
+    """
+    missing, deleted = F.col("mclass") == "Missing exon", F.col("mclass") == "Deleted exon"
+    counting = mutations.where((~F.col("masked") | missing) & (F.col("mclass") != "COMPENSATION"))
+    per_exon = counting.groupBy(key, "exon").agg(F.count(F.when(~missing & ~deleted, 1)).alias("small"), F.bool_or(missing).alias("m"), F.bool_or(deleted).alias("d"))
+    effective = counting.groupBy(key).agg(F.count(F.lit(1)).alias("effective"))
+    rows = exons.select(key, "exon", "size").join(per_exon, [key, "exon"], "left").withColumn("total", F.sum("size").over(Window.partitionBy(key)))
+    gone, lost = F.coalesce("d", F.lit(False)), F.coalesce("m", F.lit(False)) & ~F.coalesce("d", F.lit(False))
+    rows = rows.withColumns({"d": gone, "m": lost, "small": F.when(gone | lost, 0).otherwise(F.coalesce("small", F.lit(0))), "big": F.col("size") / F.col("total") > 0.4})
+    one = F.count(F.lit(1)) == 1
+    found = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("exons"), F.bool_and("m").alias("all_missing"), F.bool_and("d").alias("all_deleted"), F.bool_or("m").alias("any_missing"),
+        (F.sum(F.when(F.col("m"), F.col("size")).otherwise(0)) / F.max("total")).alias("missing_share"), (one & F.bool_or("d")).alias("single_deleted"), (one & F.bool_or("m")).alias("single_missing"),
+        F.count(F.when(F.col("d") | (F.col("small") > 0), 1)).alias("affected"), F.bool_or(F.col("big") & (F.col("small") >= 2)).alias("big_exon_two"), F.bool_or(F.col("big") & F.col("d")).alias("big_exon_deleted"),
+    )
+    found = found.join(effective, key, "left").join(shares, key, "left").join(out_of_chain, key, "left").join(paralogs.select(key, F.lit(True).alias("is_paralog")).distinct(), key, "left")
+    default = lambda c, v: F.coalesce(c, F.lit(v))
+    return found.select(
+        key, *[c for c in ("exons", "all_missing", "all_deleted", "any_missing", "missing_share", "single_deleted", "single_missing", "affected", "big_exon_two", "big_exon_deleted")],
+        default("is_paralog", False).alias("is_paralog"), default("effective", 0).alias("effective"), default("ignore_m", -1.0).alias("ignore_m"), default("intact_m", -1.0).alias("intact_m"), default("intact_codons", -1.0).alias("codons"),
+        default("out_of_chain", 0.0).alias("out_of_chain"), F.col("middle_is_intact").alias("middle_intact"), F.col("middle_is_present").alias("middle_present"),
+    )
