@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -301,7 +302,7 @@ def _across_groups(texts: DataFrame, apart: DataFrame, similarity: float, width:
     have prefixes of shingles of their own and meet none. A pair counts where
     its sets, if this is the first shingle they share, can still share enough
     (positional filter). Per shingle, texts of its largest group do not meet
-    each other.
+    each other, and only texts of sizes near enough meet at all: a size's class and the two beside it.
     """
     kind = texts.schema["id"].dataType.simpleString()
     few = apart.count() <= BROADCAST_IDS
@@ -334,11 +335,14 @@ def _across_groups(texts: DataFrame, apart: DataFrame, similarity: float, width:
     def side(x: str) -> list[Column]:
         return [F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "left")]]
 
-    left, right = mixed.where("root <> main").select("s", "main", *side("a")), mixed.select("s", *side("b"))
+    # Sizes that differ by no more than the similarity are at most one class apart.
+    size_class = F.floor(F.log(F.col("size")) / -math.log(min(similarity, 0.99) * 0.999)).cast("int")
+    classes = F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("class")
+    left, right = mixed.where("root <> main").select("s", "main", classes, *side("a")), mixed.select("s", size_class.alias("class"), *side("b"))
     other = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("main")))
     # Sets of sizes x and y share at least (x + y) * similarity / (1 + similarity).
     enough = F.least("left_a", "left_b") >= (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    return left.join(right, "s").where(other & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.join(right, ["s", "class"]).where(other & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:

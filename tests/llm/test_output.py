@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from plain_mixing import plain_copies
 from pyspark.sql import functions as F
 
 from loomspan.llm import mixing, sharding, tokens
@@ -166,6 +167,14 @@ def test_small_sources_of_long_rows_meet_their_targets(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.75 * max(r["size"] for r in own)
 
 
+def test_mix_equals_the_plain_version(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice([i, i, i, 5, None]), " ".join(["w"] * rng.choice([0, 1, 2, 3, 9, 40])) + rng.choice(["", f" {i}"]), rng.choice([None, "", "a", "a", "a", "b", "é"])) for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = [(*r, n) for r, n in zip(rows, plain_copies(rows), strict=True)]
+    assert sorted(((r["doc_id"], r["text"], r["source"], r["copies"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_sources_of_one_document_are_taken_as_often_as_their_rate_says(spark):
     rows = [(i, "w w", f"s{i:05d}") for i in range(3000)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

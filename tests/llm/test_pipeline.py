@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from plain_mixing import plain_copies
 
 import corpus_pipeline
 from loomspan.llm import decontaminate, quality, simhash
@@ -61,6 +62,17 @@ def test_stages(spark, sf_dir):
         if name == "shard":
             assert out.columns == [*docs.columns, "size", "shard", "slot"]
             assert sorted(map(repr, got)) == sorted(map(repr, rows))
+            placed, shards = out.collect(), {}
+            assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in placed)
+            for r in placed:
+                shards.setdefault(r["shard"], []).append(r)
+            sums = [sum(r["size"] for r in own) for own in shards.values()]
+            assert len(shards) == corpus_pipeline.SHARDS and max(sums) - min(sums) <= 4 * max(r["size"] for r in placed)
+            assert all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in shards.values())
+            homes = {}
+            for r in placed:
+                homes.setdefault(r["text"], set()).add(r["shard"])
+            assert all(len(h) == 1 for h in homes.values())
             return
         assert out.columns == docs.columns
         if name == "quality":
@@ -80,15 +92,10 @@ def test_stages(spark, sf_dir):
             want = [r for r in rows if not runs((r[1] or "").split())]
             assert len(want) < len(rows) and decontaminate.WINDOW == 13
         else:
-            sizes, taken = {}, {}
-            for r in rows:
-                sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())
-            for r in got:
-                taken[r[3]] = taken.get(r[3], 0) + len((r[1] or "").split())
-            assert all(n <= 3 * sizes[s] for s, n in taken.items()) and sum(taken.values()) == pytest.approx(sum(sizes.values()), rel=0.3)
-            want = None
-        if want is not None:
-            assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+            copies = plain_copies([(r[0], r[1], r[3]) for r in rows])
+            want = [r for r, n in zip(rows, copies, strict=True) for _ in range(n)]
+            assert len({n for n in copies}) > 1
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
         docs = spark.createDataFrame(out.collect(), docs.schema)
 
 
