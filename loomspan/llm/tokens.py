@@ -25,8 +25,8 @@ from loomspan.llm.common import scratch, table
 
 #: Pieces of text whose ids one worker process remembers (some 200 MB).
 CACHED_PIECES = 1_000_000
-#: Texts that are encoded together, and bytes of text in one part.
-ROWS, PART_BYTES = 2500, 16 << 20
+#: Texts that are encoded together; bytes of text in one part, and the least of a part that is cut so that every core has some.
+ROWS, PART_BYTES, LEAST_PART_BYTES, PARTS_PER_CORE = 2500, 1 << 30, 16 << 20, 4
 #: Ids that a reader asks for at once where files cannot be mapped, and documents between.
 READ_IDS, READ_DOCS = 1 << 22, 4096
 #: Stands for a null id in the files.
@@ -215,7 +215,7 @@ def write_tokens(
     part's base: the ids of all documents before it. ``manifest.json`` holds the
     format, the parts in order and their bases. Without a number of parts there
     is one for each PART_BYTES of text. The ids are as wide as the vocabulary
-    asks for; a ``width`` too narrow for it is refused.
+    asks for; a ``width`` too narrow for it is refused. Small inputs have parts down to LEAST_PART_BYTES, as long as cores lack some.
 
     Null texts count as empty and give the end id alone. Null ids come first and
     are held as the least signed 64-bit integer, which reads back as null.
@@ -257,7 +257,9 @@ def write_tokens(
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     if parts is None:
-        parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0) // PART_BYTES))
+        size = rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, -(-size // PART_BYTES), min(-(-size // LEAST_PART_BYTES), PARTS_PER_CORE * cores))
     ranged = rows.repartitionByRange(parts, "id")
     written = ranged.sortWithinPartitions("id").mapInArrow(write, "name string, documents bigint, tokens bigint, first_id bigint")
     base, out = 0, []
