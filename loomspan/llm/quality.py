@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     hashed = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    # Rows without a label are left out before anything is shuffled by id.
-    rows = docs.join(known.select(id_col), id_col, "left_semi").groupBy(id_col).agg(F.min(hashed).alias("__hash"))
+    # Only ids and hashes are shuffled, and those without a label are left out before they are grouped.
+    hashes = docs.select(id_col, hashed.alias("__own"))
+    rows = hashes.join(known.select(id_col), id_col, "left_semi").groupBy(id_col).agg(F.min("__own").alias("__hash"))
     chosen = known.join(rows, id_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(sample_rows)
 
     def featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
