@@ -217,6 +217,55 @@ def test_passages_whose_every_piece_has_many_owners(spark, owners):
     assert [(d, s) for d, s, _ in got] == [(200, 100)] and got[0][2] >= 80
 
 
+@pytest.mark.parametrize("owners", [5, 60])
+def test_passages_whose_pieces_rows_between_have_too(spark, owners):
+    """Rows before and between the two quote all pieces, by ``owners`` each: no cap hides the passage."""
+    rng = random.Random(14)
+    long = words(rng, 80)
+    filler = lambda: words(rng, rng.randrange(5, 30))
+    texts = {at + owners * i + k: filler() + long[10 * i : 10 * i + 20] + filler() for at in (0, 5000) for i in range(7) for k in range(owners)}
+    texts |= {1000: filler() + long + filler(), 9000: filler() + long + filler()}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = [(r["doc_id"], r["source_id"], r["n_words"]) for r in passages.repeated_passages(df).collect()]
+    assert [(d, s) for d, s, _ in got] == [(9000, 1000)] and got[0][2] >= 80
+
+
+def test_windows_of_crowded_seeds():
+    """Each stretch with at most one seed of few rows has a hash, which its words alone decide."""
+    rng = random.Random(15)
+    w = np.array([rng.getrandbits(63) for _ in range(300)], dtype=np.uint64)
+    seeds, _ = passages.seeds_of(w, 5, 6, 50)
+    hot = seeds[(seeds >= 100) & (seeds < 200)]
+    at, h = passages.crowded_windows(w, hot, passages.Settings())
+    want = [i for i in range(251) if sum(i + 5 <= x <= i + 40 for x in seeds if x not in hot) <= 1 and any(i <= x <= i + 45 for x in hot)]
+    assert at.tolist() == want and len(set(h.tolist())) == len(h) and len(want) >= 50
+    again, same = passages.crowded_windows(w[90:], hot - 90, passages.Settings())
+    assert set(zip(at.tolist(), h.tolist(), strict=True)) >= {x for x in zip((again + 90).tolist(), same.tolist(), strict=True) if 95 <= x[0]}
+    assert {x for x in zip(at.tolist(), h.tolist(), strict=True) if x[0] >= 90} <= set(zip((again + 90).tolist(), same.tolist(), strict=True))
+    assert len(passages.crowded_windows(w[:49], seeds, passages.Settings())[0]) == 0
+
+
+def test_covering_ranges():
+    rng = random.Random(16)
+    for _ in range(300):
+        starts = np.array([rng.randrange(60) for _ in range(rng.randrange(1, 25))])
+        ends = starts + np.array([rng.randrange(1, 20) for _ in starts])
+        kept = passages.covering(starts, ends)
+        held = lambda ks: {w for k in ks for w in range(starts[k], ends[k])}  # noqa: E731, B023
+        assert held(kept) == held(range(len(starts))) and all(held(set(kept) - {k}) != held(kept) for k in kept)
+    assert passages.covering(np.arange(0, 100, 2), np.arange(50, 150, 2)) == [0, 25, 49]
+
+
+def test_free_stretches():
+    """What a span holds goes, stretches on one diagonal are one, and of those on many few are left."""
+    at = np.array([3, 4, 5, 30, 31, 90, 92, 94, 96, 4])
+    source = np.array([1, 1, 1, 0, 0, 2, 2, 2, 2, 1])
+    source_at = np.array([13, 14, 15, 30, 31, 7, 7, 7, 7, 14])
+    got = passages.free_stretches(at, source, source_at, [(25, 60), (0, 2)], 20)
+    assert got == [(1, (3, 13, 22)), (2, (90, 7, 20)), (2, (96, 7, 20))]
+    assert passages.free_stretches(at, source, source_at, [(0, 200)], 20) == [] and len(passages.free_stretches(at, source, source_at, [], 20)) == 4
+
+
 def test_previous_holders_across_ranges(spark):
     rows = [(7, i, i % 5) for i in range(400)] + [(seed, i, 1) for seed in range(8, 60) for i in range(seed % 4)]
     df = spark.createDataFrame(rows, "seed long, id long, at int").repartition(7)
