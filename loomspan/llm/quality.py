@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +20,11 @@ GRAMS = (2, 3, 4)
 #: BUCKETS features of 4 bytes: some 25 MB on the driver for usual texts, never over 800 MB.
 SAMPLE_ROWS = 3000
 #: Words whose sums one worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: Characters of texts that are split into words together.
 SCORED_BYTES = 4 << 20
+#: Texts that are scored together.
+SCORED_TEXTS = 50
 
 _PRIME, _SPREAD = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 
@@ -213,19 +214,20 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", into: str
     table gives an empty result.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # On Arrow, so that few texts at a time are Python's; a worker's memory stays with it.
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for texts in batches:
-            values, out, at = texts.array, [], 0
-            while at < len(values):
+            out, at = [], 0
+            while at < len(texts):
                 some, size = [], 0
-                while at < len(values) and len(some) < 200 and size < SCORED_BYTES:
-                    some.append(values[at])
+                while at < len(texts) and len(some) < SCORED_TEXTS and size < SCORED_BYTES:
+                    some.append(texts[at].as_py())
                     size += len(some[-1] or "")
                     at += 1
                 out += scorer.scores(some)
-            yield pd.Series(out, dtype="float64")
+            yield pa.array(out, pa.float64())
 
     return docs.withColumn(into, score(F.col(text_col)))
 

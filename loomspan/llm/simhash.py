@@ -30,6 +30,8 @@ _TURNS, _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * BAN
 _FACTORS = _FACTORS << np.uint64(1) | np.uint64(1)
 #: Signatures shared by more fingerprints than this are joined on eight more bits.
 CROWDED = 200
+#: Fingerprints in a task that makes their signatures; these mostly differ, so the task's hash table holds 64 rows for each.
+TASK_PRINTS = 1 << 14
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -62,9 +64,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
     """(id, ``fp`` long), one row for each row."""
 
-    @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array((fingerprint(t.as_py(), width) for t in texts), pa.int64())
 
     return docs.select(id_col, prints(F.col(text_col)).alias("fp"))
 
@@ -116,7 +118,8 @@ def links(nodes: DataFrame, distance: int = 3, crowded: int = CROWDED, broadcast
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one wildcard find up to three differing bits")
-    variants = _variants(nodes)
+    # Fingerprints are small, so that files of them make few tasks.
+    variants = _variants(nodes.repartition(-(-nodes.count() // TASK_PRINTS) or 1, "fp"))
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     shared = settle(shared, "simhash-signatures")
     pairs = shared.where("n = 2").where(_linked(F.col("key"), F.col("a"), F.col("b"), distance)).select("a", "b")

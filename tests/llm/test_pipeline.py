@@ -148,3 +148,22 @@ def test_contaminated_and_clean_rows_without_an_id_of_their_own(spark, sf_dir):
     for _ in range(2):  # reruns agree
         got = sorted(repr((r["doc_id"], r["text"])) for r in corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect())
         assert got == sorted(repr(r) for r in rows if "bench" not in (r[1] or ""))
+
+
+def test_scoring_keeps_few_texts_and_words():
+    """A worker that scored many texts of new words holds no more of them than the bounds say, and other bounds score alike."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(400)) for _ in range(400)]
+    model = quality.Model(quality.np.random.default_rng(1).random(quality.BUCKETS).astype("float32"), 0.1)
+    scorer, got = quality.Scorer(model), []
+    for at in range(0, len(texts), quality.SCORED_TEXTS):
+        got += scorer.scores(texts[at : at + quality.SCORED_TEXTS])
+    assert len(scorer.known) <= 130_000 and got == quality.Scorer(model, 10**9).scores(texts)
+
+
+def test_signatures_are_made_by_many_tasks(spark, monkeypatch):
+    """A task makes the signatures of a bounded number of fingerprints, though a small file holds many."""
+    seen, made = [], simhash._variants
+    monkeypatch.setattr(simhash, "_variants", lambda nodes: seen.append(nodes.rdd.getNumPartitions()) or made(nodes))
+    simhash.links(spark.range(50_000).select(simhash.F.xxhash64("id").alias("fp")).coalesce(1)).count()
+    assert seen == [-(-50_000 // simhash.TASK_PRINTS)]
