@@ -6,6 +6,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,12 @@ def place_groups(groups: list[tuple[int, int, int]], shards: int, share: float)
     return pieces, room
 
 
+def _small_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """Few rows of whole numbers, by way of Arrow: as a list they would be an RDD, which Python workers of another kind unpickle on the executors."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=list(names)))
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = 8,
@@ -116,7 +123,7 @@ def shard_documents(
     counted = narrow.groupBy("__key", "__size").agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__size") * F.col("__rows") > LARGE_SHARE * share)
     groups = [tuple(r) for r in counted.collect()]  # at most shards / LARGE_SHARE
     pieces, room = place_groups(groups, shards, share)
-    large = docs.sparkSession.createDataFrame([(k, z, -(-n // CELL_ROWS)) for k, z, n in groups], "__key long, __size long, __bins long")
+    large = _small_table(docs.sparkSession, [(k, z, -(-n // CELL_ROWS)) for k, z, n in groups], "__key", "__size", "__bins")
     rest = narrow.join(F.broadcast(large), ["__key", "__size"], "left_anti")
 
     filled = FilledCells(rest, total - sum(z * n for _, z, n in groups), least_ranges, range_bytes)
@@ -149,7 +156,8 @@ def shard_documents(
     bins = F.broadcast(bins) if bins.count() <= BROADCAST_CELLS else bins
     in_bin = Window.partitionBy("__key", "__size", "__bin").orderBy("__unit")
     ranked = binned(full).join(bins, ["__key", "__size", "__bin"]).withColumn("__rank", F.col("__before") + F.row_number().over(in_bin) - 1)
-    parts = docs.sparkSession.createDataFrame(pieces, "__of long, __each long, shard int, __begin long, __end long, __base long").join(F.broadcast(firsts), "shard", "left")
+    parts = _small_table(docs.sparkSession, pieces, "__of", "__each", "shard", "__begin", "__end", "__base").withColumn("shard", F.col("shard").cast("int"))
+    parts = parts.join(F.broadcast(firsts), "shard", "left")
     mine = (F.col("__key") == F.col("__of")) & (F.col("__size") == F.col("__each")) & (F.col("__rank") >= F.col("__begin")) & (F.col("__rank") < F.col("__end"))
     ranked = ranked.join(F.broadcast(parts), mine)  # as many as groups and shards
     return small.unionByName(ranked.select(*result, (F.coalesce("__filled", F.lit(0)) + F.col("__base") + F.col("__rank")).cast("long").alias("slot")))

@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -366,16 +365,19 @@ def _verified(texts: DataFrame, wanted: DataFrame, similarity: float, width: int
     x, y = F.octet_length("x"), F.octet_length("y")
     near = wanted.join(left, "a").join(right, "b").where((F.least(x, y) > 0) & (F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)))
 
-    @F.pandas_udf("double")
-    def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for one, other in zip(xs, ys, strict=True):
-            p, q = np.frombuffer(one, np.uint32), np.frombuffer(other, np.uint32)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common / (len(p) + len(q) - common))
-        return pd.Series(out, dtype="float64")
-
-    return near.withColumn("similarity", jaccard("x", "y")).where(F.col("similarity") >= similarity).select("a", "b", "similarity").distinct()
+    # Not a UDF, which the filter on its result would compute a second time, in workers of their own.
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(one.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(common / (len(p) + len(q) - common))
+            found = pa.array(out, pa.float64())
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["a", "b", "similarity"])
+            yield rows.filter(pa.array([s >= similarity for s in out], pa.bool_()))
+
+    return near.select("a", "b", "x", "y").mapInArrow(alike, f"a {kind}, b {kind}, similarity double").distinct()
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,3 +167,13 @@ def test_signatures_are_made_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_variants", lambda nodes: seen.append(nodes.rdd.getNumPartitions()) or made(nodes))
     simhash.links(spark.range(50_000).select(simhash.F.xxhash64("id").alias("fp")).coalesce(1)).count()
     assert seen == [-(-50_000 // simhash.TASK_PRINTS)]
+
+
+def test_few_python_workers(spark):
+    """Pairs are compared once, by one worker a task, and no Python worker reads the small tables of sharding."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "id", "concat('a b c d e f g h i j ', id % 3) AS text")
+    near = simhash._verified(docs.select("id", "text"), docs.selectExpr("id AS a", "id + 3 AS b"), 0.8, 5)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1 and near.count() == 57
+    dealt = corpus_pipeline.shard_documents(docs.select("doc_id", "text"))
+    assert "RDD" not in dealt._jdf.queryExecution().optimizedPlan().toString() and dealt.count() == 60
