@@ -65,9 +65,17 @@ def exon_scores(codons: DataFrame, key: str, matrix: DataFrame | None = None) ->
 
     ``matrix`` has amino acids or codons, whatever ``ref`` and ``que`` name.
     """
-    chars = F.arrays_zip(F.split("ref_codon", "").alias("r"), F.split("que_codon", "").alias("q"))
-    rows = codons.select(key, F.col("t_exon").alias("exon"), F.explode(chars).alias("c")).where("c.r NOT IN ('', 'N') AND c.q NOT IN ('', 'N')")
-    identity = rows.groupBy(key, "exon").agg((F.count(F.when(F.col("c.r") == F.col("c.q"), 1)) * 100 / F.count(F.lit(1))).alias("identity"))
+    letters = [(F.substring("ref_codon", i, 1), F.substring("que_codon", i, 1)) for i in range(1, 5)]
+    shown = lambda r, q: ~r.isin("", "N") & ~q.isin("", "N")
+    # Shown letters times ``unit``, and equal ones among them, so that each codon is looked at once; letter arrays are for long codons alone.
+    unit = 1 << 32
+    short = sum([F.when(shown(r, q), F.when(r == q, F.lit(unit + 1)).otherwise(F.lit(unit))).otherwise(F.lit(0)) for r, q in letters], F.lit(0))
+    chars = F.filter(F.arrays_zip(F.split("ref_codon", "").alias("r"), F.split("que_codon", "").alias("q")), lambda c: shown(c["r"], c["q"]))
+    long = F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: n + F.when(c["r"] == c["q"], F.lit(unit + 1)).otherwise(F.lit(unit)))
+    fits = (F.length("ref_codon") <= len(letters)) & (F.length("que_codon") <= len(letters))
+    rows = codons.select(key, F.col("t_exon").alias("exon"), F.when(fits, short).otherwise(long).alias("c"))
+    sums = rows.groupBy(key, "exon").agg(F.sum(F.shiftright("c", 32)).alias("n"), F.sum(F.col("c").bitwiseAND(F.lit(unit - 1))).alias("same")).where("n > 0")
+    identity = sums.select(key, "exon", (F.col("same") * 100 / F.col("n")).alias("identity"))
     if matrix is None:
         return identity
     plain = codons.select(key, F.col("t_exon").alias("exon"), F.regexp_replace("ref_codon", "-", "").alias("ref"), F.regexp_replace("que_codon", "-", "").alias("que"))
