@@ -56,7 +56,8 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
 def tagged(entries: DataFrame) -> DataFrame:
     """Adds ``kind`` (protein, codon, ref_exon, query_exon or null), the fields of exons' headers, typed, and ``reason`` where an entry cannot be used."""
     parts = F.transform(F.split("header", r"\|"), lambda x: F.trim(x))
-    rows = entries.withColumn("f", parts)
+    # Filters on fields are not carried below a generator, where they would split the header once a field.
+    rows = entries.withColumn("f", F.explode(F.array(parts)))
     role = F.element_at("f", -1)
     kind = F.when(F.size("f") == 3, F.when(F.get("f", F.lit(1)) == "PROT", "protein").when(F.get("f", F.lit(1)) == "CODON", "codon"))
     rows = rows.withColumn("kind", F.when(role == "query_exon", "query_exon").when(role == "reference_exon", "ref_exon").otherwise(kind))
@@ -81,62 +82,77 @@ def _projection() -> Column:
     return F.concat_ws(".", "transcript", F.col("chain").cast("string"))
 
 
+def _mark() -> Column:
+    return exon_mark(F.col("class"), F.coalesce(F.col("included") == "INC", F.lit(False)), F.col("identity"), F.col("score"))
+
+
 def placed_exons(entries: DataFrame) -> DataFrame:
     """Query exons with chrom, a, b (as written), s, e, strand and ``mark`` (null: the exon is deleted or missing)."""
     a, b = F.regexp_extract("region", REGION, 2).try_cast("long"), F.regexp_extract("region", REGION, 3).try_cast("long")
     fits = F.col("region").rlike(REGION)
     rows = entries.where("kind = 'query_exon'").withColumns({"chrom": F.when(fits, F.regexp_extract("region", REGION, 1)), "s": F.when(fits, F.least(a, b)), "e": F.when(fits, F.greatest(a, b)), "strand": F.when(fits, F.when(a < b, "+").otherwise("-"))})
-    mark = exon_mark(F.col("class"), F.coalesce(F.col("included") == "INC", F.lit(False)), F.col("identity"), F.col("score"))
-    return rows.withColumns({"projection": _projection(), "mark": mark})
+    return rows.withColumns({"projection": _projection(), "mark": _mark()})
 
 
-def annotate_output(entries: DataFrame, excluded: DataFrame | None = None) -> Annotation:
+def annotate_output(entries: DataFrame, excluded: DataFrame | None = None, reused: bool = True) -> Annotation:
     """The tables of an annotation from the entries of ``read_sections``; ``excluded``: transcripts to leave out.
 
+    Entries are parsed and written once for all tables; without ``reused``, where few of them are
+    wanted, nothing is written, and each table reads the entries anew and only what it needs of them.
+
     An exon with a mark is part of its projection's track; a projection's exons on a
     chromosome and strand are one track, or, joined from several loci, one wherever
     they do not go on in the strand's direction. In sequences an exon
     without a mark is its reference's bases against gaps. A projection whose
     exons are all without a mark, or unplaced, is skipped.
     """
-    rows = entries
     skipped = None
+    allowed = late = lambda df: df
     if excluded is not None:
         names = excluded.select("transcript").distinct()
         skipped = entries.select("transcript").distinct().join(names, "transcript", "left_semi").select(F.col("transcript").alias("name"), F.lit("excluded").alias("reason"))
-        rows = entries.join(names, "transcript", "left_anti")
-    known = settle(tagged(rows), "aligner-entries")
-    rejects = known.where("reason IS NOT NULL").select("transcript", "header", "reason")
+        # An anti join would be carried below the parsing, and shuffle the sections' whole texts.
+        allowed = lambda df: df.join(names.withColumn("__out", F.lit(True)), "transcript", "left").where("__out IS NULL").drop("__out")
+    known = tagged(entries)
+    if reused:
+        known = settle(allowed(known), "aligner-entries")
+    else:
+        late = allowed
+    rejects = late(known.where("reason IS NOT NULL").select("transcript", "header", "reason"))
     good = known.where("reason IS NULL")
 
-    exons = settle(placed_exons(good), "aligner-exons")
-    kept = exons.where("mark IS NOT NULL AND chrom IS NOT NULL")
-    whole = kept.where(F.col("chain") != JOINED).groupBy(F.col("projection").alias("name"), "chrom", "strand")
+    exons = placed_exons(good)
+    if reused:
+        exons = settle(exons, "aligner-exons")
+    kept = late(exons.where("mark IS NOT NULL AND chrom IS NOT NULL").select("transcript", "projection", "chain", "exon", "chrom", "strand", "s", "e"))
+    # Parts begin in joined projections alone. With the transcript among the keys, rows stay where its join has put them.
+    way = F.when(F.col("chain") == JOINED, F.when(F.col("strand") == "-", -F.col("s")).otherwise(F.col("s")))
+    parted = falling_runs(kept.withColumn("__way", way), ["transcript", "projection", "chrom", "strand"], ["exon"], "__way")
     shape = [F.min("s").alias("start"), F.max("e").alias("end"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("blocks"), F.array_sort(F.collect_list(F.col("exon") + 1)).alias("exons")]
-    whole = whole.agg(*shape).withColumn("part", F.lit(0).cast("long"))
-    way = F.when(F.col("strand") == "-", -F.col("s")).otherwise(F.col("s"))
-    joined = falling_runs(kept.where(F.col("chain") == JOINED).withColumn("__way", way), ["projection", "chrom", "strand"], ["exon"], "__way")
-    joined = joined.groupBy(F.col("projection").alias("name"), "chrom", "strand", "part").agg(*shape)
-    tracks = whole.unionByName(joined).select("name", "chrom", "strand", "part", "start", "end", "blocks", "exons")
+    tracks = parted.groupBy("transcript", F.col("projection").alias("name"), "chrom", "strand", "part").agg(*shape).select("name", "chrom", "strand", "part", "start", "end", "blocks", "exons")
 
-    lost = exons.groupBy("projection").agg(F.count(F.when(F.col("mark").isNotNull() & F.col("chrom").isNotNull(), 1)).alias("n")).where("n = 0")
+    lost = late(exons.select("transcript", "projection", "mark", "chrom")).groupBy("projection").agg(F.count(F.when(F.col("mark").isNotNull() & F.col("chrom").isNotNull(), 1)).alias("n")).where("n = 0")
     lost = lost.select(F.col("projection").alias("name"), F.lit("all exons are deleted").alias("reason"))
     skipped = lost if skipped is None else skipped.unionByName(lost)
 
-    removed = exons.where("mark IS NULL AND chrom IS NOT NULL").select(
+    removed = late(exons.where("mark IS NULL AND chrom IS NOT NULL").select("transcript", "exon", "chain", "chrom", "s", "e", "identity")).select(
         "chrom", "s", "e", F.concat_ws(".", "transcript", F.col("exon").cast("string"), F.col("chain").cast("string")).alias("name"), F.floor(F.col("identity") * 10).cast("long").alias("score")
     )
-    refs = good.where("kind = 'ref_exon'").select(_projection().alias("projection"), "exon", F.col("seq").alias("ref"))
-    found = exons.where("mark IS NOT NULL").select("projection", "exon", F.col("seq").alias("query"))
-    both = refs.join(found, ["projection", "exon"], "left").join(found.select("projection").distinct(), "projection", "left_semi")
+    of = F.col("kind") == "query_exon"
+    both = good.where("kind IN ('ref_exon', 'query_exon')").withColumn("__mark", _mark()).where(~of | F.col("__mark").isNotNull())
+    both = late(both.select("transcript", _projection().alias("projection"), "exon", F.when(~of, F.col("seq")).alias("ref"), F.when(of, F.col("seq")).alias("query")))
+    met = both.groupBy("transcript", "projection", "exon").agg(F.collect_list("ref").alias("refs"), F.collect_list("query").alias("queries"))
+    # Each of an exon's reference entries meets each of its query's.
+    met = met.withColumn("any", F.size("queries") > 0).select("transcript", "projection", "exon", "any", F.explode_outer("refs").alias("ref"), "queries")
+    met = met.select("transcript", "projection", "exon", "any", "ref", F.explode_outer("queries").alias("query"))
     bare = F.regexp_replace("ref", "-", "")
-    both = both.select("projection", "exon", F.when(F.col("query").isNull(), bare).otherwise(F.col("ref")).alias("ref"), F.coalesce("query", F.regexp_replace(bare, ".", "-")).alias("query"))
-    parts = both.groupBy("projection").agg(F.array_sort(F.collect_list(F.struct("exon", "ref", "query"))).alias("xs"))
+    pair = F.struct("exon", F.when(F.col("query").isNull(), bare).otherwise(F.col("ref")).alias("ref"), F.coalesce("query", F.regexp_replace(bare, ".", "-")).alias("query"))
+    parts = met.groupBy("transcript", "projection").agg(F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), pair))).alias("xs"), F.bool_or("any").alias("any")).where("any AND size(xs) > 0")
     text = lambda name: F.array_join(F.transform("xs", lambda x: x[name]), "").alias(name)
     sequences = parts.select("projection", text("ref"), text("query"))
 
-    entry = lambda kind: good.where(F.col("kind") == kind).select("header", "seq")
-    table = exons.select("transcript", "exon", "chain", "region", "expected", "included", "identity", "score", "gap", "class", "paralog", F.coalesce("mark", F.lit("NA")).alias("mark"))
+    entry = lambda kind: late(good.where(F.col("kind") == kind).select("transcript", "header", "seq")).drop("transcript")
+    table = late(exons.select("transcript", "exon", "chain", "region", "expected", "included", "identity", "score", "gap", "class", "paralog", F.coalesce("mark", F.lit("NA")).alias("mark")))
     return Annotation(tracks, table, removed, sequences, entry("protein"), entry("codon"), skipped, rejects)
 
 

@@ -78,13 +78,13 @@ def _records(spark: SparkSession, sf_dir: str) -> str:
     more = F.when(F.col("chain_id") % 7 == 0, ">what\nAC\n").otherwise("")
     extra = F.concat(F.lit(">"), F.concat_ws(" | ", F.concat(name, F.lit(".1")), F.lit("PROT"), F.lit("QUERY")), F.lit("\nMK*\n! a remark\n>"), F.concat_ws(" | ", F.concat(name, F.lit(".1")), F.lit("CODON"), F.lit("QUERY")), F.lit("\nATG AAA TAA\n"))
     path = f"{scratch(spark)}/aligner-{uuid.uuid4().hex}"
-    sections.select(F.concat(F.lit("#"), name, F.lit("\n"), F.when(F.col("chain_id") % 9 == 0, "stray words\n").otherwise(""), extra, more, F.col("body")).alias("value")).write.text(path)
+    sections.select(F.concat(F.lit("#"), name, F.lit("\n"), F.when(F.col("chain_id") % 9 == 0, "stray words\n").otherwise(""), extra, more, F.col("body")).alias("value")).write.option("compression", "gzip").text(path)
     return path
 
 
-def _annotation(spark: SparkSession, sf_dir: str) -> aligner_output.Annotation:
+def _annotation(spark: SparkSession, sf_dir: str, reused: bool = False) -> aligner_output.Annotation:
     excluded = views.read(spark, sf_dir, "orders").where("o_orderkey % 8 = 3").select(F.concat(F.lit("t"), "o_orderkey").alias("transcript"))
-    return aligner_output.annotate_output(aligner_output.read_sections(spark, _records(spark, sf_dir)), excluded)
+    return aligner_output.annotate_output(aligner_output.read_sections(spark, _records(spark, sf_dir)), excluded, reused)
 
 
 def output_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def output_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def output_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projections that were skipped and entries that were rejected, by reason."""
-    found = _annotation(spark, sf_dir)
+    found = _annotation(spark, sf_dir, reused=True)
     rows = found.skipped.select("name", "reason").unionByName(found.rejects.select(F.col("transcript").alias("name"), "reason"))
     return rows.groupBy("name", "reason").agg(F.count(F.lit(1)).alias("n"))
 

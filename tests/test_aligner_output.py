@@ -112,3 +112,16 @@ def test_an_empty_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n")
     found = aligner_output.annotate_output(aligner_output.read_sections(spark, str(tmp_path)))
     assert all(table.count() == 0 for table in found)
+
+
+def test_tables_read_once_are_those_of_written_entries_and_write_nothing(spark, tmp_path, monkeypatch):
+    entries = lambda name: "".join(f">{name} | {x} | {c} | reference_exon\nAC-\n>{name} | {x} | {c} | c1:{100 - 9 * x}-{103 - 9 * x} | {70 if x else 1} | {60 if x else 1} | OK | {'A' if x else 'C'} | exp:1-2 | EXCL | False | query_exon\nA-T\n" for c in (-1, 3) for x in range(3))
+    (tmp_path / "a.txt").write_text("".join(f"#{name}\n{entries(name)}" for name in ("t1", "t2")))
+    out = spark.createDataFrame([("t2",)], "transcript string")
+    read = lambda: aligner_output.read_sections(spark, str(tmp_path / "a.txt"))
+    written = aligner_output.annotate_output(read(), out)
+    want = {name: sorted(map(str, df.collect())) for name, df in written._asdict().items()}
+    assert len(want["tracks"]) == 3 and len(want["sequences"]) == 2
+    monkeypatch.setattr(aligner_output, "settle", None)
+    once = aligner_output.annotate_output(read(), out, reused=False)
+    assert {name: sorted(map(str, df.collect())) for name, df in once._asdict().items()} == want
