@@ -187,3 +187,13 @@ def test_losses_of_a_frame_without_bases(spark):
     got = {r["k"]: (r["missing_share"], r["big_exon_deleted"]) for r in rows.collect()}
     # As in SQL, no share of no bases is below any limit.
     assert got == {1: (None, True), 2: (0.0, False)}
+
+
+def test_components_of_neighbouring_edges_take_one_round(spark, monkeypatch):
+    from loomspan.operators import components
+
+    settled, calls = components.settle_measured, []
+    monkeypatch.setattr(components, "settle_measured", lambda *a, **k: (calls.append(1), settled(*a, **k))[1])
+    edges = spark.range(0, 3000, 1, 1).where("id % 100 < 99").select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("a"), F.concat(F.lit("n"), F.lpad((F.col("id") + 1).cast("string"), 5, "0")).alias("b"))
+    got = {tuple(r) for r in connected_components(edges, "a", "b").collect()}
+    assert got == {(f"n{i:05}", f"n{i // 100 * 100:05}") for i in range(3000)} and len(calls) == 2
